@@ -14,27 +14,22 @@ def _micros(name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def split_hot_keys(df: DataFrame, keys: list[str], time: str, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
-    """Add ``_seg``: 0 for ordinary keys, consecutive time slices for keys with more than ``rows`` rows.
+def hot_spans(df: DataFrame, keys: list[str], time: str, rows: int = ROWS_PER_SEGMENT) -> DataFrame | None:
+    """Keys with more than ``rows`` rows and how to slice their time span; None when there are none.
 
-    The slice width comes from the key's own count and time span, so it depends on the data only
-    and a retried task gets the same slices. At most (all rows / ``rows``) keys are hot; that small table is
-    joined without a hint and adaptive execution broadcasts it only when its size allows.
+    One pass over the key and time columns, reduced on the map side. At most (all rows / ``rows``) keys come
+    out. The result is kept by a reliable checkpoint, so that the plan built on it stays small.
     """
+    shared_dir(df.sparkSession)
+    width = (F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(rows))
     spans = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(_micros(time)).alias("_t0"), F.max(_micros(time)).alias("_t1"))
         .filter(F.col("_n") > rows)
-        .withColumn("_width", F.greatest(F.lit(1), (F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(rows))))
-        .select(*keys, "_t0", "_width")
-    )
-    seg = F.coalesce(F.floor((_micros(time) - F.col("_t0")) / F.col("_width")).cast("bigint"), F.lit(0).cast("bigint"))
-    return (
-        df.join(spans, keys, "left")
-        .withColumn("_seg", seg)
-        .withColumn("_hot", F.col("_t0").isNotNull())
-        .drop("_t0", "_width")
+        .select(*keys, "_t0", F.greatest(F.lit(1.0), width).alias("_width"))
+        .checkpoint()
     )
+    return None if spans.isEmpty() else spans
 
 
 def with_neighbour(
@@ -43,23 +38,34 @@ def with_neighbour(
     order: list[str],
     values: list[str],
     out: str,
+    spans: DataFrame | None,
     forward: bool = False,
-    rows: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """lag (or lead, ``forward``) of ``values`` as struct ``out``, per key in ``order``.
 
-    A hot key is cut into time slices. The window runs inside each slice; the row at the edge takes the
-    border row of the nearest slice, found on one row per slice. ``order[0]`` must be a time column.
+    ``spans`` comes from ``hot_spans`` over the same rows or a superset. Without hot keys this is a plain window. A hot
+    key is cut into time slices that depend on the data only, so a retried task gets the same ones. The
+    window runs inside each slice; the row at the edge takes the border row of the nearest slice, found on one
+    row per slice. ``order[0]`` must be a time column.
     """
-    seg_keys = [*keys, "_seg"]
     packed = F.struct(*values)
     step = F.lead if forward else F.lag
+    if spans is None:
+        return df.withColumn(out, step(packed).over(Window.partitionBy(*keys).orderBy(*order)))
     border = F.min_by if forward else F.max_by
+    seg_keys = [*keys, "_seg"]
+    slice_no = F.floor((_micros(order[0]) - F.col("_t0")) / F.col("_width")).cast("bigint")
     # the explicit exchange keeps the slices of one key apart even where the join already hashed by key
-    parts = split_hot_keys(df, keys, order[0], rows).repartition(*seg_keys)
+    parts = (
+        df.join(spans, keys, "left")
+        .withColumn("_seg", F.coalesce(slice_no, F.lit(0).cast("bigint")))
+        .drop("_t0", "_width")
+        .repartition(*seg_keys)
+    )
     near = parts.withColumn("_near", step(packed).over(Window.partitionBy(*seg_keys).orderBy(*order)))
     edges = (
-        parts.filter("_hot")
+        df.join(spans, keys)
+        .withColumn("_seg", slice_no)
         .groupBy(*seg_keys)
         .agg(border(packed, F.struct(*order)).alias("_edge"))
         .withColumn("_carry", step("_edge").over(Window.partitionBy(*keys).orderBy("_seg")))
@@ -68,7 +74,7 @@ def with_neighbour(
     return (
         near.join(edges, seg_keys, "left")
         .withColumn(out, F.coalesce("_near", "_carry"))
-        .drop("_near", "_carry", "_seg", "_hot")
+        .drop("_near", "_carry", "_seg")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.skew import ROWS_PER_SEGMENT, with_neighbour
+from tableward.functions.skew import ROWS_PER_SEGMENT, hot_spans, with_neighbour
 
 
 def watermark_extract(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
@@ -60,15 +60,18 @@ def scd2_history(
     Repeats of the same values are folded; a delete closes the open version. ``seq[0]`` must be a time.
     """
     wanted = feed.select(*key, *seq, *values, op)
-    seen = with_neighbour(wanted, key, seq, [op, *values], "_prev", rows=rows)
+    spans = hot_spans(wanted, key, seq[0], rows)
+    seen = with_neighbour(wanted, key, seq, [op, *values], "_prev", spans)
     same = F.lit(True)
     for v in values:
         same = same & F.col(v).eqNullSafe(F.col(f"_prev.{v}"))
     gone, was_gone = F.col(op) == "DELETE", F.col(f"_prev.{op}") == "DELETE"
     starts = F.col("_prev").isNull() | was_gone | ~same
     steps = seen.filter(F.when(gone, ~F.coalesce(was_gone, F.lit(True))).otherwise(starts)).drop("_prev")
+    if spans is not None:
+        steps = steps.checkpoint()  # the sliced plan reads its input twice
     return (
-        with_neighbour(steps, key, seq, [seq[0]], "_next", forward=True, rows=rows)
+        with_neighbour(steps, key, seq, [seq[0]], "_next", spans, forward=True)
         .filter(F.col(op) != "DELETE")
         .select(
             *key,

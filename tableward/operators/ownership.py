@@ -85,29 +85,30 @@ def trend(history: DataFrame, as_of, days: int = 30, goal: float = model.OWNERSH
     so the running sum sees ``days + 1`` rows and no asset is repeated per day.
     """
     end = as_date(as_of)
-    first = F.lit(end - dt.timedelta(days=days))
-    last = F.lit(end)
-
-    def per_day(day, name):
-        on = F.greatest(first, F.to_date(day))
-        return (
-            history.filter(day.isNotNull())
-            .groupBy(on.alias("report_date"))
-            .agg(F.count(F.lit(1)).alias(name))
-            .filter(F.col("report_date") <= last)
-        )
-
-    created = F.col("created_at")
-    owned = F.when(F.col("owned_at").isNotNull(), F.greatest(F.col("created_at"), F.col("owned_at")))
-    spine = history.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("report_date"))
+    first, last = F.lit(end - dt.timedelta(days=days)), F.lit(end)
+    one, zero = F.lit(1), F.lit(0)
+    owned_from = F.when(F.col("owned_at").isNotNull(), F.greatest("created_at", "owned_at"))
+
+    def counter(at, created, owned):
+        return F.struct(F.to_date(at).alias("day"), created.alias("created"), owned.alias("owned"))
+
+    marks = history.select(
+        F.explode(F.array(counter(F.col("created_at"), one, zero), counter(owned_from, zero, one))).alias("m")
+    ).select(F.greatest(first, F.col("m.day")).alias("report_date"), "m.created", "m.owned")
+    marks = marks.filter(F.col("report_date") <= last)
+    spine = history.sparkSession.range(1).select(
+        F.explode(F.sequence(first, last)).alias("report_date"), zero.alias("created"), zero.alias("owned")
+    )
     running = Window.orderBy("report_date")
-    total = F.sum(F.coalesce("_created", F.lit(0))).over(running)
-    covered = F.sum(F.coalesce("_owned", F.lit(0))).over(running)
     return (
-        spine.join(per_day(created, "_created"), "report_date", "left")
-        .join(per_day(owned, "_owned"), "report_date", "left")
-        .withColumn("total", total)
-        .withColumn("owned", covered)
+        marks.unionByName(spine)
+        .groupBy("report_date")
+        .agg(F.sum("created").alias("_created"), F.sum("owned").alias("_owned"))
+        .select(
+            "report_date",
+            F.sum("_created").over(running).alias("total"),
+            F.sum("_owned").over(running).alias("owned"),
+        )
         .select(
             "report_date",
             "total",

@@ -9,18 +9,25 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableward.functions.common import as_date, breaks_naming, has_value, half_up, score_band
+from tableward.functions.common import as_date, breaks_naming, has_value, half_up, score_band, time_literal
 
 WEIGHTS = {"critical": 3, "high": 2, "medium": 1}
 
 
-def _days(spark, as_of, days):
-    end = as_date(as_of)
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(end - dt.timedelta(days=days)), F.lit(end))).alias("report_date")
+def _every_day(counts: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Counts (report_date, n, bad) with a row for each day, and zero where nothing happened."""
+    zero = F.lit(0).cast("bigint")
+    spine = counts.sparkSession.range(1).select(
+        F.explode(F.sequence(F.lit(first), F.lit(last))).alias("report_date"), zero.alias("n"), zero.alias("bad")
+    )
+    return (
+        counts.filter(F.col("report_date").between(F.lit(first), F.lit(last)))
+        .unionByName(spine)
+        .groupBy("report_date")
+        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     )
 
 
@@ -37,30 +44,45 @@ def _check(df: DataFrame, dimension: str, weight: str) -> DataFrame:
 def run_checks(runs: DataFrame, as_of, days: int = 30, trailing: int = 30) -> DataFrame:
     """Failed runs among the runs of the ``trailing`` days up to each day."""
     end = as_date(as_of)
-    first = end - dt.timedelta(days=days + trailing)
-    day = F.to_date("start_time")
-    per_day = (
-        runs.filter((day > F.lit(first)) & (day <= F.lit(end)))
-        .groupBy(day.alias("report_date"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("status") == "failed").alias("_bad"))
+    first = end - dt.timedelta(days=days + trailing - 1)
+    recent = runs.filter(
+        (F.col("start_time") >= time_literal(runs, "start_time", first))
+        & (F.col("start_time") < time_literal(runs, "start_time", end + dt.timedelta(days=1)))
+    )
+    per_day = recent.groupBy(F.to_date("start_time").alias("report_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("bad")
     )
     window = Window.orderBy("report_date").rowsBetween(-(trailing - 1), 0)
     spread = (
-        _days(runs.sparkSession, as_of, days + trailing - 1)
-        .join(per_day, "report_date", "left")
-        .withColumn("checked", F.sum(F.coalesce("_n", F.lit(0))).over(window))
-        .withColumn("violations", F.sum(F.coalesce("_bad", F.lit(0))).over(window))
+        _every_day(per_day, first, end)
+        .withColumn("checked", F.sum("n").over(window))
+        .withColumn("violations", F.sum("bad").over(window))
         .filter(F.col("report_date") >= F.lit(end - dt.timedelta(days=days)))
     )
     return _check(spread, "etl_hygiene", "critical")
 
 
-def flag_checks(df: DataFrame, bad, dimension: str, weight: str, as_of, days: int = 30) -> DataFrame:
-    """A property known only as of now counts the same on every day."""
-    now = df.agg(F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("violations"))
+def flag_checks(df: DataFrame, flags: list[tuple[Column, str, str]], as_of, days: int = 30) -> DataFrame:
+    """Properties known only as of now count the same on every day.
+
+    ``flags`` lists (violation, dimension, weight); all of them are counted in one pass.
+    """
     end = as_date(as_of)
     span = F.sequence(F.lit(end - dt.timedelta(days=days)), F.lit(end))
-    return _check(now.withColumn("report_date", F.explode(span)), dimension, weight)
+    counts = [
+        F.struct(
+            F.lit(dimension).alias("dimension"),
+            F.lit(WEIGHTS[weight]).cast("bigint").alias("weight"),
+            F.count(F.lit(1)).alias("checked"),
+            F.count_if(bad).alias("violations"),
+        )
+        for bad, dimension, weight in flags
+    ]
+    return (
+        df.agg(F.array(*counts).alias("_all"))
+        .select(F.explode("_all").alias("_c"))
+        .select(F.explode(span).alias("report_date"), "_c.*")
+    )
 
 
 def ownership_checks(coverage_trend: DataFrame) -> DataFrame:
@@ -73,22 +95,16 @@ def ownership_checks(coverage_trend: DataFrame) -> DataFrame:
 def table_checks(tables: DataFrame, as_of, days: int = 30) -> DataFrame:
     """Naming and comment checks over the tables that existed on each day."""
     end = as_date(as_of)
-    first = F.lit(end - dt.timedelta(days=days))
-    on = F.greatest(first, F.to_date("created_at"))
-    per_day = (
-        tables.groupBy(on.alias("report_date"))
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            (F.count_if(breaks_naming("table_name")) + F.count_if(~has_value("table_comment"))).alias("_bad"),
-        )
-        .filter(F.col("report_date") <= F.lit(end))
+    first = end - dt.timedelta(days=days)
+    per_day = tables.groupBy(F.greatest(F.lit(first), F.to_date("created_at")).alias("report_date")).agg(
+        (F.count(F.lit(1)) * 2).alias("n"),
+        (F.count_if(breaks_naming("table_name")) + F.count_if(~has_value("table_comment"))).alias("bad"),
     )
     running = Window.orderBy("report_date")
     daily = (
-        _days(tables.sparkSession, as_of, days)
-        .join(per_day, "report_date", "left")
-        .withColumn("checked", F.sum(F.coalesce(F.col("_n") * 2, F.lit(0))).over(running))
-        .withColumn("violations", F.sum(F.coalesce("_bad", F.lit(0))).over(running))
+        _every_day(per_day, first, end)
+        .withColumn("checked", F.sum("n").over(running))
+        .withColumn("violations", F.sum("bad").over(running))
     )
     return _check(daily, "data_quality", "medium")
 
@@ -106,10 +122,14 @@ def health_scores(checks: DataFrame) -> DataFrame:
     score = F.coalesce(half_up(F.col("_c") - F.col("_v"), F.col("_c")), F.lit(100))
     each = weighed.select("report_date", "dimension", score.cast("bigint").alias("score"))
     total, n = F.sum("score"), F.count(F.lit(1))
-    overall = each.groupBy("report_date").agg(
+    overall = F.struct(
         F.lit("overall").alias("dimension"), F.floor((total * 2 + n) / (n * 2)).cast("bigint").alias("score")
     )
-    return each.unionByName(overall.select("report_date", "dimension", "score"))
+    # one row per day, holding one entry per dimension
+    daily = each.groupBy("report_date").agg(
+        F.concat(F.collect_list(F.struct("dimension", "score")), F.array(overall)).alias("_all")
+    )
+    return daily.select("report_date", F.explode("_all").alias("_s")).select("report_date", "_s.*")
 
 
 def with_band(scores: DataFrame) -> DataFrame:
@@ -118,11 +138,10 @@ def with_band(scores: DataFrame) -> DataFrame:
 
 def score_delta(scores: DataFrame, days: int = 30) -> DataFrame:
     """Change against the score ``days`` days before; NULL where there was none."""
-    before = scores.select(
-        F.date_add("report_date", days).alias("report_date"), "dimension", F.col("score").alias("_before")
-    )
-    return scores.join(before, ["report_date", "dimension"], "left").select(
-        "report_date", "dimension", "score", (F.col("score") - F.col("_before")).alias("score_delta_30d")
+    day = F.datediff("report_date", F.lit(dt.date(1970, 1, 1)))
+    then = Window.partitionBy("dimension").orderBy(day).rangeBetween(-days, -days)
+    return scores.select(
+        "report_date", "dimension", "score", (F.col("score") - F.max("score").over(then)).alias("score_delta_30d")
     )
 
 

@@ -73,11 +73,23 @@ def assess(
     )
     checks = scoring.all_checks(
         scoring.run_checks(runs, as_of),
-        scoring.flag_checks(pipes, ~F.col("has_dq_expectations"), "etl_hygiene", "high", as_of),
-        scoring.flag_checks(pipes, F.col("uses_hardcoded_paths"), "etl_hygiene", "high", as_of),
-        scoring.flag_checks(features, ~F.col("is_registered"), "ml_ai_governance", "high", as_of),
-        scoring.flag_checks(experiments, ~has_value("owner_email"), "ml_ai_governance", "high", as_of),
-        scoring.flag_checks(experiments, ~F.col("has_description"), "ml_ai_governance", "medium", as_of),
+        scoring.flag_checks(
+            pipes,
+            [
+                (~F.col("has_dq_expectations"), "etl_hygiene", "high"),
+                (F.col("uses_hardcoded_paths"), "etl_hygiene", "high"),
+            ],
+            as_of,
+        ),
+        scoring.flag_checks(features, [(~F.col("is_registered"), "ml_ai_governance", "high")], as_of),
+        scoring.flag_checks(
+            experiments,
+            [
+                (~has_value("owner_email"), "ml_ai_governance", "high"),
+                (~F.col("has_description"), "ml_ai_governance", "medium"),
+            ],
+            as_of,
+        ),
         scoring.ownership_checks(trend),
         scoring.table_checks(tables, as_of),
     )

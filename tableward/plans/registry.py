@@ -463,10 +463,22 @@ def _scores(i):
     return K.health_scores(
         K.all_checks(
             K.run_checks(i.runs, RUNS_AS_OF),
-            K.flag_checks(i.pipelines, ~F.col("has_dq_expectations"), "etl_hygiene", "high", RUNS_AS_OF),
-            K.flag_checks(i.pipelines, F.col("uses_hardcoded_paths"), "etl_hygiene", "high", RUNS_AS_OF),
-            K.flag_checks(i.models, ~F.col("is_registered"), "ml_ai_governance", "high", RUNS_AS_OF),
-            K.flag_checks(i.models, F.col("serving_endpoint_name").isNull(), "ml_ai_governance", "medium", RUNS_AS_OF),
+            K.flag_checks(
+                i.pipelines,
+                [
+                    (~F.col("has_dq_expectations"), "etl_hygiene", "high"),
+                    (F.col("uses_hardcoded_paths"), "etl_hygiene", "high"),
+                ],
+                RUNS_AS_OF,
+            ),
+            K.flag_checks(
+                i.models,
+                [
+                    (~F.col("is_registered"), "ml_ai_governance", "high"),
+                    (F.col("serving_endpoint_name").isNull(), "ml_ai_governance", "medium"),
+                ],
+                RUNS_AS_OF,
+            ),
             K.ownership_checks(_trend(i, RUNS_AS_OF)),
             K.table_checks(i.tables, RUNS_AS_OF),
         )
