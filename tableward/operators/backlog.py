@@ -27,10 +27,12 @@ def finding(
     detected_at: Column,
     impact: Column | float = 0.0,
     owner: Column | None = None,
+    label: str | None = None,
 ) -> DataFrame:
     """Project one detector's rows to the finding columns.
 
     The id is a digest of rule and asset: it is the same in every run and needs no numbering of all rows.
+    ``label`` names the asset for readers where ``asset`` is only its key.
     """
 
     def text(value):
@@ -44,7 +46,7 @@ def finding(
         text(severity).alias("severity"),
         F.lit(category).alias("category"),
         F.lit(asset_type).alias("asset_type"),
-        name.alias("asset_name"),
+        (name if label is None else F.coalesce(label, name)).alias("asset_name"),
         (owner if owner is not None else F.lit(None)).cast("string").alias("owner_email"),
         text(description).alias("description"),
         amount.cast("decimal(18,2)").alias("business_impact_usd"),
@@ -54,17 +56,17 @@ def finding(
     )
 
 
-def edit_findings(edits: DataFrame, first_seen: DataFrame) -> DataFrame:
+def edit_findings(edits: DataFrame, first_seen: DataFrame, label: str | None = None) -> DataFrame:
     return finding(
         edits.join(first_seen, "table_id", "left"),
         "direct_writes", F.col("severity"), "ETL Hygiene", "table", "table_id",
         F.concat(F.col("edit_count_90d").cast("string"), F.lit(" direct writes in the window")),
         "Take away direct write rights and route changes through a pipeline", 3,
-        F.col("detected_at"), F.col("estimated_rerun_cost_usd"),
+        F.col("detected_at"), F.col("estimated_rerun_cost_usd"), label=label,
     )
 
 
-def rule_findings(df: DataFrame, asset_type: str, asset: str, rules: list[tuple], as_of) -> DataFrame:
+def rule_findings(df: DataFrame, asset_type: str, asset: str, rules: list[tuple], as_of, label: str | None = None) -> DataFrame:
     """All rules over one kind of asset in one pass: each row is expanded to the rules it breaks.
 
     A rule is (condition, name, severity, category, description, action, days, impact).
@@ -89,8 +91,9 @@ def rule_findings(df: DataFrame, asset_type: str, asset: str, rules: list[tuple]
         )
     )
     name = F.col(asset).cast("string")
-    hits = df.select(name.alias("asset_name"), "owner_email", F.explode(broken).alias("f"))
-    key = F.concat_ws("|", "f.category", F.lit(asset_type), "f.rule", "asset_name")
+    shown = name if label is None else F.coalesce(label, name)
+    hits = df.select(name.alias("_id"), shown.alias("asset_name"), "owner_email", F.explode(broken).alias("f"))
+    key = F.concat_ws("|", "f.category", F.lit(asset_type), "f.rule", "_id")
     return hits.select(
         F.concat(F.lit("FND-"), F.md5(key)).alias("finding_id"),
         "f.severity",
@@ -106,7 +109,7 @@ def rule_findings(df: DataFrame, asset_type: str, asset: str, rules: list[tuple]
     )
 
 
-def pipeline_findings(health: DataFrame, as_of, impact: float = 1000.0) -> DataFrame:
+def pipeline_findings(health: DataFrame, as_of, impact: float = 1000.0, label: str | None = None) -> DataFrame:
     rules = [
         (F.col("failure_rate_30d") > model.FAILURE_CRITICAL, "failing", "critical", "ETL Hygiene",
          "Failure rate above the critical limit", "Fix the failing step and add alerting", 3, 4 * impact),
@@ -117,45 +120,46 @@ def pipeline_findings(health: DataFrame, as_of, impact: float = 1000.0) -> DataF
         (F.col("uses_hardcoded_paths"), "paths", "high", "ETL Hygiene",
          "Pipeline uses hard-coded paths", "Move paths to parameters", 3, impact),
     ]
-    return rule_findings(health, "pipeline", "pipeline_id", rules, as_of)
+    return rule_findings(health, "pipeline", "pipeline_id", rules, as_of, label)
 
 
-def model_findings(models: DataFrame, stale: DataFrame, as_of) -> DataFrame:
+def model_findings(models: DataFrame, stale: DataFrame, as_of, label: str | None = None) -> DataFrame:
     on_raw = finding(
         stale, "stale_features", "critical", "ML/AI Governance", "ml_model", "model_id",
         "Model reads features from a raw table that was edited by hand", "Retrain on silver features", 5,
-        F.col("last_write"), 5000.0,
+        F.col("last_write"), 5000.0, label=label,
     )
     rules = [
         (~F.col("is_registered"), "unregistered", "high", "ML/AI Governance", "Model is not in the registry",
          "Register the model", 4, 800),
     ]
-    return on_raw.unionByName(rule_findings(models, "ml_model", "model_id", rules, as_of))
+    return on_raw.unionByName(rule_findings(models, "ml_model", "model_id", rules, as_of, label))
 
 
-def table_findings(tables: DataFrame, as_of) -> DataFrame:
+def table_findings(tables: DataFrame, as_of, label: str | None = None) -> DataFrame:
     rules = [
         (breaks_naming("table_name"), "naming", "medium", "Data Quality", "Table name breaks the naming rule",
          "Rename to layer_domain_entity", 1, 100),
         ((F.col("data_layer") == "bronze") & ~has_value("table_comment"), "comment", "medium", "Data Quality",
          "Bronze table has no comment", "Describe the table", 1, 50),
     ]
-    return rule_findings(tables, "table", "table_id", rules, as_of)
+    return rule_findings(tables, "table", "table_id", rules, as_of, label)
 
 
-def experiment_findings(stale: DataFrame, as_of) -> DataFrame:
+def experiment_findings(stale: DataFrame, as_of, label: str | None = None) -> DataFrame:
     return finding(
         stale, "stale_experiment", "high", "ML/AI Governance", "ml_experiment", "experiment_id",
         "Experiment has not run lately", "Archive or rerun the experiment", 2, day_literal(as_of), 300.0,
+        label=label,
     )
 
 
-def job_findings(jobs: DataFrame, as_of, managed: str = "serverless", saving: float = 0.4) -> DataFrame:
+def job_findings(jobs: DataFrame, as_of, managed: str = "serverless", saving: float = 0.4, label: str | None = None) -> DataFrame:
     classic = jobs.filter(~F.col("cluster_type").eqNullSafe(managed))
     return finding(
         classic, "classic_compute", "medium", "ETL Hygiene", "job", "job_id", "Job runs on self-managed compute",
         "Move the job to managed compute", 2, day_literal(as_of),
-        F.round(F.col("annual_cost_usd").cast("double") * saving, 2),
+        F.round(F.col("annual_cost_usd").cast("double") * saving, 2), label=label,
     )
 
 

@@ -11,7 +11,8 @@ from tableward.functions.common import day_literal, has_value, in_window, is_dir
 
 def stale_experiments(experiments: DataFrame, as_of, days: int = model.STALE_DAYS) -> DataFrame:
     idle = F.datediff(day_literal(as_of), F.to_date("last_run_date"))
-    return experiments.filter(idle > days).select("experiment_id", idle.alias("days_since_run"))
+    shown = [c for c in ("experiment_name",) if c in experiments.columns]
+    return experiments.filter(idle > days).select("experiment_id", *shown, idle.alias("days_since_run"))
 
 
 def governance_gaps(experiments: DataFrame) -> DataFrame:
@@ -39,11 +40,12 @@ def stale_feature_models(
         .agg(F.max("event_time").alias("last_write"))
     )
     bronze = tables.filter(F.col("data_layer") == "bronze").select(F.col("table_id").alias("features_table"))
+    shown = [c for c in ("model_name",) if c in models.columns]
     return (
-        models.select("model_id", F.col("upstream_features_table").alias("features_table"))
+        models.select("model_id", *shown, F.col("upstream_features_table").alias("features_table"))
         .join(bronze, "features_table", "left_semi")
         .join(last, "features_table")
-        .select("model_id", "features_table", "last_write")
+        .select("model_id", *shown, "features_table", "last_write")
     )
 
 

@@ -94,8 +94,8 @@ def trend(history: DataFrame, as_of, days: int = 30, goal: float = model.OWNERSH
 
     marks = history.select(
         F.explode(F.array(counter(F.col("created_at"), one, zero), counter(owned_from, zero, one))).alias("m")
-    ).select(F.greatest(first, F.col("m.day")).alias("report_date"), "m.created", "m.owned")
-    marks = marks.filter(F.col("report_date") <= last)
+    ).filter(F.col("m.day") <= last)  # also leaves out assets never owned, whose day is NULL
+    marks = marks.select(F.greatest(first, F.col("m.day")).alias("report_date"), "m.created", "m.owned")
     spine = history.sparkSession.range(1).select(
         F.explode(F.sequence(first, last)).alias("report_date"), zero.alias("created"), zero.alias("owned")
     )

@@ -23,13 +23,13 @@ RAW = (
 
 
 def assess(
-    inputs: dict[str, DataFrame], as_of, price_per_hour: float = 1.0, executive: DataFrame | None = None
+    inputs: dict[str, DataFrame], as_of, price_per_hour: float = 1.0, max_depth: int = 10
 ) -> dict[str, DataFrame]:
-    """Gold tables by name, all lazy.
+    """Gold tables by name. Only the lineage walk runs when called; the rest is lazy.
 
     ``inputs`` holds the seven raw tables and optionally ``lineage`` (source, target),
-    ``reads`` (table_id, pipeline_id), ``ownership_history`` (created_at, owned_at) and ``executive``
-    (table_id). Audit events without an ``entity_type`` count as direct writes.
+    ``reads`` (table_id, pipeline_id) or ready ``rerun_costs`` (table_id, rerun_cost_usd), ``ownership_history``
+    (created_at, owned_at) and ``executive`` (table_id). Audit events without an ``entity_type`` count as direct writes.
     """
     missing = [name for name in RAW if name not in inputs]
     if missing:
@@ -41,15 +41,22 @@ def assess(
         events = events.withColumn("entity_type", F.lit(None).cast("string"))
     edges = inputs.get("lineage", spark.createDataFrame([], "source string, target string"))
     reads = inputs.get("reads", spark.createDataFrame([], "table_id string, pipeline_id string"))
-    executive = executive if executive is not None else inputs.get("executive")
+    executive = inputs.get("executive")
 
     health = pipelines.health(pipes, runs, as_of)
-    feeds = D.feeding(edges, executive) if executive is not None else None
-    edits = D.bronze_table_edits(
-        events, as_of, L.blast_radius(edges), L.rerun_cost(runs, reads, as_of, price_per_hour), feeds
+    reach = L.lineage_closure(edges, max_depth)
+    feeds = D.feeding(reach, executive) if executive is not None else None
+    costs = inputs.get("rerun_costs")
+    if costs is None:
+        costs = L.rerun_cost(runs, reads, as_of, price_per_hour)
+    named = tables.select(F.col("table_id").alias("target"), "table_name", "data_layer")
+    downstream = (
+        reach.join(named, "target")
+        .filter("data_layer = 'gold'")
+        .select("source", F.col("table_name").alias("target"))
     )
     where = tables.select("table_id", "table_name", F.concat_ws(".", "catalog_name", "schema_name").alias("catalog_schema"))
-    gold_edits = edits.join(where, "table_id", "left")
+    edits = D.bronze_table_edits(events, as_of, L.blast_radius(downstream), costs, feeds).join(where, "table_id", "left")
 
     history = inputs.get("ownership_history")
     if history is None:
@@ -58,18 +65,18 @@ def assess(
     trend = ownership.trend(history, as_of)
 
     features = models.select(
-        "model_id", "owner_email", F.col("upstream_features_table").alias("table_name"),
+        "model_id", "model_name", "owner_email", F.col("upstream_features_table").alias("table_name"),
         F.col("registered_in_uc").alias("is_registered"),
     ).join(tables.select("table_name", "table_id"), "table_name", "left")
     features = features.withColumnRenamed("table_id", "upstream_features_table")
     stale_models = ml.stale_feature_models(features, events, tables, as_of)
     found = B.remediation_backlog(
-        B.edit_findings(edits, D.detected_at(events, "table_id")),
-        B.pipeline_findings(health, as_of),
-        B.model_findings(features, stale_models, as_of),
-        B.experiment_findings(ml.stale_experiments(experiments, as_of), as_of),
-        B.table_findings(tables, as_of),
-        B.job_findings(jobs.withColumn("annual_cost_usd", F.lit(0)), as_of),
+        B.edit_findings(edits, D.detected_at(events, "table_id"), "table_name"),
+        B.pipeline_findings(health, as_of, label="pipeline_name"),
+        B.model_findings(features, stale_models, as_of, "model_name"),
+        B.experiment_findings(ml.stale_experiments(experiments, as_of), as_of, "experiment_name"),
+        B.table_findings(tables, as_of, "table_name"),
+        B.job_findings(jobs.withColumn("annual_cost_usd", F.lit(0)), as_of, label="job_name"),
     )
     checks = scoring.all_checks(
         scoring.run_checks(runs, as_of),
@@ -95,7 +102,7 @@ def assess(
     )
     return {
         "gold_health_scores": scoring.gold_health_scores(scoring.health_scores(checks), found),
-        "gold_bronze_table_edits": gold_edits,
+        "gold_bronze_table_edits": edits,
         "gold_pipeline_health": health,
         "gold_ownership_trend": trend,
         "gold_remediation_backlog": found,

@@ -356,7 +356,7 @@ def _stale_models(i):
 
 @query
 def stale_feature_models(i):
-    return _stale_models(i)
+    return _stale_models(i).drop("model_name")
 
 
 @query

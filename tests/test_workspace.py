@@ -1,0 +1,91 @@
+"""The generated workspace and the whole assessment on it."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tableward import model
+from tableward.plans.assess import assess
+from tableward.sources import workspace as W
+
+AS_OF = "2024-06-30"
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    return {name: df.cache() for name, df in W.gen_workspace(spark, as_of=AS_OF).items()}
+
+
+@pytest.fixture(scope="module")
+def gold(made):
+    return {name: df.cache() for name, df in assess(made, AS_OF).items()}
+
+
+def test_schemas(made):
+    for name, want in model.RAW_SCHEMAS.items():
+        have = {f.name: f.dataType for f in made[name].schema}
+        assert all(have[f.name] == f.dataType for f in want), name
+
+
+def test_sizes_and_keys(made):
+    sizes = {"tables": 200, "pipelines": 150, "jobs": 80, "job_runs": 500, "ml_experiments": 60, "ml_models": 30}
+    keys = {"tables": "table_id", "pipelines": "pipeline_id", "jobs": "job_id", "job_runs": "run_id", "audit_events": "event_id"}
+    for name, n in sizes.items():
+        assert made[f"raw_ws_{name}"].count() == n
+    for name, key in keys.items():
+        df = made[f"raw_ws_{name}"]
+        assert df.select(key).distinct().count() == df.count()
+    layers = {r.data_layer: r["count"] for r in made["raw_ws_tables"].groupBy("data_layer").count().collect()}
+    assert layers == {"bronze": 40, "silver": 80, "gold": 80}
+
+
+def test_anchors(made, gold):
+    pipes = made["raw_ws_pipelines"]
+    assert pipes.filter("NOT has_owner_tag").count() == 31
+    assert pipes.filter("NOT has_owner_tag AND is_production").count() == 9
+    assert made["raw_ws_ml_models"].filter("is_serving_stale_features").count() == 2
+    edits = gold["gold_bronze_table_edits"]
+    assert edits.count() == 14
+    top = [(r.table_name, r.edit_count_90d, r.severity) for r in edits.orderBy(F.desc("edit_count_90d")).limit(3).collect()]
+    assert top == [("raw_transactions", 47, "critical"), ("ml_features_bronze", 12, "critical"), ("customer_events_bronze", 9, "critical")]
+    assert edits.filter("severity = 'critical'").count() == 3
+    assert float(edits.agg(F.sum("estimated_rerun_cost_usd")).first()[0]) == 87000
+    trend = gold["gold_ownership_trend"].orderBy("report_date").collect()
+    assert len(trend) == 31
+    assert trend[0].coverage_pct == 58.33 and 68 <= trend[-1].coverage_pct <= 71
+    failing = gold["gold_pipeline_health"].filter(F.col("pipeline_name").isin(W.FAILING))
+    assert [r.health_status for r in failing.collect()] == ["critical"] * 3
+
+
+def test_gold_invariants(made, gold):
+    assert gold["gold_pipeline_health"].count() == made["raw_ws_pipelines"].count()
+    found = gold["gold_remediation_backlog"]
+    assert found.filter("finding_id IS NULL OR severity IS NULL OR asset_name IS NULL").count() == 0
+    assert found.select("finding_id").distinct().count() == found.count()
+    assert found.filter("asset_type = 'ml_model' AND severity = 'critical'").count() == 2
+    scores = gold["gold_health_scores"]
+    assert scores.count() == 155
+    now = {r.dimension: r for r in scores.filter("report_date = DATE '2024-06-30'").collect()}
+    assert now["overall"].critical_count == found.filter("severity = 'critical'").count()
+    parts = [r.score for d, r in now.items() if d != "overall"]
+    assert now["overall"].score == int(sum(parts) / 4 + 0.5)
+
+
+def test_trend_is_exact_today(spark):
+    rows = W.gen_trend(spark, 42, AS_OF).collect()
+    assert len(rows) == 155
+    today = {r.dimension: r.score for r in rows if str(r.report_date) == AS_OF}
+    assert today == {"overall": 68, "etl_hygiene": 55, "ml_ai_governance": 62, "ownership_access": 71, "data_quality": 78}
+
+
+def test_rows_do_not_depend_on_partitioning(spark, made):
+    again = W.gen_workspace(spark, as_of=AS_OF)["raw_ws_job_runs"].repartition(3)
+    assert again.exceptAll(made["raw_ws_job_runs"]).count() == 0
+
+
+def test_scale_keeps_anchors(spark):
+    big = W.gen_workspace(spark, scale=3, as_of=AS_OF)
+    assert big["raw_ws_tables"].count() == 600
+    assert big["raw_ws_pipelines"].filter("NOT has_owner_tag").count() == 93
+    events = big["raw_ws_audit_events"].filter("entity_type = 'NOTEBOOK'")
+    assert events.select("table_name").distinct().count() == 14
+    assert big["raw_ws_job_runs"].filter("end_time < start_time").count() == 0
