@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,18 @@ RAW = (
 
 
 def assess(
-    inputs: dict[str, DataFrame], as_of, price_per_hour: float = 1.0, max_depth: int = 10
+    inputs: dict[str, DataFrame],
+    as_of,
+    price_per_hour: float = 1.0,
+    max_depth: int = 10,
+    detectors: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
 ) -> dict[str, DataFrame]:
     """Gold tables by name. Only the lineage walk runs when called; the rest is lazy.
 
     ``inputs`` holds the seven raw tables and optionally ``lineage`` (source, target),
     ``reads`` (table_id, pipeline_id) or ready ``rerun_costs`` (table_id, rerun_cost_usd), ``ownership_history``
     (created_at, owned_at) and ``executive`` (table_id). Audit events without an ``entity_type`` count as direct writes.
+    ``detectors`` adds user findings: each takes the inputs and returns rows in the finding columns.
     """
     missing = [name for name in RAW if name not in inputs]
     if missing:
@@ -77,6 +84,7 @@ def assess(
         B.experiment_findings(ml.stale_experiments(experiments, as_of), as_of, "experiment_name"),
         B.table_findings(tables, as_of, "table_name"),
         B.job_findings(jobs.withColumn("annual_cost_usd", F.lit(0)), as_of, label="job_name"),
+        *[f(inputs) for f in (detectors or {}).values()],
     )
     checks = scoring.all_checks(
         scoring.run_checks(runs, as_of),

@@ -31,9 +31,19 @@ def append_table(df: DataFrame, name: str) -> None:
 
 def with_comments(df: DataFrame, comments: dict[str, str]) -> DataFrame:
     """Attach column comments, kept when the result is saved as a table."""
-    return df.select(
-        *[F.col(c).alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(c) for c in df.columns]
-    )
+    return described(df, {c: {"comment": text} for c, text in comments.items()})
+
+
+def described(df: DataFrame, columns: dict[str, dict]) -> DataFrame:
+    """Columns with their meaning: ``comment``, ``synonyms`` and, left out of the result, ``hidden``."""
+    kept = [c for c in df.columns if not columns.get(c, {}).get("hidden")]
+    return df.select(*[F.col(c).alias(c, metadata=columns[c]) if c in columns else F.col(c) for c in kept])
+
+
+def publish_views(tables: dict[str, DataFrame]) -> None:
+    """Results by name for questions in SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
 
 
 def table_detail(df: DataFrame) -> DataFrame:
@@ -81,21 +91,24 @@ def compact(df: DataFrame, path: str, target_mb: int = 128) -> DataFrame:
 
 
 def cluster_layout(df: DataFrame, path: str, columns: list[str], partitions: int | None = None) -> DataFrame:
-    """Write rows in ranges of ``columns`` so that file and row-group minima and maxima prune scans."""
-    spread = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
+    """Write rows in ranges of ``columns`` so that file and row-group minima and maxima prune scans.
+
+    A hash of the row ends the range key: rows with one very common value are spread over several files.
+    """
+    key = [*columns, F.xxhash64(*df.columns)]
+    spread = df.repartitionByRange(partitions, *key) if partitions else df.repartitionByRange(*key)
     spread.sortWithinPartitions(*columns).write.parquet(path)
     out = table_detail(df.sparkSession.read.schema(df.schema).parquet(path))
     return out.agg(F.sum("num_files").alias("files"), F.sum("rows").alias("rows"))
 
 
-def archive(df: DataFrame, path: str, time: str, buckets: int = 1) -> DataFrame:
+def archive(df: DataFrame, path: str, time: str) -> DataFrame:
     """Write rows by month of ``time``; returns rows per month read back from the archive.
 
-    Rows are spread over ``buckets`` tasks per month, so one large month is not one file.
+    The rebalance hint gathers a month's rows into few files and lets adaptive execution split a large month.
     """
     monthly = df.withColumn("month", F.date_format(time, "yyyyMM").cast("int"))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
-    monthly.repartition("month", salt).write.partitionBy("month").parquet(path)
+    monthly.hint("rebalance", "month").write.partitionBy("month").parquet(path)
     back = df.sparkSession.read.schema(monthly.schema).parquet(path)
     return back.groupBy("month").agg(F.count(F.lit(1)).alias("archived_n"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +136,8 @@ def current_rows(
 def split_late(stream: DataFrame, path: str, checkpoint: str, time: str, delay_days: int) -> None:
     """Rows behind the high-water mark of earlier batches go to ``status=late``, others to ``status=on_time``.
 
-    Nothing is lost: both sides are kept. Each batch stores its greatest time, and the mark of a batch is
-    taken only from batches before it, so a repeated batch decides the same way.
+    Nothing is lost: both sides are kept. Each batch stores its greatest time, observed while the rows are
+    written; the mark of a batch is taken only from batches before it, so a repeated batch decides the same way.
     """
     spark = stream.sparkSession
     mark_schema = T.StructType(
@@ -153,11 +153,12 @@ def split_late(stream: DataFrame, path: str, checkpoint: str, time: str, delay_d
         late = F.lit(False)
         if mark is not None:
             late = when < F.lit(mark) - F.expr(f"INTERVAL {int(delay_days)} DAYS")
+        seen = Observation()
         status = F.when(late, "late").otherwise("on_time")
-        batch.withColumn("status", status).write.mode("overwrite").partitionBy("status").parquet(
-            f"{path}/rows/batch_id={batch_id}"
-        )
-        batch.agg(F.max(when).alias("mark")).write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+        rows = batch.observe(seen, F.max(when).alias("mark")).withColumn("status", status)
+        rows.write.mode("overwrite").partitionBy("status").parquet(f"{path}/rows/batch_id={batch_id}")
+        found = spark.createDataFrame([(seen.get["mark"],)], "mark timestamp")
+        found.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
 
     run_batches(stream, each, checkpoint)
 

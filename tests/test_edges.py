@@ -286,3 +286,32 @@ def test_compact_reduces_files(spark, tmp_path):
     spark.range(1000).repartition(9).write.parquet(str(tmp_path / "in"))
     got = files.compact(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out")).first()
     assert (got.files_before, got.files_after, got.rows) == (9, 1, 1000)
+
+
+def test_work_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tableward import session
+
+    class Context:
+        master = "spark://host"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        sparkContext = Context()
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Fake())
+
+
+def test_layout_keeps_a_common_value_spread(spark, tmp_path):
+    df = spark.range(4000).select(F.lit(1).alias("k"), "id")
+    assert files.cluster_layout(df, str(tmp_path / "out"), ["k"], 4).first().files == 4
+
+
+def test_archive_splits_by_month(spark, tmp_path):
+    df = spark.createDataFrame([(day(0),), (day(31),), (day(32),)], "ts timestamp")
+    got = {r.month: r.archived_n for r in files.archive(df, str(tmp_path / "out"), "ts").collect()}
+    assert got == {202401: 1, 202312: 2}

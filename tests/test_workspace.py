@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableward import model
+from tableward.operators.backlog import finding
 from tableward.plans.assess import assess
 from tableward.sources import workspace as W
+from tableward.sources.files import described, publish_views
 
 AS_OF = "2024-06-30"
 
@@ -89,3 +91,25 @@ def test_scale_keeps_anchors(spark):
     events = big["raw_ws_audit_events"].filter("entity_type = 'NOTEBOOK'")
     assert events.select("table_name").distinct().count() == 14
     assert big["raw_ws_job_runs"].filter("end_time < start_time").count() == 0
+
+
+def test_user_detector_joins_the_backlog(spark, made):
+    def unnamed(inputs):
+        return finding(
+            inputs["raw_ws_jobs"].limit(2), "mine", "medium", "Data Quality", "job", "job_id", "text", "act", 1,
+            F.lit("2024-06-30"), 5.0,
+        )
+
+    found = assess(made, AS_OF, detectors={"mine": unnamed})["gold_remediation_backlog"]
+    assert found.filter("description = 'text'").count() == 2
+
+
+def test_described_results_answer_sql(spark, gold):
+    edits = described(
+        gold["gold_bronze_table_edits"], {"table_id": {"hidden": True}, "severity": {"comment": "how bad", "synonyms": ["risk"]}}
+    )
+    publish_views({"edits_view": edits})
+    assert "table_id" not in edits.columns
+    assert edits.schema["severity"].metadata["synonyms"] == ["risk"]
+    got = spark.sql("SELECT table_name FROM edits_view WHERE severity = :s ORDER BY edit_count_90d DESC", {"s": "critical"})
+    assert got.first().table_name == "raw_transactions"
