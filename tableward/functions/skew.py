@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableward.session import shared_dir
+from tableward.session import keep
 
 ROWS_PER_SEGMENT = 1_000_000
 
@@ -18,16 +18,15 @@ def hot_spans(df: DataFrame, keys: list[str], time: str, rows: int = ROWS_PER_SE
     """Keys with more than ``rows`` rows and how to slice their time span; None when there are none.
 
     One pass over the key and time columns, reduced on the map side. At most (all rows / ``rows``) keys come
-    out. The result is kept by a reliable checkpoint, so that the plan built on it stays small.
+    out. The result is written down, so that the plan built on it stays small.
     """
-    shared_dir(df.sparkSession)
     width = (F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(rows))
-    spans = (
+    spans = keep(
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(_micros(time)).alias("_t0"), F.max(_micros(time)).alias("_t1"))
         .filter(F.col("_n") > rows)
-        .select(*keys, "_t0", F.greatest(F.lit(1.0), width).alias("_width"))
-        .checkpoint()
+        .select(*keys, "_t0", F.greatest(F.lit(1.0), width).alias("_width")),
+        "spans",
     )
     return None if spans.isEmpty() else spans
 
@@ -81,18 +80,17 @@ def with_neighbour(
 def with_position(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Global row number without a one-task window.
 
-    A range sort spreads the rows, the sorted rows are kept by a reliable checkpoint so that their
+    A range sort spreads the rows, the numbered rows are written down so that their
     numbering cannot change on a retry, and each partition's numbers are shifted by the rows before it.
     ``order`` must end in a unique column. The offset table has one row per partition.
     """
-    shared_dir(df.sparkSession)
     tag = F.monotonically_increasing_id()
-    placed = (
+    placed = keep(
         df.orderBy(*order)
         .withColumn("_at", tag)
         .withColumn("_part", F.shiftright("_at", 33))
-        .withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part"), 33))
-        .checkpoint()
+        .withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part"), 33)),
+        "placed",
     )
     offsets = (
         placed.groupBy("_part")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableward import model
 from tableward.functions.common import breaks_naming, col, day_literal, has_value, severity_rank
 from tableward.functions.skew import with_position
+from tableward.session import keep
 
 _COLUMNS = [f.name for f in model.FINDING_SCHEMA.fields]
 
@@ -168,9 +169,12 @@ def remediation_backlog(*findings: DataFrame) -> DataFrame:
 
 
 def ranked(backlog: DataFrame) -> DataFrame:
-    """Severity first, then impact, then id; ``rank`` numbers all rows."""
+    """Severity first, then impact, then id; ``rank`` numbers all rows.
+
+    A range sort looks at its input twice, so the findings are written down once before it.
+    """
     placed = with_position(
-        backlog.withColumn("_sev", severity_rank()), [F.asc("_sev"), F.desc("business_impact_usd"), F.asc("finding_id")]
+        keep(backlog, "backlog").withColumn("_sev", severity_rank()), [F.asc("_sev"), F.desc("business_impact_usd"), F.asc("finding_id")]
     )
     return placed.drop("_sev").orderBy("rank")
 
@@ -191,7 +195,7 @@ def quick_wins(backlog: DataFrame) -> DataFrame:
     """Least effort first, then highest impact."""
     per_day = F.round(F.col("business_impact_usd").cast("double") / F.col("sprint_estimate_days"), 4)
     placed = with_position(
-        backlog.withColumn("impact_per_day", per_day),
+        keep(backlog, "backlog").withColumn("impact_per_day", per_day),
         [F.asc("sprint_estimate_days"), F.desc("business_impact_usd"), F.asc("finding_id")],
     )
     return placed.orderBy("rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward.functions.skew import ROWS_PER_SEGMENT, hot_spans, with_neighbour
+from tableward.session import keep
 
 
 def watermark_extract(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
@@ -69,7 +70,7 @@ def scd2_history(
     starts = F.col("_prev").isNull() | was_gone | ~same
     steps = seen.filter(F.when(gone, ~F.coalesce(was_gone, F.lit(True))).otherwise(starts)).drop("_prev")
     if spans is not None:
-        steps = steps.checkpoint()  # the sliced plan reads its input twice
+        steps = keep(steps, "steps")  # the sliced plan reads its input twice
     return (
         with_neighbour(steps, key, seq, [seq[0]], "_next", spans, forward=True)
         .filter(F.col(op) != "DELETE")

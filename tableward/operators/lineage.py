@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tableward.functions.common import in_window
 from tableward.functions.skew import with_rank_by_count
-from tableward.session import shared_dir
+from tableward.session import keep
 
 NAMES_PER_PAGE = 1000
 
@@ -35,21 +35,20 @@ def lineage_closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """All (source, target) pairs within ``max_depth`` hops, with the least depth.
 
     Only pairs found in the last step are extended, and pairs already known are left out, so cycles end.
-    Each step is kept by a reliable checkpoint: the plan stays short and a lost executor costs one step.
+    Each step is written to the shared folder: the plan stays short and a lost executor costs one step.
     """
-    shared_dir(edges.sparkSession)
-    links = edges.select("source", "target").filter("source <> target").distinct().checkpoint()
+    links = keep(edges.select("source", "target").filter("source <> target").distinct(), "closure")
     hop = links.select(F.col("source").alias("target"), F.col("target").alias("_next"))
     known = links.withColumn("min_depth", F.lit(1))
     frontier = links
     for depth in range(2, max_depth + 1):
-        frontier = (
+        frontier = keep(
             frontier.join(hop, "target")
             .select("source", F.col("_next").alias("target"))
             .filter("source <> target")
             .distinct()
-            .join(known, ["source", "target"], "left_anti")
-            .checkpoint()
+            .join(known, ["source", "target"], "left_anti"),
+            "closure",
         )
         if frontier.isEmpty():
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "tableward", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,3 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared folder; nothing is created or removed."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, label: str = "kept") -> DataFrame:
+    """Write a result to the shared folder and go on from the files.
+
+    This cuts the plan, survives lost executors and fixes values that depend on how rows were split, such
+    as row numbers. Columnar files are read back with only the columns needed.
+    """
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
