@@ -262,8 +262,8 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT 'TOTAL', CAST(sum(edit_count_90d) AS BIGINT), CAST(sum(estimated_rerun_cost_usd) AS DECIMAL(18,2))
         FROM #edits WHERE severity = 'critical'""",
-    "rerun_cost_total": "SELECT sum(estimated_rerun_cost_usd) AS total_cost_usd FROM #edits",
-    "rerun_cost_total_critical": """SELECT sum(estimated_rerun_cost_usd) AS total_cost_usd FROM #edits
+    "rerun_cost_total": "SELECT CAST(sum(estimated_rerun_cost_usd) AS DECIMAL(28,2)) AS total_cost_usd FROM #edits",
+    "rerun_cost_total_critical": """SELECT CAST(sum(estimated_rerun_cost_usd) AS DECIMAL(28,2)) AS total_cost_usd FROM #edits
         WHERE severity = 'critical'""",
     "blast_radius": "SELECT * FROM #blast",
     "lineage_closure": """SELECT source, target, min(depth) AS min_depth FROM walk WHERE source <> target
@@ -293,8 +293,9 @@ ORACLE: dict[str, str] = {
     "classic_compute_jobs": """SELECT cluster_type, count(*) AS n,
         round(CAST(sum(annual_cost_usd) AS DOUBLE) * 0.4, 2) AS est_saving
         FROM @jobs WHERE cluster_type <> 'HOUSEHOLD' GROUP BY cluster_type""",
-    "full_rescan_signal": """SELECT pipeline_id, count(*) AS n, round(regr_slope(y, x), 4) AS slope,
-        round(regr_r2(y, x), 4) AS r2 FROM (
+    "full_rescan_signal": """SELECT pipeline_id, count(*) AS n,
+        CASE WHEN min(x) < max(x) THEN round(regr_slope(y, x), 4) END AS slope,
+        CASE WHEN min(x) < max(x) THEN round(regr_r2(y, x), 4) END AS r2 FROM (
             SELECT pipeline_id, CAST(duration_sec AS DOUBLE) AS y, epoch(start_time) / 86400.0e0 AS x FROM @runs) z
         GROUP BY pipeline_id HAVING count(*) >= 5""",
     "retry_after_failure": """SELECT run_id, pipeline_id, prev_status FROM #stepped
@@ -338,7 +339,7 @@ ORACLE: dict[str, str] = {
         {_frac("count(*)", "(SELECT count(*) FROM @grants)", 4)} AS share
         FROM (SELECT CASE WHEN regexp_matches(principal, {USER}) THEN 'user' ELSE 'group' END AS kind FROM @grants) x
         GROUP BY kind""",
-    "long_owned_by_creator": """SELECT table_id, DATE '2001-11-05' - created_at AS days_owned FROM @tables
+    "long_owned_by_creator": """SELECT table_id, CAST(DATE '2001-11-05' - created_at AS INTEGER) AS days_owned FROM @tables
         WHERE owner_email = created_by AND DATE '2001-11-05' - created_at > 180""",
     "ownership_coverage": f"""SELECT count(*) AS total, {_n("has_owner_tag")} AS owned,
         {_frac("100 * count(*) FILTER (WHERE has_owner_tag)", "count(*)", 2)} AS coverage_pct,
@@ -352,7 +353,7 @@ ORACLE: dict[str, str] = {
     "ownership_trend_report": "SELECT report_date, coverage_pct, goal_pct FROM #trend",
     "production_ownership_split": """SELECT has_owner_tag AS has_owner, count(*) AS n FROM @pipelines WHERE is_production
         GROUP BY has_owner_tag""",
-    "stale_experiments": """SELECT experiment_id, DATE '2001-08-02' - CAST(last_run_date AS DATE) AS days_since_run
+    "stale_experiments": """SELECT experiment_id, CAST(DATE '2001-08-02' - CAST(last_run_date AS DATE) AS INTEGER) AS days_since_run
         FROM @experiments_by_run WHERE DATE '2001-08-02' - CAST(last_run_date AS DATE) > 30""",
     "experiment_governance_gaps": """SELECT experiment_id, owner_email IS NULL AS no_owner,
         NOT has_description AS no_description, NOT has_registered_model AS no_model,
@@ -466,7 +467,7 @@ ORACLE: dict[str, str] = {
         WHERE o_custkey NOT IN (SELECT c_custkey FROM @snap_new)""",
     "interval_check": """SELECT 'end_before_start' AS "check", count(*) AS bad_n FROM @timed_runs
         WHERE end_time < start_time""",
-    "freshness_check": """SELECT max(event_time) AS max_ts, DATE '2024-01-31' - CAST(max(event_time) AS DATE) AS age_days,
+    "freshness_check": """SELECT max(event_time) AS max_ts, CAST(DATE '2024-01-31' - CAST(max(event_time) AS DATE) AS INTEGER) AS age_days,
         count(*) AS n, DATE '2024-01-31' - CAST(max(event_time) AS DATE) <= 2 AND count(*) >= 1000 AS ok FROM @writes""",
     "row_count_anomaly": """SELECT day, n, z, coalesce(abs(z) > 2, false) AS anomaly FROM (
         SELECT day, n, round((d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0), 4) AS z FROM (

@@ -14,7 +14,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 def duck(folder):
     con = duckdb.connect()
     for f in os.listdir(folder):
-        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+        part = "/*.parquet" if os.path.isdir(f"{folder}/{f}") else ""
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}{part}'")
     return con
 
 
