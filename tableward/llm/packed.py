@@ -13,8 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Records a task gathers before it packs them; bounds memory (about 100 MB), not what is sent.
-FLUSH = 1_500_000
+#: Records a task gathers before it packs them; bounds memory (about 60 MB), not what is sent.
+FLUSH = 800_000
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -71,7 +71,7 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
 
     ``docs`` has (doc long, text). Anchors with more than ``common`` differing runs get state 2.
     """
-    buckets = packed.bucket_count(docs)
+    buckets = 2 * packed.bucket_count(docs)
 
     def records(batch: pa.RecordBatch):
         data, at = sq.texts(batch.column(1))

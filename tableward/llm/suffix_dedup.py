@@ -8,7 +8,7 @@ documents, and strings are judged on the input.
 2. Refinement. The remaining suffixes are sorted into buckets by their first 8 bytes; a bucket at depth d is split by the
    bucket identifier of the suffix d bytes later, which is at depth d as well, so each round doubles the depth. The new identifiers
    serve the next round, until ``length`` bytes are compared. Suffixes alone in their bucket leave early. This compares bytes, not hashes.
-3. Anchors with very many differing runs are spread: each of their windows goes by its own full content, aggregated before it moves.
+3. Anchors with over ``common`` differing runs (some MB) are spread: each of their windows goes by its own full content, aggregated before it moves.
 
 Defined cases: a missing text is empty and has no spans; texts shorter than ``length`` lose nothing; repeated rows (same id and text) get equal
 results; a missing id counts as the smallest; further columns are carried through by ``remove_repeats``, whatever their names.
@@ -101,14 +101,14 @@ def _compared(table: pa.Table, length: int) -> pa.Table:
     return pa.table([pa.array(x, pa.int64()) for x in (d[new], s[new], np.diff(np.append(new, len(d))))], schema=_RUN)
 
 
-def repeated_runs(docs: DataFrame, length: int = 50, q: int = 16, common: int = 256) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 50, q: int = 16, common: int = 50_000) -> DataFrame:
     """(doc, start, count): windows ``start .. start + count - 1`` of document ``doc`` also start in an earlier one.
 
     ``docs`` has (doc long, text).
     """
     ship(docs.sparkSession)
     found = keep(rw.runs_of_windows(docs, length, q, common), "suffix-buckets")
-    routes = packed.bucket_count(docs)
+    routes = 2 * packed.bucket_count(docs)
     asked = (
         found.filter("state > 0")
         .groupBy("doc")
