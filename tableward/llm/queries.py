@@ -6,18 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableward.llm import suffix_dedup
+from tableward.llm import jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document."""
+    return token_counts.count_sections(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document that repeat a smaller doc_id, over 50-byte strings."""
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 4-word shingles at 85 %."""
+    return jaccard_join.digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that repeat a smaller doc_id, over windows of 50 words."""
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of each document and whether it stays."""
+    judged = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_suffix_array_dedup,
+        op3_ngram_jaccard_join,
+        op6_substring_dedup,
+        op7_quality_rules,
+        op8_packing,
+    )
 }
