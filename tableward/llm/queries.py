@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableward.llm import jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_counts
+from tableward.llm import fingerprints, jaccard_join, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls and results of each conversation, linked, ordered, validated and as canonical JSON."""
+    return tool_calls.linked(*tool_calls.from_turns(_table(spark, sf_dir, "conversations")))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and how alike they are."""
+    return fingerprints.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that repeat a smaller doc_id, over windows of 50 words."""
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
@@ -44,14 +54,28 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document."""
+    return sharding.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op2_suffix_array_dedup,
         op3_ngram_jaccard_join,
+        op4_chat_formatting,
+        op5_document_fingerprints,
         op6_substring_dedup,
         op7_quality_rules,
         op8_packing,
+        op9_mixing,
+        op10_sharding,
     )
 }
