@@ -27,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Hash ranges per source within which documents are put in order.
 RANGES = 1024
+#: Tasks among which the documents of a shard are spread.
+PARTS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -144,3 +146,21 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     taken = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
     out = rows.join(taken, "row", "left")
     return out.select(F.col("doc").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 32) -> DataFrame:
+    """The mix as rows of documents, in the order of its shards.
+
+    One row per piece, with the columns of its document; a piece of a whole document has its text as it is, one that ends or begins at the edge of a
+    block has its words joined by spaces. Rows of one shard are spread over ``PARTS`` tasks by the hash that orders them.
+    """
+    _, pieces = mix(docs, id_col, text_col, source_col, shards)
+    own = docs.dropDuplicates([id_col]).withColumn("_size", words(text_col))
+    joined = own.join(pieces.select(F.col("doc").alias("_doc"), "start", "length", "shard", "rank"), F.col(id_col).eqNullSafe(F.col("_doc")))
+    listed = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
+    part = F.array_join(F.slice(listed, (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ")
+    cut = joined.withColumn(text_col, F.when(F.col("length") == F.col("_size"), F.col(text_col)).otherwise(part))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
+    group = F.col("shard") * PARTS + F.pmod(F.shiftright("rank", 32), F.lit(PARTS))
+    return cut.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group", "rank").select(*docs.columns)
