@@ -10,8 +10,11 @@ shingle. Two documents link when 100 x intersection >= ``PERCENT`` x union.
    of every part is a signature. A signature without shingles says nothing and is left out where a set has enough other
    parts to prove that none of its links needs it (``signatures``).
 3. Candidates. Documents that share a signature are compared with the smallest of them, on their texts. Links form components.
-4. Rest. Where a signature joins several components, pairs across them are compared as well, unless the triangle inequality of the
-   Jaccard distance rules them out by the distances to the smallest. So no link between components is lost.
+4. Rest. Where a signature joins several components, pairs across them are compared as well, so no link between components is lost.
+
+Before texts are fetched, a pair must pass its odd sketches: ``BITS`` parities of shingle counts. Each shingle that only one of two sets has
+flips one bit, so sets whose sketches differ in more bits than linked sets may differ in shingles are not linked. This rules out nearly all pairs
+that share a passage or stem from one text but were edited too much, inside the join that makes the pairs.
 
 Defined cases: a missing text, or one without words, has an empty set and links with nothing; repeated rows get equal results; a missing id
 forms no links and is its own component (null).
@@ -34,6 +37,9 @@ from tableward.session import keep
 
 WORDS = 4
 PERCENT = 85
+#: Parities in an odd sketch, 64 in each of its columns.
+BITS = 512
+_ODD = [f"odd{k}" for k in range(BITS // 64)]
 _U = np.uint64
 _BLOBS = ["key", "doc", "paired", "more_key", "more_doc"]
 _PACKED = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in _BLOBS])
@@ -53,6 +59,12 @@ def set_sums(own: np.ndarray) -> tuple[int, int]:
     return int(sq.mix(own).sum(dtype=_U).view(np.int64)), int(sq.mix(own * _U(0x9FB21C651E98DF25) + _U(7)).sum(dtype=_U).view(np.int64))
 
 
+def odd_sketch(own: np.ndarray) -> list[int]:
+    """Parity of the number of shingles in each of ``BITS`` classes of their hashes, as 64-bit numbers."""
+    place = (sq.mix(own ^ _U(0x2545F4914F6CDD1D)) >> _U(32)).astype(np.int64) * BITS >> 32
+    return np.packbits(np.bincount(place, minlength=BITS) & 1).view(np.int64).tolist()
+
+
 def band_of(size: int, percent: int) -> tuple[int, int, int]:
     """(number, least, largest) of the size band: linked sets are in one band or in neighbouring ones."""
     number, low = 0, 1
@@ -96,7 +108,7 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         sums = sums.reshape(parts, 3)
         tag = _U(band + 1) << _U(40)
         if not k:  # linked sets of this band are equal; so one signature, of the whole set
-            out.append(sq.mix(sums.sum(dtype=_U) + tag).reshape(1))
+            out.append(sq.mix(sums.sum(dtype=_U, keepdims=True).reshape(1) + tag))
             continue
         x, y = np.array([0, 0, 1]), np.array([1, 2, 2])
         where = tag + np.arange(3 * parts, dtype=_U).reshape(parts, 3)
@@ -107,8 +119,9 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc, n, rep): size of each document's set and the smallest document with an equal set. ``docs`` has (doc long, text)."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(doc, n, rep, odd sketch): the smallest document with an equal set is ``rep``. ``docs`` has (doc long, text)."""
+    names = ["doc", "n", "h1", "h2", *_ODD]
+    schema = pa.schema([(x, pa.int64()) for x in names])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +129,13 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
             rows = []
             for i in range(batch.num_rows):
                 own = shingles(data[at[i] : at[i + 1]], words)
-                rows.append((len(own), *set_sums(own)))
-            columns = list(zip(*rows)) or [[]] * 3
+                rows.append((len(own), *set_sums(own), *odd_sketch(own)))
+            columns = list(zip(*rows)) or [[]] * (3 + len(_ODD))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], schema=schema)
 
-    sums = keep(docs.select("doc", "text").mapInArrow(summed, "doc long, n long, h1 long, h2 long"), "jaccard-sums")
+    sums = keep(docs.select("doc", "text").mapInArrow(summed, ", ".join(f"{x} long" for x in names)), "jaccard-sums")
     reps = sums.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
-    return sums.join(reps, ["n", "h1", "h2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
+    return sums.join(reps, ["n", "h1", "h2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"), *_ODD)
 
 
 def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -218,35 +231,39 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     named = own.filter("doc IS NOT NULL")
     of_class = keep(classes(own, words), "jaccard-classes")
-    reps = of_class.filter("doc IS NOT NULL").select("doc", "n", "rep").distinct()
-    keys = shared_signatures(named, words, percent).join(reps, "doc").select("key", F.col("rep").alias("doc"), "n").distinct()
-    keys = keep(keys, "jaccard-signatures")
-    heads = keys.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"), F.max("doc").alias("last")).filter("head.doc < last")
-    keys = keep(keys.join(heads, "key").select("key", "doc", "n", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n")), "jaccard-candidates")
-
-    def alike(x: str, y: str):
-        """Sizes allow a link."""
-        return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-
-    pairs = keys.filter("doc <> head").filter(alike("n", "head_n")).select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
-    wanted = keep(named.join(keys.select("doc").distinct(), "doc").dropDuplicates(["doc"]), "jaccard-texts")
-    first = keep(compared(pairs, wanted, words), "jaccard-compared")
+    reps = of_class.filter("doc IS NOT NULL").dropDuplicates(["doc"])
+    keys = shared_signatures(named, words, percent).join(reps.select("doc", "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct()
+    heads = keys.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("head < last").select("key", "head")
+    keys = keep(keys, "jaccard-signatures").join(heads, "key")
+    facts = reps.filter("doc = rep").select("doc", "n", *_ODD)
+    keys = keep(keys.join(facts, "doc"), "jaccard-candidates")
+
+    def possible(other: str):
+        """Column: sizes and odd sketches of a row and of columns with ``other`` allow a link."""
+        n, m = F.col("n"), F.col(f"n{other}")
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}{other}"))) for c in _ODD[1:]), F.bit_count(F.col(_ODD[0]).bitwiseXOR(F.col(f"{_ODD[0]}{other}"))))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits * (100 + percent) <= (n + m) * (100 - percent))
+
+    to_head = keys.filter("doc <> head").select("doc", "head", "n", *_ODD).distinct()
+    of_head = facts.select(F.col("doc").alias("head"), *(F.col(c).alias(f"{c}_y") for c in ("n", *_ODD)))
+    pairs = keep(to_head.join(of_head, "head").filter(possible("_y")).select(F.col("doc").alias("a"), F.col("head").alias("b")), "jaccard-pairs")
     linked = F.col("both") * 100 >= F.col("either") * percent
-    links = first.filter(linked).select("a", "b")
+    texts = lambda pairs: named.join(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc").dropDuplicates(["doc"])
+    links = keep(compared(pairs, keep(texts(pairs), "jaccard-texts"), words).filter(linked).select("a", "b"), "jaccard-links")
     part = components(links)
 
-    # keys that join several components; where sizes ruled the head out, its distance is not known and nothing is pruned
+    # keys that join several components
     tagged = keys.join(part.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    far = first.select(F.col("a").alias("doc"), F.col("b").alias("head"), (1 - F.col("both") / F.col("either")).alias("far"))
-    open_ = tagged.filter("doc <> head").join(mixed, "key").join(far, ["doc", "head"], "left").select("key", "doc", "n", "component", "far")
-    open_ = keep(open_, "jaccard-open")
-    x, y = open_, open_.select("key", *(F.col(c).alias(f"{c}_y") for c in ("doc", "n", "component", "far")))
-    near = F.coalesce(F.abs(F.col("far") - F.col("far_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    rest = x.join(y, "key").filter("doc > doc_y AND component <> component_y").filter(near).filter(alike("n", "n_y"))
-    rest = rest.select(F.col("doc").alias("a"), F.col("doc_y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = compared(keep(rest, "jaccard-rest"), wanted, words).filter(linked).select("a", "b")
-    whole = components(links.unionByName(keep(more, "jaccard-more")))
+    open_ = keep(tagged.filter("doc <> head").join(mixed, "key").select("key", "doc", "component", "n", *_ODD), "jaccard-open")
+    other = open_.select("key", *(F.col(c).alias(f"{c}_y") for c in ("doc", "component", "n", *_ODD)))
+    apart = (F.col("doc") > F.col("doc_y")) & (F.col("component") != F.col("component_y"))
+    rest = open_.join(other, "key").filter(apart & possible("_y")).select(F.col("doc").alias("a"), F.col("doc_y").alias("b")).distinct()
+    rest = keep(rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    if not rest.isEmpty():
+        more = compared(rest, keep(texts(rest), "jaccard-texts"), words).filter(linked).select("a", "b")
+        part = components(links.unionByName(keep(more, "jaccard-more")))
+    whole = part
     return of_class.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc", "n", "rep", F.coalesce("component", "rep").alias("component")
     )
