@@ -56,7 +56,7 @@ def slot_map(totals: DataFrame, shards: int) -> DataFrame:
 def rebalanced(current: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     """The next version of the map with ``shards`` shards, more than before.
 
-    Each old shard keeps its largest slots while they fit the new mean and hands on the rest; those are dealt to the
+    Each old shard keeps its largest slots while at least half of one fits the new mean, and hands on the rest; those are dealt to the
     new shards. Nothing moves between old shards. Slots that held nothing so far are dealt like empty ones.
     """
     before = current.agg((F.max("shard") + 1).alias("n"), F.max("version").alias("v")).first()
@@ -64,7 +64,7 @@ def rebalanced(current: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     mean = F.sum("bytes").over(Window.partitionBy()) / shards
     mine = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     known = totals.join(current.select("virtual_slot", "shard"), "virtual_slot", "left")
-    judged = keep(known.withColumn("stays", F.col("shard").isNotNull() & (F.sum("bytes").over(mine) <= F.ceil(mean))), "sharding-map")
+    judged = keep(known.withColumn("stays", F.col("shard").isNotNull() & (F.sum("bytes").over(mine) - F.col("bytes") / 2 <= mean)), "sharding-map")
     moved = _dealt(judged.filter(~F.col("stays")), f"array_repeat(0L, {shards - old})").withColumn("shard", F.col("shard") + old)
     return judged.filter("stays").select("virtual_slot", "shard").unionByName(moved).withColumn("version", F.lit(version + 1)).select("version", "virtual_slot", "shard")
 

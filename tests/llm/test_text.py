@@ -58,7 +58,7 @@ def test_given_sections(spark):
     rows = [(1, "Hello world, hello", [(0, 5), (0, 18), (3, 8), (7, 7), (-4, 99), (None, 3)]), (2, None, [(0, 1)]), (3, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:long,end:long>>")
     got = {r.section: (r.n_tokens, r.token_share, r.n_cut) for r in token_counts.count_sections(df, sections_col="parts").collect()}
-    assert got[0] == (1, 1.0, 0) and got[1][0] == got[4][0] == 4 and got[3] == (0, 0.0, 1) and 5 not in got
+    assert got[0] == (1, 1.0, 0) and got[1][0] == got[4][0] == 4 and got[3] == (0, 0.0, 2) and 5 not in got
     assert got[2][1] == pytest.approx(2 / 5 + 3 / 6) and got[2][2] == 2
 
 
