@@ -26,10 +26,22 @@ def time_literal(df: DataFrame, name: str, day: dt.date) -> Column:
 
 
 def in_window(df: DataFrame, name: str, as_of: str | dt.date, days: int) -> Column:
-    """``as_of - days <= column <= as_of``, both ends included."""
+    """The last ``days`` days, the day ``as_of`` included to its end; a timestamp ends the window at its instant."""
     end = as_date(as_of)
-    start = end - dt.timedelta(days=days)
-    return (F.col(name) >= time_literal(df, name, start)) & (F.col(name) <= time_literal(df, name, end))
+    since = F.col(name) >= time_literal(df, name, end - dt.timedelta(days=days))
+    if isinstance(as_of, dt.datetime):
+        return since & (F.col(name).cast("timestamp") <= F.lit(as_of.isoformat()).cast("timestamp"))
+    return since & (F.col(name) < time_literal(df, name, end + dt.timedelta(days=1)))
+
+
+def is_true(c: str | Column) -> Column:
+    """A flag that is set; an unknown one is not."""
+    return F.coalesce(col(c), F.lit(False))
+
+
+def is_false(c: str | Column) -> Column:
+    """A flag that is not set or not known."""
+    return ~is_true(c)
 
 
 def day_literal(as_of: str | dt.date) -> Column:

@@ -7,73 +7,32 @@ from pyspark.sql import functions as F
 
 from tableward.session import keep
 
-ROWS_PER_SEGMENT = 1_000_000
-
-
-def _micros(name: str) -> Column:
-    return F.unix_micros(F.col(name).cast("timestamp"))
-
-
-def hot_spans(df: DataFrame, keys: list[str], time: str, rows: int = ROWS_PER_SEGMENT) -> DataFrame | None:
-    """Keys with more than ``rows`` rows and how to slice their time span; None when there are none.
-
-    One pass over the key and time columns, reduced on the map side. At most (all rows / ``rows``) keys come
-    out. The result is written down, so that the plan built on it stays small.
-    """
-    width = (F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(rows))
-    spans = keep(
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(_micros(time)).alias("_t0"), F.max(_micros(time)).alias("_t1"))
-        .filter(F.col("_n") > rows)
-        .select(*keys, "_t0", F.greatest(F.lit(1.0), width).alias("_width")),
-        "spans",
-    )
-    return None if spans.isEmpty() else spans
-
-
 def with_neighbour(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    values: list[str],
-    out: str,
-    spans: DataFrame | None,
-    forward: bool = False,
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], out: str, forward: bool = False
 ) -> DataFrame:
     """lag (or lead, ``forward``) of ``values`` as struct ``out``, per key in ``order``.
 
-    ``spans`` comes from ``hot_spans`` over the same rows or a superset. Without hot keys this is a plain window. A hot
-    key is cut into time slices that depend on the data only, so a retried task gets the same ones. The
-    window runs inside each slice; the row at the edge takes the border row of the nearest slice, found on one
-    row per slice. ``order[0]`` must be a time column.
+    Rows are range-partitioned by key and order and written down, so a key with very many rows lies in several neighbouring
+    partitions, also if they share one time; ``order`` must end in a column that tells them apart. The window runs per partition and key. At
+    the edge of a partition the row takes the border row of the nearest partition with its key: only keys in several
+    partitions have any, so the borders are at most two rows per partition.
     """
     packed = F.struct(*values)
-    step = F.lead if forward else F.lag
-    if spans is None:
-        return df.withColumn(out, step(packed).over(Window.partitionBy(*keys).orderBy(*order)))
-    border = F.min_by if forward else F.max_by
-    seg_keys = [*keys, "_seg"]
-    slice_no = F.floor((_micros(order[0]) - F.col("_t0")) / F.col("_width")).cast("bigint")
-    # the explicit exchange keeps the slices of one key apart even where the join already hashed by key
-    parts = (
-        df.join(spans, keys, "left")
-        .withColumn("_seg", F.coalesce(slice_no, F.lit(0).cast("bigint")))
-        .drop("_t0", "_width")
-        .repartition(*seg_keys)
-    )
-    near = parts.withColumn("_near", step(packed).over(Window.partitionBy(*seg_keys).orderBy(*order)))
+    step, border = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
+    placed = keep(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "neighbours")
+    near = placed.withColumn("_near", step(packed).over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    spread = placed.groupBy(*keys).agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).filter("_lo < _hi").select(*keys)
     edges = (
-        df.join(spans, keys)
-        .withColumn("_seg", slice_no)
-        .groupBy(*seg_keys)
+        placed.join(F.broadcast(spread), keys, "left_semi")
+        .groupBy("_part", *keys)
         .agg(border(packed, F.struct(*order)).alias("_edge"))
-        .withColumn("_carry", step("_edge").over(Window.partitionBy(*keys).orderBy("_seg")))
-        .select(*seg_keys, "_carry")
+        .withColumn("_carry", step("_edge").over(Window.partitionBy(*keys).orderBy("_part")))
+        .select("_part", *keys, "_carry")
     )
     return (
-        near.join(edges, seg_keys, "left")
+        near.join(F.broadcast(edges), ["_part", *keys], "left")
         .withColumn(out, F.coalesce("_near", "_carry"))
-        .drop("_near", "_carry", "_seg")
+        .drop("_near", "_carry", "_part")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward import model
-from tableward.functions.common import breaks_naming, col, day_literal, has_value, severity_rank
+from tableward.functions.common import breaks_naming, col, day_literal, has_value, is_false, is_true, severity_rank
 from tableward.functions.skew import with_position
 from tableward.session import keep
 
@@ -114,11 +114,11 @@ def pipeline_findings(health: DataFrame, as_of, impact: float = 1000.0, label: s
     rules = [
         (F.col("failure_rate_30d") > model.FAILURE_CRITICAL, "failing", "critical", "ETL Hygiene",
          "Failure rate above the critical limit", "Fix the failing step and add alerting", 3, 4 * impact),
-        (~F.col("has_owner_tag") & F.col("is_production"), "unowned", "high", "Ownership & Access",
+        (is_false("has_owner_tag") & is_true("is_production"), "unowned", "high", "Ownership & Access",
          "Production pipeline has no owner", "Assign an owner", 2, 2 * impact),
-        (~F.col("has_dq_expectations"), "no_dq", "high", "ETL Hygiene",
+        (is_false("has_dq_expectations"), "no_dq", "high", "ETL Hygiene",
          "Pipeline has no data-quality rules", "Add expectations", 3, impact),
-        (F.col("uses_hardcoded_paths"), "paths", "high", "ETL Hygiene",
+        (is_true("uses_hardcoded_paths"), "paths", "high", "ETL Hygiene",
          "Pipeline uses hard-coded paths", "Move paths to parameters", 3, impact),
     ]
     return rule_findings(health, "pipeline", "pipeline_id", rules, as_of, label)
@@ -131,7 +131,7 @@ def model_findings(models: DataFrame, stale: DataFrame, as_of, label: str | None
         F.col("last_write"), 5000.0, label=label,
     )
     rules = [
-        (~F.col("is_registered"), "unregistered", "high", "ML/AI Governance", "Model is not in the registry",
+        (is_false("is_registered"), "unregistered", "high", "ML/AI Governance", "Model is not in the registry",
          "Register the model", 4, 800),
     ]
     return on_raw.unionByName(rule_findings(models, "ml_model", "model_id", rules, as_of, label))
@@ -140,7 +140,7 @@ def model_findings(models: DataFrame, stale: DataFrame, as_of, label: str | None
 def table_findings(tables: DataFrame, as_of, label: str | None = None) -> DataFrame:
     rules = [
         (breaks_naming("table_name"), "naming", "medium", "Data Quality", "Table name breaks the naming rule",
-         "Rename to layer_domain_entity", 1, 100),
+         "Give the table a name of layer, domain and entity", 1, 100),
         ((F.col("data_layer") == "bronze") & ~has_value("table_comment"), "comment", "medium", "Data Quality",
          "Bronze table has no comment", "Describe the table", 1, 50),
     ]
@@ -169,14 +169,14 @@ def remediation_backlog(*findings: DataFrame) -> DataFrame:
 
 
 def ranked(backlog: DataFrame) -> DataFrame:
-    """Severity first, then impact, then id; ``rank`` numbers all rows.
+    """Severity first, then impact, then id; ``rank`` numbers all rows, which come in no set order.
 
     A range sort looks at its input twice, so the findings are written down once before it.
     """
     placed = with_position(
         keep(backlog, "backlog").withColumn("_sev", severity_rank()), [F.asc("_sev"), F.desc("business_impact_usd"), F.asc("finding_id")]
     )
-    return placed.drop("_sev").orderBy("rank")
+    return placed.drop("_sev")
 
 
 def top_n(backlog: DataFrame, n: int = 10, severities: tuple[str, ...] = ("critical", "high")) -> DataFrame:
@@ -198,7 +198,7 @@ def quick_wins(backlog: DataFrame) -> DataFrame:
         keep(backlog, "backlog").withColumn("impact_per_day", per_day),
         [F.asc("sprint_estimate_days"), F.desc("business_impact_usd"), F.asc("finding_id")],
     )
-    return placed.orderBy("rank")
+    return placed
 
 
 def filtered(backlog: DataFrame, severities: list[str]) -> DataFrame:

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.skew import ROWS_PER_SEGMENT, hot_spans, with_neighbour
-from tableward.session import keep
+from tableward.functions.skew import with_neighbour
 
 
-def watermark_extract(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
-    """Source rows above the target's high-water mark.
+def watermark_extract(source: DataFrame, target: DataFrame, column: str, key: list[str]) -> DataFrame:
+    """Source rows from the target's high-water mark on that the target lacks.
 
-    The mark is one value; reading it first puts a literal into the source filter, so files and row
-    groups below it are skipped.
+    The mark is one value; reading it first puts a literal into the source filter, so files and row groups below it are
+    skipped. Rows that carry exactly the mark may have come late, so they are told apart by ``key``.
     """
     mark = target.agg(F.max(column)).first()[0]
     if mark is None:
         return source
-    return source.filter(F.col(column) > F.lit(mark).cast(source.schema[column].dataType))
+    literal = F.lit(mark).cast(source.schema[column].dataType)
+    at_mark = target.filter(F.col(column) == F.lit(mark).cast(target.schema[column].dataType)).select(*key)
+    return source.filter(F.col(column) >= literal).join(at_mark, key, "left_anti").select(*source.columns)
 
 
 def idempotent_append(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
@@ -54,25 +55,21 @@ def scd2_history(
     seq: list[str],
     values: list[str],
     op: str = "op",
-    rows: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """Versions per key with ``valid_from``, ``valid_to`` and ``is_current``.
 
     Repeats of the same values are folded; a delete closes the open version. ``seq[0]`` must be a time.
     """
     wanted = feed.select(*key, *seq, *values, op)
-    spans = hot_spans(wanted, key, seq[0], rows)
-    seen = with_neighbour(wanted, key, seq, [op, *values], "_prev", spans)
+    seen = with_neighbour(wanted, key, seq, [op, *values], "_prev")
     same = F.lit(True)
     for v in values:
         same = same & F.col(v).eqNullSafe(F.col(f"_prev.{v}"))
     gone, was_gone = F.col(op) == "DELETE", F.col(f"_prev.{op}") == "DELETE"
     starts = F.col("_prev").isNull() | was_gone | ~same
     steps = seen.filter(F.when(gone, ~F.coalesce(was_gone, F.lit(True))).otherwise(starts)).drop("_prev")
-    if spans is not None:
-        steps = keep(steps, "steps")  # the sliced plan reads its input twice
     return (
-        with_neighbour(steps, key, seq, [seq[0]], "_next", spans, forward=True)
+        with_neighbour(steps, key, seq, [seq[0]], "_next", forward=True)
         .filter(F.col(op) != "DELETE")
         .select(
             *key,

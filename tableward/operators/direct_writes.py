@@ -72,16 +72,12 @@ def bronze_table_edits(
 ) -> DataFrame:
     """One row per edited table, keyed by ``table_id``.
 
-    ``downstream`` is the result of ``lineage.blast_radius``. Its list is shown where it fits one page; for wider tables
-    the cell is NULL and the pages of ``blast_radius`` hold all names.
+    ``downstream`` is the result of ``lineage.downstream_counts`` over edges into gold tables; which tables they are is
+    told by ``lineage.blast_radius``, a row for each.
     """
     counts = edit_counts(writes, as_of, days, "table_id")
-    single = downstream.filter("list_page = 0").select(
-        "table_id",
-        F.col("downstream_count").alias("downstream_gold_table_count"),
-        F.when(F.col("list_pages") == 1, F.col("downstream_list")).alias("downstream_gold_tables"),
-    )
-    joined = counts.join(single, "table_id", "left").join(costs, "table_id", "left")
+    affected = downstream.select("table_id", F.col("downstream_count").alias("downstream_gold_table_count"))
+    joined = counts.join(affected, "table_id", "left").join(costs, "table_id", "left")
     ranked = edit_severity(joined, threshold, executive, "table_id")
     return ranked.select(
         "table_id",
@@ -90,7 +86,6 @@ def bronze_table_edits(
         "last_edit_date",
         "last_action_type",
         F.coalesce("downstream_gold_table_count", F.lit(0)).cast("bigint").alias("downstream_gold_table_count"),
-        "downstream_gold_tables",
         F.coalesce("rerun_cost_usd", F.lit(0).cast("decimal(18,2)")).alias("estimated_rerun_cost_usd"),
         "severity",
     )

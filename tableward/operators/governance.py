@@ -13,12 +13,12 @@ from tableward.functions.common import has_value, ratio, sanitized
 # regular-expression dialects are used.
 VALUE_PATTERNS = {
     "email_address": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
-    "phone_number": "[0-9]{3}[ .-][0-9]{3,4}[ .-][0-9]{4}",
+    "phone_number": "[(]?[0-9]{3}[)]?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{4}",
     "card_number": "([0-9]{4}[ -]?){3}[0-9]{4}",
     "ip_address": "([0-9]{1,3}[.]){3}[0-9]{1,3}",
     "us_ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
-SENSITIVE_NAME = "(^|_)(ssn|email|dob|phone|address)(_|$)"
+SENSITIVE_NAME = "(?i)(^|_)(ssn|email|dob|phone|address)(_|$)"
 
 
 def detection_pattern(name: str) -> str:
@@ -34,8 +34,13 @@ _NEEDS = {"email_address": "_at", "phone_number": "_digits", "card_number": "_di
 _NEEDS["us_ssn"] = "_digits"
 
 
+# Order in which values are replaced: a card number first, with all digits that touch it, since other patterns match a part of one.
+_REDACTED = {"card_number": "[0-9]*([0-9]{4}[ -]?){3}[0-9]{4}[0-9]*"}
+_REDACTED |= {name: VALUE_PATTERNS[name] for name in ("email_address", "us_ssn", "ip_address", "phone_number")}
+
+
 def _tests(text: Column) -> dict[str, Column]:
-    return {"_at": text.contains("@"), "_digits": text.rlike("[0-9][0-9 .-]{3}")}
+    return {"_at": text.contains("@"), "_digits": text.rlike("[0-9][0-9 .)-]{3}")}
 
 
 def sensitive_name_scan(columns: DataFrame, tags: DataFrame) -> DataFrame:
@@ -129,8 +134,9 @@ def tags_of(tags: DataFrame, obj: str, columns: list[str]) -> dict[str, list[str
 def _redacted(text: Column, classes: list[str]) -> Column:
     """Values of the classes replaced; a text that holds none of what they need is passed through."""
     c = text
-    for name in classes:
-        c = F.regexp_replace(c, VALUE_PATTERNS[name], "***")
+    for name, pattern in _REDACTED.items():
+        if name in classes:
+            c = F.regexp_replace(c, pattern, "***")
     tests = _tests(text)
     suspect = F.lit(False)
     for need in sorted({_NEEDS[name] for name in classes}):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,39 +11,39 @@ from tableward.functions.common import in_window
 from tableward.functions.skew import with_rank_by_count
 from tableward.session import keep
 
-NAMES_PER_PAGE = 1000
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("source").alias("table_id"), "target").filter("table_id <> target").distinct()
+
+
+def downstream_counts(edges: DataFrame) -> DataFrame:
+    """Number of distinct downstream tables one hop away, per table that has any."""
+    return _pairs(edges).groupBy("table_id").agg(F.count(F.lit(1)).alias("downstream_count"))
 
-def blast_radius(edges: DataFrame, page: int = NAMES_PER_PAGE) -> DataFrame:
-    """Distinct downstream tables one hop away: count and comma-joined names.
 
-    Names come in pages of about ``page``: a table with more names is spread by hash over several
-    rows (``list_page``), so no list grows without bound and none is cut.
+def blast_radius(edges: DataFrame) -> DataFrame:
+    """One row per table and distinct downstream table one hop away, with the table's count of them.
+
+    The names stay rows: no cell grows with the number of dependents.
     """
-    pairs = edges.select(F.col("source").alias("table_id"), "target").filter("table_id <> target").distinct()
+    pairs = _pairs(edges)
     counts = pairs.groupBy("table_id").agg(F.count(F.lit(1)).alias("downstream_count"))
-    pages = F.ceil(F.col("downstream_count") / F.lit(page)).cast("bigint")
-    return (
-        pairs.join(counts, "table_id")
-        .withColumn("list_pages", pages)
-        .withColumn("list_page", F.pmod(F.xxhash64("target"), "list_pages"))
-        .repartition("table_id", "list_page")  # spreads the pages of one table over tasks
-        .groupBy("table_id", "downstream_count", "list_pages", "list_page")
-        .agg(F.array_join(F.sort_array(F.collect_list("target")), ",").alias("downstream_list"))
-    )
+    return pairs.join(counts, "table_id").select("table_id", F.col("target").alias("downstream_table"), "downstream_count")
 
 
-def lineage_closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """All (source, target) pairs within ``max_depth`` hops, with the least depth.
+def lineage_closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """All reachable (source, target) pairs with the least number of hops.
 
-    Only pairs found in the last step are extended, and pairs already known are left out, so cycles end.
-    Each step is written to the shared folder: the plan stays short and a lost executor costs one step.
+    ``start`` (table_id) limits the sources. Only pairs found in the last step are extended, and pairs already known are
+    left out, so the walk ends with the longest shortest path, on cycles too. Each step is written to
+    the shared folder: the plan stays short and a lost executor costs one step.
     """
     links = keep(edges.select("source", "target").filter("source <> target").distinct(), "closure")
     hop = links.select(F.col("source").alias("target"), F.col("target").alias("_next"))
-    known = links.withColumn("min_depth", F.lit(1))
-    frontier = links
-    for depth in range(2, max_depth + 1):
+    first = links if start is None else keep(links.join(start.select(F.col("table_id").alias("source")), "source", "left_semi"), "closure")
+    known = first.withColumn("min_depth", F.lit(1))
+    frontier = first
+    for depth in count(2):
         frontier = keep(
             frontier.join(hop, "target")
             .select("source", F.col("_next").alias("target"))

@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableward import model
-from tableward.functions.common import day_literal, has_value, in_window, is_direct_write
+from tableward.functions.common import day_literal, has_value, in_window, is_direct_write, is_false
 
 
 def stale_experiments(experiments: DataFrame, as_of, days: int = model.STALE_DAYS) -> DataFrame:
+    """Experiments without a run for over ``days`` days; one that never ran has no days."""
     idle = F.datediff(day_literal(as_of), F.to_date("last_run_date"))
     shown = [c for c in ("experiment_name",) if c in experiments.columns]
-    return experiments.filter(idle > days).select("experiment_id", *shown, idle.alias("days_since_run"))
+    return experiments.filter(idle.isNull() | (idle > days)).select("experiment_id", *shown, idle.alias("days_since_run"))
 
 
 def governance_gaps(experiments: DataFrame) -> DataFrame:
     no_owner, no_description, no_model = (
         ~has_value("owner_email"),
-        ~F.col("has_description"),
-        ~F.col("has_registered_model"),
+        is_false("has_description"),
+        is_false("has_registered_model"),
     )
     return experiments.select(
         "experiment_id",
@@ -61,7 +62,7 @@ def stale_model_root_cause(stale: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def unregistered(models: DataFrame) -> DataFrame:
-    return models.filter(~F.col("is_registered")).select("model_id")
+    return models.filter(is_false("is_registered")).select("model_id")
 
 
 def unused(models: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward import model
-from tableward.functions.common import in_window, ratio
+from tableward.functions.common import in_window, is_false, is_true, ratio
 
 
 def failure_rate(runs: DataFrame, as_of=None, window_days: int | None = 30) -> DataFrame:
@@ -26,9 +26,9 @@ def failure_rate(runs: DataFrame, as_of=None, window_days: int | None = 30) -> D
 
 def anti_pattern_count() -> Column:
     return (
-        (~F.col("has_owner_tag")).cast("int")
-        + (~F.col("has_dq_expectations")).cast("int")
-        + F.col("uses_hardcoded_paths").cast("int")
+        is_false("has_owner_tag").cast("int")
+        + is_false("has_dq_expectations").cast("int")
+        + is_true("uses_hardcoded_paths").cast("int")
     )
 
 
@@ -39,16 +39,16 @@ def anti_patterns(pipelines: DataFrame) -> DataFrame:
 def basic_status(rate: Column) -> Column:
     return (
         F.when(rate > model.FAILURE_CRITICAL, "critical")
-        .when((rate > model.FAILURE_WARNING) | ~F.col("has_owner_tag"), "warning")
+        .when((rate > model.FAILURE_WARNING) | is_false("has_owner_tag"), "warning")
         .otherwise("healthy")
     )
 
 
 def strict_status(rate: Column) -> Column:
-    unowned_production = ~F.col("has_owner_tag") & F.col("is_production")
+    unowned_production = is_false("has_owner_tag") & is_true("is_production")
     return (
         F.when((rate > model.FAILURE_CRITICAL) | unowned_production, "critical")
-        .when((rate > model.FAILURE_WARNING) | ~F.col("has_dq_expectations"), "warning")
+        .when((rate > model.FAILURE_WARNING) | is_false("has_dq_expectations"), "warning")
         .otherwise("healthy")
     )
 
@@ -88,7 +88,7 @@ def run_status(rates: DataFrame) -> DataFrame:
 
 
 def without_dq(pipelines: DataFrame) -> DataFrame:
-    return pipelines.filter(~F.col("has_dq_expectations")).select("pipeline_id")
+    return pipelines.filter(is_false("has_dq_expectations")).select("pipeline_id")
 
 
 def hardcoded_paths(pipelines: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tableward import model
 from tableward.functions.common import as_date, ratio, time_literal
-from tableward.functions.skew import ROWS_PER_SEGMENT, hot_spans, with_neighbour
+from tableward.functions.skew import with_neighbour
+from tableward.session import keep
 
 
 def full_rescan_signal(runs: DataFrame, min_runs: int = 5) -> DataFrame:
@@ -29,18 +30,17 @@ def full_rescan_signal(runs: DataFrame, min_runs: int = 5) -> DataFrame:
     )
 
 
-def retry_after_failure(runs: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def retry_after_failure(runs: DataFrame) -> DataFrame:
     """Runs whose previous run of the same pipeline failed or was cancelled."""
     known = runs.filter(F.col("pipeline_id").isNotNull()).select("pipeline_id", "run_id", "start_time", "status")
-    spans = hot_spans(known, ["pipeline_id"], "start_time", rows)
     return (
-        with_neighbour(known, ["pipeline_id"], ["start_time", "run_id"], ["status"], "_prev", spans)
+        with_neighbour(known, ["pipeline_id"], ["start_time", "run_id"], ["status"], "_prev")
         .select("run_id", "pipeline_id", F.col("_prev.status").alias("prev_status"))
         .filter(F.col("prev_status").isin("failed", "cancelled"))
     )
 
 
-def duplicate_load_signal(timeline: DataFrame, factor: float = 1.5, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def duplicate_load_signal(timeline: DataFrame, factor: float = 1.5) -> DataFrame:
     """Retries after which the target grew by more than one ordinary run's rows.
 
     The ordinary growth is the mean over runs that followed a success; unlike a median it is kept in a few
@@ -49,10 +49,9 @@ def duplicate_load_signal(timeline: DataFrame, factor: float = 1.5, rows: int =
     known = timeline.filter(F.col("pipeline_id").isNotNull()).select(
         "pipeline_id", "run_id", "start_time", "status", F.col("target_rows").cast("decimal(18,2)").alias("target_rows")
     )
-    spans = hot_spans(known, ["pipeline_id"], "start_time", rows)
-    stepped = with_neighbour(
-        known, ["pipeline_id"], ["start_time", "run_id"], ["status", "target_rows"], "_prev", spans
-    ).withColumn("growth", F.col("target_rows") - F.col("_prev.target_rows"))
+    stepped = with_neighbour(known, ["pipeline_id"], ["start_time", "run_id"], ["status", "target_rows"], "_prev")
+    stepped = stepped.withColumn("growth", F.col("target_rows") - F.col("_prev.target_rows"))
+    stepped = keep(stepped, "growth")  # read twice below
     ordinary = (
         stepped.filter((F.col("_prev.status") == "succeeded") & (F.col("growth") > 0))
         .groupBy("pipeline_id")

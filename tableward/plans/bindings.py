@@ -56,13 +56,17 @@ INPUTS: dict[str, str] = {
     "edges": """
         SELECT DISTINCT concat('part_', CAST(l_partkey AS STRING)) AS source,
                concat('supplier_', CAST(l_suppkey AS STRING)) AS target
-        FROM {lineitem} WHERE l_shipdate >= DATE '2001-08-07' AND l_shipdate <= DATE '2001-11-05'
+        FROM {lineitem}
         UNION ALL
         SELECT concat('supplier_', CAST(s_suppkey AS STRING)), concat('nation_', CAST(s_nationkey AS STRING))
         FROM {supplier}
         UNION ALL
         SELECT concat('nation_', CAST(n_nationkey AS STRING)), concat('region_', CAST(n_regionkey AS STRING))
         FROM {nation}""",
+    "gold_edges": """
+        SELECT DISTINCT concat('part_', CAST(l.l_partkey AS STRING)) AS source,
+               concat('nation_', CAST(s.s_nationkey AS STRING)) AS target
+        FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey""",
     "part_writes": """
         SELECT concat('part_', CAST(l_partkey AS STRING)) AS table_id, l_shipdate AS event_time,
                concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING))
@@ -70,17 +74,16 @@ INPUTS: dict[str, str] = {
                concat('user', CAST(l_suppkey AS STRING), '@example.com') AS user_email,
                CASE WHEN l_linestatus = 'F' THEN 'UPDATE' ELSE 'INSERT' END AS action_type,
                CASE l_returnflag WHEN 'A' THEN 'NOTEBOOK' WHEN 'R' THEN 'JOB' END AS entity_type
-        FROM {lineitem} WHERE l_shipdate >= DATE '2001-08-07' AND l_shipdate <= DATE '2001-11-05'""",
+        FROM {lineitem}""",
     "reads": """
         SELECT concat('part_', CAST(l.l_partkey AS STRING)) AS table_id, o.o_custkey AS pipeline_id
-        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
-        WHERE l.l_shipdate >= DATE '2001-08-07' AND l.l_shipdate <= DATE '2001-11-05'""",
+        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
     "ingest_lineage": """
         SELECT concat('supplier_', CAST(l_suppkey AS STRING)) AS source,
                CASE WHEN l_suppkey % 4 = 0 THEN 'external_database' ELSE 'table' END AS source_kind,
                l_partkey AS entity_id,
                CASE l_returnflag WHEN 'A' THEN 'NOTEBOOK' WHEN 'R' THEN 'JOB' ELSE 'PIPELINE' END AS entity_type
-        FROM {lineitem} WHERE l_shipdate >= DATE '2001-08-07' AND l_shipdate <= DATE '2001-11-05'""",
+        FROM {lineitem}""",
     "exec_tables": """
         SELECT concat('supplier_', CAST(s_suppkey AS STRING)) AS table_id FROM {supplier} WHERE s_suppkey % 25 = 0""",
     "tables": f"""
@@ -186,7 +189,7 @@ INPUTS: dict[str, str] = {
 }
 
 
-# Spark takes the latest row per key as an aggregate: no sort, and one row per key and task is shuffled.
+# Spark takes the latest row per key as an aggregate: one row per key and task is shuffled.
 SPARK_FORM = {
     "models": INPUTS["models"].replace(
         INPUTS["models"][INPUTS["models"].index("SELECT l_suppkey, l_partkey FROM (") : INPUTS["models"].index(") f ON")],

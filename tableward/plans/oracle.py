@@ -7,14 +7,30 @@ from __future__ import annotations
 
 import re
 
-from tableward.operators.governance import BUILT_IN_RULES, SENSITIVE_NAME, VALUE_PATTERNS
 from tableward.plans.bindings import as_sql
-from tableward.plans.registry import CUSTOM_RULES
 
 DIRECT = "(entity_type IS NULL OR entity_type IN ('NOTEBOOK', 'DBSQL_QUERY'))"
 NAME_OK = "'^(raw|bronze|silver|gold)_[a-z0-9]+(_[a-z0-9]+)+$'"
 USER = "'^[^@ ]+@[^@ ]+[.][a-zA-Z]+$'"
 SEV_RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"
+
+# Patterns of this side, written apart from those of the operators.
+SENSITIVE_NAME = "(?i)(^|_)(ssn|email|dob|phone|address)(_|$)"
+_CLASSES = {
+    "email_address": r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone_number": r"(^|[^\d])\(?\d\d\d\)?[-. ][-. ]?\d{3,4}[-. ]\d{4}([^\d]|$)",
+    "card_number": r"(^|[^\d])\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}([^\d]|$)",
+    "ip_address": r"(^|[^\d])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}([^\d]|$)",
+    "us_ssn": r"(^|[^\d])\d{3}-\d\d-\d{4}([^\d]|$)",
+}
+_REPLACED = {
+    "card_number": r"\d*\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\d*",
+    "email_address": r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "us_ssn": r"\d{3}-\d\d-\d{4}",
+    "ip_address": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
+    "phone_number": r"\(?\d\d\d\)?[-. ][-. ]?\d{3,4}[-. ]\d{4}",
+}
+_OWN_RULES = {"license_line": "([lL]icen[cs]e|LICENSE)", "secret_key": "(AKIA|sk-|ghp_)[A-Za-z0-9]{8,}"}
 GB1 = 1024 * 1024 * 1024
 TB1 = 1024 * GB1
 
@@ -63,7 +79,7 @@ _BACKLOG = " UNION ALL ".join(
               "stale_experiment", "'high'", "ML/AI Governance", "'Experiment has not run lately'",
               "Archive or rerun the experiment", 2, "300", "@experiments_by_run", "NULL"),
         _rule("table", "table_id", f"NOT regexp_matches(table_name, {NAME_OK})", "naming", "'medium'", "Data Quality",
-              "'Table name breaks the naming rule'", "Rename to layer_domain_entity", 1, "100", "@tables"),
+              "'Table name breaks the naming rule'", "Give the table a name of layer, domain and entity", 1, "100", "@tables"),
         _rule("table", "table_id", "data_layer = 'bronze' AND table_comment IS NULL", "comment", "'medium'",
               "Data Quality", "'Bronze table has no comment'", "Describe the table", 1, "50", "@tables"),
         _rule("job", "job_id", "cluster_type <> 'HOUSEHOLD'", "classic_compute", "'medium'", "ETL Hygiene",
@@ -85,12 +101,13 @@ STEPS: dict[str, str] = {
         FROM (SELECT table_name, user_email, event_time, action_type,
                      count(*) OVER (PARTITION BY table_name) AS edit_count_90d,
                      row_number() OVER (PARTITION BY table_name ORDER BY event_time DESC, event_id DESC) AS rn
-              FROM @writes WHERE {DIRECT} AND event_time >= DATE '2023-11-02' AND event_time <= DATE '2024-01-31') c
+              FROM @writes WHERE {DIRECT} AND event_time >= DATE '2023-11-02' AND event_time < DATE '2024-02-01') c
         WHERE rn = 1""",
     "blast": """
-        SELECT source AS table_id, count(DISTINCT target) AS downstream_count, CAST(1 AS BIGINT) AS list_pages,
-               CAST(0 AS BIGINT) AS list_page, string_agg(DISTINCT target, ',' ORDER BY target) AS downstream_list
-        FROM @edges WHERE source <> target GROUP BY source""",
+        SELECT source AS table_id, target AS downstream_table, count(*) OVER (PARTITION BY source) AS downstream_count
+        FROM (SELECT DISTINCT source, target FROM @edges WHERE source <> target) x""",
+    "gold_reach": """
+        SELECT source AS table_id, count(DISTINCT target) AS n FROM @gold_edges WHERE source <> target GROUP BY source""",
     "cost": """
         SELECT r.table_id, CAST(sum(c.cost_usd) AS DECIMAL(18,2)) AS rerun_cost_usd
         FROM (SELECT DISTINCT table_id, pipeline_id FROM @reads) r JOIN (
@@ -98,21 +115,20 @@ STEPS: dict[str, str] = {
                    AS DECIMAL(18,2)) AS cost_usd
             FROM (SELECT pipeline_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(duration_sec) AS DOUBLE) AS s,
                          CAST(count(*) FILTER (WHERE status = 'failed') AS DOUBLE) AS f
-                  FROM @runs WHERE start_time >= DATE '2001-05-04' AND start_time <= DATE '2001-08-02'
+                  FROM @runs WHERE start_time >= DATE '2001-05-04' AND start_time < DATE '2001-08-03'
                   GROUP BY pipeline_id) x) c ON c.pipeline_id = r.pipeline_id
         GROUP BY r.table_id""",
     "edits": f"""
         SELECT c.table_id, c.edit_count_90d, c.user_email AS last_editor_email,
                CAST(c.event_time AS DATE) AS last_edit_date, c.action_type AS last_action_type,
-               coalesce(b.downstream_count, 0) AS downstream_gold_table_count,
-               b.downstream_list AS downstream_gold_tables,
+               coalesce(b.n, 0) AS downstream_gold_table_count,
                CAST(coalesce(k.rerun_cost_usd, 0) AS DECIMAL(18,2)) AS estimated_rerun_cost_usd,
                CASE WHEN c.edit_count_90d > 3 OR x.source IS NOT NULL THEN 'critical' ELSE 'high' END AS severity
         FROM (SELECT table_id, user_email, event_time, action_type,
                      count(*) OVER (PARTITION BY table_id) AS edit_count_90d,
                      row_number() OVER (PARTITION BY table_id ORDER BY event_time DESC, event_id DESC) AS rn
-              FROM @part_writes WHERE {DIRECT}) c
-        LEFT JOIN #blast b ON b.table_id = c.table_id
+              FROM @part_writes WHERE {DIRECT} AND event_time >= DATE '2001-08-07' AND event_time < DATE '2001-11-06') c
+        LEFT JOIN #gold_reach b ON b.table_id = c.table_id
         LEFT JOIN #cost k ON k.table_id = c.table_id
         LEFT JOIN (SELECT DISTINCT source FROM @edges WHERE target IN (SELECT table_id FROM @exec_tables)) x
                ON x.source = c.table_id
@@ -120,7 +136,7 @@ STEPS: dict[str, str] = {
     "rates": f"""
         SELECT pipeline_id, count(*) AS total_runs, {_n("status = 'failed'")} AS failed_runs,
                {_frac("count(*) FILTER (WHERE status = 'failed')", "count(*)")} AS failure_rate
-        FROM @runs WHERE start_time >= DATE '2001-07-03' AND start_time <= DATE '2001-08-02' GROUP BY pipeline_id""",
+        FROM @runs WHERE start_time >= DATE '2001-07-03' AND start_time < DATE '2001-08-03' GROUP BY pipeline_id""",
     "rates_all": f"""
         SELECT pipeline_id, count(*) AS total_runs, {_n("status = 'failed'")} AS failed_runs,
                {_frac("count(*) FILTER (WHERE status = 'failed')", "count(*)")} AS failure_rate
@@ -138,7 +154,7 @@ STEPS: dict[str, str] = {
         SELECT m.model_id, m.upstream_features_table AS features_table, max(w.event_time) AS last_write
         FROM @models m JOIN @tables t ON t.table_id = m.upstream_features_table AND t.data_layer = 'bronze'
         JOIN @part_writes w ON w.table_id = t.table_id
-        WHERE {DIRECT} AND w.event_time >= DATE '2001-10-06' GROUP BY ALL""",
+        WHERE {DIRECT} AND w.event_time >= DATE '2001-10-06' AND w.event_time < DATE '2001-11-06' GROUP BY ALL""",
     "trend": f"""
         SELECT d AS report_date, CAST(count(*) FILTER (WHERE CAST(created_at AS DATE) <= d) AS BIGINT) AS total,
                CAST(count(*) FILTER (WHERE CAST(greatest(created_at, owned_at) AS DATE) <= d AND owned_at IS NOT NULL)
@@ -186,7 +202,7 @@ STEPS: dict[str, str] = {
                    {_frac(f"count(*) FILTER (WHERE regexp_matches({column}, '{pattern}'))", f"count({column})", 6)} AS hit_rate
             FROM @{obj}"""
         for obj, column in (("documents", "text"), ("pages", "html"), ("conversations", "text"))
-        for rule, pattern in BUILT_IN_RULES.items()
+        for rule, pattern in _CLASSES.items()
     ),
     "last_ops": """
         SELECT table_id, max(op_date) FILTER (WHERE operation = 'ANALYZE') AS analyzed,
@@ -211,10 +227,12 @@ _RESCUE = """concat('{', CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN concat
 _BRIEF = "finding_id, severity, asset_name, business_impact_usd, sprint_estimate_days"
 
 
-def _masked(column: str) -> str:
-    out = column
-    for pattern in VALUE_PATTERNS.values():
-        out = f"regexp_replace({out}, '{pattern}', '***', 'g')"
+def _masked(source: str, key: str, column: str) -> str:
+    """One subquery per class; a class is replaced where it is found often enough."""
+    out = f"SELECT {key}, {column} FROM {source}"
+    for name, pattern in _REPLACED.items():
+        often = f"(SELECT hit_rate >= 0.005 FROM #classified WHERE object = 'documents' AND rule = '{name}')"
+        out = f"SELECT {key}, CASE WHEN {often} THEN regexp_replace({column}, '{pattern}', '***', 'g') ELSE {column} END AS {column} FROM ({out}) m"
     return out
 
 
@@ -236,7 +254,7 @@ ORACLE: dict[str, str] = {
         AS severity FROM #event_edits""",
     "edit_severity_7d": f"""SELECT table_name, count(*) AS edit_count_90d,
         CASE WHEN count(*) > 5 THEN 'critical' ELSE 'high' END AS severity
-        FROM @writes WHERE {DIRECT} AND event_time >= DATE '2024-01-24' AND event_time <= DATE '2024-01-31'
+        FROM @writes WHERE {DIRECT} AND event_time >= DATE '2024-01-24' AND event_time < DATE '2024-02-01'
         GROUP BY table_name""",
     "edits_by_user": """SELECT table_name, user_email, action_type, CAST(event_time AS DATE) AS edit_date, count(*) AS n
         FROM @writes GROUP BY ALL""",
@@ -372,14 +390,16 @@ ORACLE: dict[str, str] = {
         {_frac("count(*) FILTER (WHERE table_comment IS NULL)", "count(*)", 4)} AS rate
         FROM @tables GROUP BY data_layer""",
     "legacy_catalog_usage": f"""SELECT catalog_name, {_n("live")} AS active, {_n("NOT live")} AS idle
-        FROM (SELECT catalog_name, table_id IN (SELECT table_id FROM @part_writes) AS live FROM @tables
+        FROM (SELECT catalog_name, table_id IN (SELECT table_id FROM @part_writes
+                  WHERE event_time >= DATE '2001-08-07' AND event_time < DATE '2001-11-06') AS live FROM @tables
               WHERE catalog_name IN ('Brand#1', 'Brand#2', 'Brand#3')) x GROUP BY catalog_name""",
     "catalog_sprawl": """SELECT catalog_name, count(DISTINCT data_layer) AS layers, count(*) AS tables,
         NOT regexp_matches(catalog_name, '^(dev|test|staging|prod)(_[a-z0-9]+)*$') AS off_pattern
         FROM @tables GROUP BY catalog_name""",
     "lineage_coverage_gap": """SELECT t.table_id, count(e.node) AS edge_n FROM @tables t LEFT JOIN (
             SELECT source AS node FROM @edges UNION ALL SELECT target FROM @edges) e ON e.node = t.table_id
-        WHERE t.table_id IN (SELECT table_id FROM @part_writes) GROUP BY t.table_id HAVING count(e.node) < 2""",
+        WHERE t.table_id IN (SELECT table_id FROM @part_writes
+            WHERE event_time >= DATE '2001-08-07' AND event_time < DATE '2001-11-06') GROUP BY t.table_id HAVING count(e.node) < 25""",
     "remediation_backlog": "SELECT * FROM #backlog",
     "backlog_ranked": f"""SELECT {_BRIEF}, row_number() OVER (
         ORDER BY {SEV_RANK}, business_impact_usd DESC, finding_id) AS rank FROM #backlog""",
@@ -410,7 +430,8 @@ ORACLE: dict[str, str] = {
         {_n("severity = 'critical'")} AS critical_n, {_n("severity = 'high'")} AS high_n,
         {_n("severity = 'medium'")} AS medium_n,
         (SELECT count(*) FROM @pipelines WHERE NOT has_owner_tag) AS unowned_n FROM #backlog""",
-    "watermark_extract": """SELECT * FROM @events WHERE ts > (SELECT max(ts) FROM @events WHERE ts < DATE '2024-01-20')""",
+    "watermark_extract": """SELECT * FROM @events e WHERE ts >= (SELECT max(ts) FROM @events WHERE ts < DATE '2024-01-20')
+        AND ts >= DATE '2024-01-20'""",
     "idempotent_append": "SELECT * FROM @events",
     "upsert_scd1": """SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (
         PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM @feed) x WHERE rn = 1 AND op <> 'DELETE'""",
@@ -486,16 +507,17 @@ ORACLE: dict[str, str] = {
     "custom_classifiers": " UNION ALL ".join(
         f"""SELECT '{n}' AS rule, {_n(f"regexp_matches(text, '{p}')")} AS hits,
             {_frac(f"count(*) FILTER (WHERE regexp_matches(text, '{p}'))", "count(text)", 6)} AS hit_rate FROM @documents"""
-        for n, p in CUSTOM_RULES.items()
+        for n, p in _OWN_RULES.items()
     ),
-    "auto_tag": """SELECT object, column_name, concat('class.', rule) AS tag FROM #classified WHERE hit_rate >= 0.005""",
+    "auto_tag": """SELECT object, column_name, concat('class.', rule) AS tag FROM #classified WHERE hit_rate >= 0.005
+        AND NOT (object = 'documents' AND rule = 'email_address')""",
     "tag_inheritance": """SELECT object, tag_key, tag_value, from_level FROM (
         SELECT o.object, t.tag_key, t.tag_value, t.level AS from_level, row_number() OVER (
             PARTITION BY o.object, t.tag_key
             ORDER BY CASE t.level WHEN 'table' THEN 0 WHEN 'schema' THEN 1 ELSE 2 END) AS rn
         FROM @objects o JOIN @object_tags t ON t.object = CASE t.level WHEN 'table' THEN o.object
             WHEN 'schema' THEN o.schema_object ELSE o.catalog_object END) x WHERE rn = 1""",
-    "column_mask": f"SELECT doc_id, {_masked('text')} AS text FROM @documents",
+    "column_mask": _masked("@documents", "doc_id", "text"),
     "row_filter": """SELECT * FROM @customers_by_nation WHERE n_name IN (
         SELECT object FROM @grants WHERE privilege = 'SELECT' AND principal LIKE 'grp_%')""",
     "unprotected_tables": f"""SELECT DISTINCT object FROM @columns
@@ -534,15 +556,13 @@ ORACLE: dict[str, str] = {
     "incremental_files": "SELECT * FROM @events WHERE ts >= DATE '2024-01-16'",
     "stream_dedup": "SELECT event_id, event_time FROM @writes",
     "stream_direct_write_alerts": f"""SELECT CAST(event_time AS DATE) AS day, table_name, count(*) AS n FROM @writes
-        WHERE {DIRECT} AND CAST(event_time AS DATE) + INTERVAL '2' DAY <= (
-            SELECT max(event_time) FROM @writes WHERE {DIRECT}) GROUP BY ALL""",
+        WHERE {DIRECT} GROUP BY ALL""",
     "stream_edit_sessions": """SELECT user_email, min(event_time) AS started, max(event_time) + INTERVAL '30' MINUTE AS ended,
         count(*) AS edits FROM (
             SELECT *, sum(opens) OVER (PARTITION BY user_email ORDER BY event_time) AS s FROM (
                 SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY user_email ORDER BY event_time)
                        < INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS opens FROM @writes) a) b
-        GROUP BY user_email, s
-        HAVING max(event_time) + INTERVAL '30' MINUTE <= (SELECT max(event_time) - INTERVAL '1' DAY FROM @writes)""",
+        GROUP BY user_email, s""",
     "stream_expectations": "SELECT event_id, value FROM @events WHERE value > 1 AND value < 60",
     "stream_cdc_apply": """SELECT user_id, ts AS event_time, event_id, value FROM (SELECT *, row_number() OVER (
         PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM @feed) x WHERE rn = 1 AND op <> 'DELETE'""",
@@ -554,7 +574,7 @@ ORACLE: dict[str, str] = {
 _WALK = """walk(source, target, depth) AS (
     SELECT source, target, 1 FROM in_edges
     UNION ALL
-    SELECT w.source, e.target, w.depth + 1 FROM walk w JOIN in_edges e ON e.source = w.target WHERE w.depth < 10)"""
+    SELECT w.source, e.target, w.depth + 1 FROM walk w JOIN in_edges e ON e.source = w.target)"""
 _REF = re.compile(r"([@#])([a-z_0-9]+)")
 
 

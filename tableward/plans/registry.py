@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableward.functions.common import is_false, is_true
 from tableward.model import schema
 from tableward.operators import backlog as B
 from tableward.operators import catalog as C
@@ -43,7 +44,6 @@ RULES = {
 EVENT_RULES = {"positive": "value > 1", "small": "value < 60"}
 CUSTOM_RULES = {"license_line": "(license|License|LICENSE|licence)", "secret_key": "(AKIA|sk-|ghp_)[A-Za-z0-9]{8,}"}
 TARGET = schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
-TAGGED_TEXT = {"text": list(G.VALUE_PATTERNS)}
 REDACT_ALL = dict.fromkeys(G.VALUE_PATTERNS, "redact")
 
 
@@ -52,7 +52,7 @@ def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     return f
 
 
-# direct writes ---------------------------------------------------------------------------------
+# direct writes
 
 
 @query
@@ -79,7 +79,7 @@ def _edits(i):
     return D.bronze_table_edits(
         i.part_writes,
         ASSETS_AS_OF,
-        L.blast_radius(i.edges),
+        L.downstream_counts(i.gold_edges),
         L.rerun_cost(i.runs, i.reads, RUNS_AS_OF, PRICE),
         D.feeding(i.edges, i.exec_tables),
         threshold=3,
@@ -156,7 +156,7 @@ def rerun_cost_total_critical(i):
     return D.rerun_cost_total(_edits(i), "critical")
 
 
-# lineage ---------------------------------------------------------------------------------------
+# lineage
 
 
 @query
@@ -166,7 +166,7 @@ def blast_radius(i):
 
 @query
 def lineage_closure(i):
-    return L.lineage_closure(i.edges, 10)
+    return L.lineage_closure(i.edges)
 
 
 @query
@@ -185,7 +185,7 @@ def blocked_dependents(i):
     return R.blocked_dependents(i.edges, unowned)
 
 
-# pipelines and runs ----------------------------------------------------------------------------
+# pipelines and runs
 
 
 @query
@@ -280,7 +280,7 @@ def weekly_failures(i):
     return R.weekly_failures(i.runs, RUNS_AS_OF)
 
 
-# ownership -------------------------------------------------------------------------------------
+# ownership
 
 
 @query
@@ -337,7 +337,7 @@ def production_ownership_split(i):
     return O.production_split(i.pipelines)
 
 
-# machine learning ------------------------------------------------------------------------------
+# machine learning
 
 
 @query
@@ -374,7 +374,7 @@ def unused_models(i):
     return M.unused(i.models)
 
 
-# catalog ---------------------------------------------------------------------------------------
+# catalog
 
 
 @query
@@ -399,10 +399,10 @@ def catalog_sprawl(i):
 
 @query
 def lineage_coverage_gap(i):
-    return C.lineage_gap(i.tables, i.edges, i.part_writes, ASSETS_AS_OF)
+    return C.lineage_gap(i.tables, i.edges, i.part_writes, ASSETS_AS_OF, 25)
 
 
-# backlog and scores ----------------------------------------------------------------------------
+# backlog and scores
 
 
 def _backlog(i):
@@ -466,15 +466,15 @@ def _scores(i):
             K.flag_checks(
                 i.pipelines,
                 [
-                    (~F.col("has_dq_expectations"), "etl_hygiene", "high"),
-                    (F.col("uses_hardcoded_paths"), "etl_hygiene", "high"),
+                    (is_false("has_dq_expectations"), "etl_hygiene", "high"),
+                    (is_true("uses_hardcoded_paths"), "etl_hygiene", "high"),
                 ],
                 RUNS_AS_OF,
             ),
             K.flag_checks(
                 i.models,
                 [
-                    (~F.col("is_registered"), "ml_ai_governance", "high"),
+                    (is_false("is_registered"), "ml_ai_governance", "high"),
                     (F.col("serving_endpoint_name").isNull(), "ml_ai_governance", "medium"),
                 ],
                 RUNS_AS_OF,
@@ -520,13 +520,13 @@ def kpi_counters(i):
     return K.kpi_counters(_scores(i), _backlog(i), i.pipelines, RUNS_AS_OF)
 
 
-# changes and loads -----------------------------------------------------------------------------
+# changes and loads
 
 
 @query
 def watermark_extract(i):
     loaded = i.events.filter("ts < DATE '2024-01-20'")
-    return H.watermark_extract(i.events, loaded, "ts")
+    return H.watermark_extract(i.events, loaded, "ts", ["event_id"])
 
 
 @query
@@ -566,7 +566,7 @@ def soft_delete_apply(i):
     return H.soft_delete_apply(i.snap_old, i.snap_new, ["c_custkey"])
 
 
-# schemas ---------------------------------------------------------------------------------------
+# schemas
 
 
 @query
@@ -605,7 +605,7 @@ def schema_drift(i):
     return S.schema_drift(i.undrifted, i.drifted)
 
 
-# quality ---------------------------------------------------------------------------------------
+# quality
 
 
 @query
@@ -660,7 +660,7 @@ def column_stats(i):
     return Q.column_stats(i.part, ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
 
 
-# governance ------------------------------------------------------------------------------------
+# governance
 
 
 def _texts(i):
@@ -688,7 +688,13 @@ def custom_classifiers(i):
 
 @query
 def auto_tag(i):
-    return G.auto_tag(G.classify_columns(_texts(i)), i.column_tags, 0.005)
+    """One of the tags is there already."""
+    given = i.column_tags.unionByName(
+        i.spark.range(1).select(
+            F.lit("documents").alias("object"), F.lit("text").alias("column_name"), F.lit("class").alias("tag_key"), F.lit("email_address").alias("tag_value")
+        )
+    )
+    return G.auto_tag(G.classify_columns(_texts(i)), given, 0.005)
 
 
 @query
@@ -698,7 +704,10 @@ def tag_inheritance(i):
 
 @query
 def column_mask(i):
-    return G.column_mask(i.documents, TAGGED_TEXT, REDACT_ALL, {"analysts"}, {"privacy_office"})
+    """Classes found often enough in the text are tagged, and the tags decide what is masked."""
+    found = G.auto_tag(G.classify_columns({("documents", "text"): i.documents}), i.column_tags, 0.005)
+    split = found.select("object", "column_name", F.lit("class").alias("tag_key"), F.substring_index("tag", ".", -1).alias("tag_value"))
+    return G.column_mask(i.documents, G.tags_of(split, "documents", ["text"]), REDACT_ALL, {"analysts"}, {"privacy_office"})
 
 
 @query
@@ -721,7 +730,7 @@ def snippet_sanitize(i):
     return G.snippets(i.documents, "doc_id", "text")
 
 
-# layout ----------------------------------------------------------------------------------------
+# layout
 
 
 @query
@@ -774,7 +783,7 @@ def cluster_layout(i):
     return files.cluster_layout(i.given("events"), new_dir(i.spark, "cluster"), ["user_id", "ts"])
 
 
-# streams ---------------------------------------------------------------------------------------
+# streams
 
 
 def _staged(i, *parts: str) -> tuple[str, T.StructType]:
@@ -791,8 +800,10 @@ def _stage(i, path: str, *parts: str) -> None:
 
 def _stream(i):
     """All given events as one stream, shaped like the audit log."""
-    events = i.given("events")
-    source = X.file_stream(i.spark, f"{i.folder}/event[s].parquet", events.schema)
+    return _audit(X.file_stream(i.spark, f"{i.folder}/event[s].parquet", i.given("events").schema))
+
+
+def _audit(source):
     kind, entity = F.col("event_type"), F.col("user_id") % 5
     return source.select(
         "event_id",
@@ -843,14 +854,24 @@ def stream_dedup(i):
     return _run(i, X.dedup(twice, "event_time", ["event_id"], "31 days"), "dedup")
 
 
+def _to_the_end(i, windows, label):
+    """Events in four loads, one file a batch, then a row far ahead that closes all windows."""
+    source, kind = _staged(i, "ts < DATE '2024-01-08'", *(f"ts >= DATE '2024-01-{d:02}' AND ts < DATE '2024-01-{d + 7:02}'" for d in (8, 15)), "ts >= DATE '2024-01-22'")
+    ahead = i.given("events").agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(0).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props")
+    )
+    path, checkpoint = new_dir(i.spark, label), new_dir(i.spark, f"{label}-checkpoint")
+    return X.run_to_end(i.spark, source, kind, lambda s: windows(_audit(s)), ahead, path, checkpoint, max_files=1)
+
+
 @query
 def stream_direct_write_alerts(i):
-    return _run(i, X.direct_write_alerts(_stream(i)), "alerts")
+    return _to_the_end(i, X.direct_write_alerts, "alerts")
 
 
 @query
 def stream_edit_sessions(i):
-    return _run(i, X.edit_sessions(_stream(i)), "sessions")
+    return _to_the_end(i, X.edit_sessions, "sessions")
 
 
 @query

@@ -16,6 +16,9 @@ from tableward.functions.common import is_direct_write
 from tableward.operators.changes import upsert_scd1
 from tableward.operators.quality import expectations
 
+#: Setting with which one busy user's rows become few before the shuffle; it belongs where the session is made.
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, max_bytes: str | None = None
@@ -69,9 +72,35 @@ def read_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
-def ingest(spark: SparkSession, source: str, schema: T.StructType, path: str, checkpoint: str) -> DataFrame:
-    """Load new files into the sink and give its rows."""
-    run_to_files(file_stream(spark, source, schema), path, checkpoint)
+def run_to_end(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    windows: Callable[[DataFrame], DataFrame],
+    ahead: DataFrame,
+    path: str,
+    checkpoint: str,
+    max_files: int | None = None,
+    max_bytes: str | None = None,
+) -> DataFrame:
+    """Windows of a stream that has ended, all of them.
+
+    What has arrived is run first. Then ``ahead``, a row whose time lies beyond every open window and the delay, is added to the source: it moves
+    the watermark past all windows, so they are written, while its own stays open. Rows that come after that are
+    late, so this is for the end of a stream.
+    """
+    for last in (False, True):
+        if last:
+            ahead.select(*schema.names).write.mode("append").parquet(source)
+        run_to_files(windows(file_stream(spark, source, schema, max_files, max_bytes)), path, checkpoint)
+    return read_sink(spark, path, windows(spark.readStream.schema(schema).parquet(source)).schema)
+
+
+def ingest(
+    spark: SparkSession, source: str, schema: T.StructType, path: str, checkpoint: str, max_files: int | None = None, max_bytes: str | None = None
+) -> DataFrame:
+    """Load new files into the sink and give its rows; a first load of very many files is taken in batches of a bounded size."""
+    run_to_files(file_stream(spark, source, schema, max_files, max_bytes), path, checkpoint)
     return read_sink(spark, path, schema)
 
 
@@ -91,8 +120,7 @@ def direct_write_alerts(stream: DataFrame, delay: str = "1 day", width: str = "1
 
 
 def edit_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
-    """Bursts of edits by one user; map-side merging keeps one busy user's rows small before the shuffle."""
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Bursts of edits by one user. Sessions that set ``MERGE_SESSIONS`` to true merge them before the shuffle."""
     return (
         event_time(stream, "event_time", delay)
         .groupBy(F.session_window("event_time", gap).alias("w"), "user_email")

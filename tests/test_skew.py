@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tableward.functions.skew import hot_spans, with_neighbour, with_position, with_rank_by_count
+from tableward.functions.skew import with_neighbour, with_position, with_rank_by_count
 from tableward.operators import changes, lineage, runs
 
 START = dt.datetime(2024, 1, 1)
@@ -37,11 +37,8 @@ def by_key(rows):
 
 
 @pytest.mark.parametrize("forward", [False, True])
-@pytest.mark.parametrize("limit", [5, 60, 10**9])
-def test_neighbour(feed, feed_rows, forward, limit):
-    spans = hot_spans(feed, ["k"], "ts", limit)
-    assert (spans is None) == (limit == 10**9)
-    got = with_neighbour(feed, ["k"], ["ts", "id"], ["id"], "near", spans, forward)
+def test_neighbour(feed, feed_rows, forward):
+    got = with_neighbour(feed, ["k"], ["ts", "id"], ["id"], "near", forward)
     assert got.count() == len(feed_rows)
     want = {}
     for rows in by_key(feed_rows).values():
@@ -51,9 +48,19 @@ def test_neighbour(feed, feed_rows, forward, limit):
     assert {r.id: r.near.id if r.near else None for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("limit", [10, 10**9])
-def test_history_and_state(feed, feed_rows, limit):
-    got = changes.scd2_history(feed, ["k"], ["ts", "id"], ["v"], rows=limit)
+def test_one_key_at_one_time_is_spread(spark):
+    """5,000 rows of one key at one instant lie in several partitions and still find their neighbours."""
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.lit(START).alias("ts"), "id").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    parts = df.repartitionByRange("k", "ts", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 2500
+    got = {r.id: r.near.id if r.near else None for r in with_neighbour(df, ["k"], ["ts", "id"], ["id"], "near").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: k - 1 if k else None for k in range(5000)}
+
+
+def test_history_and_state(feed, feed_rows):
+    got = changes.scd2_history(feed, ["k"], ["ts", "id"], ["v"])
     want = []
     for key, rows in by_key(feed_rows).items():
         opened = None
@@ -73,7 +80,7 @@ def test_history_and_state(feed, feed_rows, limit):
     assert len(current) == len(now)
 
 
-def test_retries_do_not_depend_on_slices(feed):
+def test_retries(feed, feed_rows):
     timeline = feed.select(
         F.col("k").alias("pipeline_id"),
         F.col("ts").alias("start_time"),
@@ -81,10 +88,11 @@ def test_retries_do_not_depend_on_slices(feed):
         F.when(F.col("op") == "DELETE", "failed").otherwise("succeeded").alias("status"),
         F.col("id").alias("target_rows"),
     )
-    for f in (runs.retry_after_failure, runs.duplicate_load_signal):
-        small, whole = f(timeline, rows=9).collect(), f(timeline).collect()
-        assert sorted(small) == sorted(whole)
-        assert whole
+    want = set()
+    for rows in by_key(feed_rows).values():
+        want |= {b[2] for a, b in zip(rows, rows[1:]) if a[4] == "DELETE"}
+    assert {r.run_id for r in runs.retry_after_failure(timeline).collect()} == want
+    assert {r.run_id for r in runs.duplicate_load_signal(timeline).collect()} <= want
 
 
 def test_position_with_one_common_value(spark):
@@ -101,10 +109,16 @@ def test_rank_by_count(spark):
 
 
 def test_wide_blast_radius_keeps_every_name(spark):
-    wide = spark.range(500).select(F.lit("hub").alias("source"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("target"))
-    got = lineage.blast_radius(wide.unionByName(wide), page=40).collect()
-    assert {r.downstream_count for r in got} == {500}
-    names = [n for r in got for n in r.downstream_list.split(",")]
-    assert sorted(names) == sorted(f"t{k}" for k in range(500))
-    assert len(got) > 8
-    assert max(len(r.downstream_list.split(",")) for r in got) < 80
+    wide = spark.range(5000).select(F.lit("hub").alias("source"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("target"))
+    got = lineage.blast_radius(wide.unionByName(wide)).collect()
+    assert {r.downstream_count for r in got} == {5000}
+    assert sorted(r.downstream_table for r in got) == sorted(f"t{k}" for k in range(5000))
+    assert lineage.downstream_counts(wide).first().downstream_count == 5000
+
+
+def test_long_chain_is_closed(spark):
+    chain = spark.range(40).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    got = lineage.lineage_closure(chain)
+    assert got.count() == 40 * 41 // 2 and got.agg(F.max("min_depth")).first()[0] == 40
+    start = spark.createDataFrame([("38",), ("40",)], "table_id string")
+    assert sorted((r.source, r.target) for r in lineage.lineage_closure(chain, start).collect()) == [("38", "39"), ("38", "40")]
