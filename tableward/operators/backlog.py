@@ -143,6 +143,7 @@ def table_findings(tables: DataFrame, as_of, label: str | None = None) -> DataFr
          "Give the table a name of layer, domain and entity", 1, 100),
         ((F.col("data_layer") == "bronze") & ~has_value("table_comment"), "comment", "medium", "Data Quality",
          "Bronze table has no comment", "Describe the table", 1, 50),
+        (~has_value("owner_email"), "unowned", "medium", "Ownership & Access", "Table has no owner", "Assign an owner", 1, 200),
     ]
     return rule_findings(tables, "table", "table_id", rules, as_of, label)
 
@@ -155,8 +156,48 @@ def experiment_findings(stale: DataFrame, as_of, label: str | None = None) -> Da
     )
 
 
+def experiment_rule_findings(experiments: DataFrame, as_of, label: str | None = None) -> DataFrame:
+    rules = [
+        (~has_value("owner_email"), "unowned", "medium", "Ownership & Access", "Experiment has no owner", "Assign an owner", 1, 100),
+        (is_false("has_description"), "no_description", "medium", "ML/AI Governance", "Experiment is not described",
+         "Describe the experiment", 1, 50),
+        (is_false("has_registered_model"), "no_model", "medium", "ML/AI Governance", "Experiment has no registered model",
+         "Register its model or archive it", 2, 150),
+    ]
+    return rule_findings(experiments, "ml_experiment", "experiment_id", rules, as_of, label)
+
+
+def column_findings(untagged: DataFrame, as_of) -> DataFrame:
+    """``untagged`` is ``governance.sensitive_name_scan``."""
+    return finding(
+        untagged, "untagged", "high", "Ownership & Access", "table", F.concat_ws(".", "object", "column_name"),
+        "Column with a telling name has no class tag", "Tag the column and protect it", 1, day_literal(as_of), 750.0,
+    )
+
+
+def layout_findings(small: DataFrame, as_of) -> DataFrame:
+    """``small`` is ``layout.small_files``."""
+    return finding(
+        small, "small_files", "medium", "ETL Hygiene", "table", "table_id", "Files are small on average",
+        "Compact the table", 1, day_literal(as_of), 150.0,
+    )
+
+
+def run_findings(weekly: DataFrame, as_of, weeks: int = 3) -> DataFrame:
+    """``weekly`` is ``runs.weekly_failures``."""
+    return finding(
+        weekly.filter(F.col("weeks_with_failure") >= weeks), "weekly", "high", "ETL Hygiene", "pipeline", "pipeline_id",
+        "Pipeline fails week after week", "Find the recurring cause", 3, day_literal(as_of), 1500.0,
+    )
+
+
 def job_findings(jobs: DataFrame, as_of, managed: str = "serverless", saving: float = 0.4, label: str | None = None) -> DataFrame:
     classic = jobs.filter(~F.col("cluster_type").eqNullSafe(managed))
+    unowned = [(~has_value("owner_email"), "unowned", "high", "Ownership & Access", "Job has no owner", "Assign an owner", 2, 500)]
+    return rule_findings(jobs, "job", "job_id", unowned, as_of, label).unionByName(_classic(classic, as_of, saving, label))
+
+
+def _classic(classic: DataFrame, as_of, saving: float, label: str | None) -> DataFrame:
     return finding(
         classic, "classic_compute", "medium", "ETL Hygiene", "job", "job_id", "Job runs on self-managed compute",
         "Move the job to managed compute", 2, day_literal(as_of),

@@ -35,6 +35,20 @@ def over_partitioned(detail: DataFrame) -> DataFrame:
     )
 
 
+def layout_columns(stats: DataFrame, low_cardinality: int = 1000, least_rows: int = 100) -> DataFrame:
+    """What each column of a large table is good for, from its measured values (``quality.column_stats``).
+
+    ``partition`` by few values with many rows each; ``cluster`` by the others with more than one value.
+    """
+    rows_each = F.col("n") / F.col("ndv")
+    role = (
+        F.when(F.col("ndv") <= 1, "none")
+        .when((F.col("ndv") <= low_cardinality) & (rows_each >= least_rows), "partition")
+        .otherwise("cluster")
+    )
+    return stats.select("column", "ndv", role.alias("role"))
+
+
 def layout_advice(detail: DataFrame, low_cardinality: int = 1000) -> DataFrame:
     """none under 1 TB, cluster to 100 TB, above that partition only by a column of few values."""
     advice = (
@@ -53,15 +67,27 @@ def _last(history: DataFrame, **operations: str) -> DataFrame:
     )
 
 
-def stale_stats(history: DataFrame) -> DataFrame:
-    """Tables changed since they were last analyzed."""
-    last = _last(history, analyzed="ANALYZE", changed="WRITE")
+def stale_stats(history: DataFrame, detail: DataFrame, min_ratio: float = 0.1) -> DataFrame:
+    """Tables never analyzed, or of whose rows at least ``min_ratio`` were changed by writes after the last analysis."""
+    last = _last(history, analyzed="ANALYZE")
+    since = (F.col("operation") == "WRITE") & (F.col("analyzed").isNull() | (F.col("op_date") > F.col("analyzed")))
+    changed = (
+        history.join(last, "table_id")
+        .groupBy("table_id", "analyzed")
+        .agg(F.sum(F.when(since, F.col("rows_changed")).otherwise(0)).alias("_changed"))
+    )
     never = F.col("analyzed").isNull()
-    stale = F.col("analyzed") < F.col("changed")
-    return last.filter(never | stale).select(
-        "table_id",
-        F.lit("stale_stats").alias("flag"),
-        F.when(never, "never analyzed").otherwise("changed after analysis").alias("reason"),
+    ratio = F.round(F.try_divide(F.col("_changed").cast("double"), F.col("num_rows").cast("double")), 4)
+    return (
+        changed.join(detail.select("table_id", "num_rows"), "table_id", "left")
+        .withColumn("changed_ratio", ratio)
+        .filter(never | (F.col("changed_ratio") >= min_ratio))
+        .select(
+            "table_id",
+            F.lit("stale_stats").alias("flag"),
+            F.when(never, "never analyzed").otherwise("changed after analysis").alias("reason"),
+            "changed_ratio",
+        )
     )
 
 
@@ -91,6 +117,6 @@ def purge_before_vacuum(history: DataFrame) -> DataFrame:
 
 
 def maintenance_coverage(detail: DataFrame) -> DataFrame:
-    return detail.filter(~F.col("is_managed")).select(
+    return detail.filter(~F.coalesce("is_managed", F.lit(False))).select(
         "table_id", F.lit("uncovered").alias("flag"), F.lit("not a managed table").alias("reason")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableward import model
-from tableward.functions.common import as_date, day_literal, has_value, is_user_email, ratio
+from tableward.functions.common import as_date, day_literal, has_value, is_false, is_true, is_user_email, ratio
 
 _ID_COLUMNS = {
     "pipeline": "pipeline_id",
@@ -31,7 +31,7 @@ def unowned_assets(**assets: DataFrame) -> DataFrame:
 
 
 def unowned_production(pipelines: DataFrame) -> DataFrame:
-    return pipelines.filter(~F.col("has_owner_tag") & F.col("is_production")).select("pipeline_id", "pipeline_name")
+    return pipelines.filter(is_false("has_owner_tag") & is_true("is_production")).select("pipeline_id", "pipeline_name")
 
 
 def owner_kind(tables: DataFrame, groups: DataFrame) -> DataFrame:
@@ -62,6 +62,11 @@ def individual_grants(grants: DataFrame) -> DataFrame:
     )
 
 
+def offending_grants(grants: DataFrame) -> DataFrame:
+    """Grants held by named users instead of groups or service principals, one row each."""
+    return grants.filter(is_user_email("principal")).select("principal", "object", "privilege").distinct()
+
+
 def long_owned_by_creator(tables: DataFrame, as_of, days: int = 180) -> DataFrame:
     age = F.datediff(day_literal(as_of), F.to_date("created_at"))
     return tables.filter((F.col("owner_email") == F.col("created_by")) & (age > days)).select(

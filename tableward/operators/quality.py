@@ -90,9 +90,13 @@ def interval_check(df: DataFrame, start: str, end: str, duration: str | None = N
     return _stacked(df, "check", rows, ["bad_n"])
 
 
-def freshness_check(df: DataFrame, time: str, as_of, max_age_days: int, min_rows: int = 1) -> DataFrame:
+def freshness_check(
+    df: DataFrame, time: str, as_of, max_age_days: int, min_rows: int = 1, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Latest time, age and rows, of the whole or per ``keys`` (such as the table), in one grouped pass."""
     age = F.datediff(F.lit(as_date(as_of)), F.to_date("max_ts"))
-    return df.agg(F.max(time).alias("max_ts"), F.count(F.lit(1)).alias("n")).select(
+    return df.groupBy(*keys).agg(F.max(time).alias("max_ts"), F.count(F.lit(1)).alias("n")).select(
+        *keys,
         "max_ts",
         age.alias("age_days"),
         "n",

@@ -14,17 +14,22 @@ from tableward.session import keep
 
 
 def full_rescan_signal(runs: DataFrame, min_runs: int = 5) -> DataFrame:
-    """Trend of run duration over time per pipeline: a steady rise hints at full rescans."""
+    """Trend of run duration over time and over the target's rows, per pipeline.
+
+    A steady rise hints at full rescans: a run that takes longer with every row the target has (``row_r2`` near 1) reads all of it.
+    """
     day = F.unix_micros(F.col("start_time").cast("timestamp")) / F.lit(86_400_000_000)
     seconds = F.col("duration_sec").cast("double")
     return (
         runs.filter(F.col("pipeline_id").isNotNull())
-        .select("pipeline_id", seconds.alias("y"), day.alias("x"))
+        .select("pipeline_id", seconds.alias("y"), day.alias("x"), F.col("table_rows").cast("double").alias("r"))
         .groupBy("pipeline_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.round(F.regr_slope("y", "x"), 4).alias("slope"),
             F.round(F.regr_r2("y", "x"), 4).alias("r2"),
+            F.round(F.regr_slope("y", "r"), 4).alias("row_slope"),
+            F.round(F.regr_r2("y", "r"), 4).alias("row_r2"),
         )
         .filter(F.col("n") >= min_runs)
     )
@@ -130,18 +135,18 @@ def blocked_dependents(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     )
 
 
-def row_count_anomaly(df: DataFrame, time: str, z: float = 3.0) -> DataFrame:
-    """Day-on-day change of the row count against the seven changes before it.
+def row_count_anomaly(df: DataFrame, time: str, z: float = 3.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Day-on-day change of the row count against the seven changes before it, of the whole or per ``keys``.
 
-    Rows are counted per day first; the windows run over one row per day.
+    Rows are counted per key and day first; the windows run over one row per day.
     """
-    by_day = Window.orderBy("day")
+    by_day = Window.partitionBy(*keys).orderBy("day")
     before = by_day.rowsBetween(-7, -1)
-    daily = df.groupBy(F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    daily = df.groupBy(*keys, F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     delta = F.col("n") - F.lag("n").over(by_day)
     score = F.round(F.try_divide(F.col("_d") - F.avg("_d").over(before), F.stddev_samp("_d").over(before)), 4)
     return (
         daily.withColumn("_d", delta.cast("double"))
         .withColumn("z", score)
-        .select("day", "n", "z", F.coalesce(F.abs("z") > z, F.lit(False)).alias("anomaly"))
+        .select(*keys, "day", "n", "z", F.coalesce(F.abs("z") > z, F.lit(False)).alias("anomaly"))
     )

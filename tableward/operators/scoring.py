@@ -205,6 +205,6 @@ def kpi_counters(scores: DataFrame, backlog: DataFrame, pipelines: DataFrame, as
     stacked = (
         row(_on(scores, as_of).filter("dimension = 'overall'"), overall=F.max("score"))
         .unionByName(row(backlog, **sev))
-        .unionByName(row(pipelines, unowned_n=F.count_if(~F.col("has_owner_tag"))))
+        .unionByName(row(pipelines, unowned_n=F.count_if(~F.coalesce("has_owner_tag", F.lit(False)))))
     )
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

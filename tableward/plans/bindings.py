@@ -34,7 +34,8 @@ INPUTS: dict[str, str] = {
     "runs": """
         SELECT o_orderkey AS run_id, o_custkey AS pipeline_id, o_orderdate AS start_time,
                CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'cancelled' ELSE 'succeeded' END AS status,
-               CAST(o_totalprice AS DECIMAL(18,2)) AS duration_sec, o_orderpriority AS triggered_by
+               CAST(o_totalprice AS DECIMAL(18,2)) AS duration_sec, o_orderpriority AS triggered_by,
+               CAST(o_orderkey AS BIGINT) * 10 AS table_rows
         FROM {orders}""",
     "pipelines": """
         SELECT c_custkey AS pipeline_id, c_name AS pipeline_name,
@@ -45,6 +46,7 @@ INPUTS: dict[str, str] = {
         FROM {customer}""",
     "jobs": """
         SELECT c_custkey AS job_id, c_name AS job_name, c_mktsegment AS cluster_type,
+               CASE WHEN c_custkey % 6 <> 0 THEN concat(c_name, '@example.com') END AS owner_email,
                CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS annual_cost_usd
         FROM {customer}""",
     "ownership_history": """
@@ -130,17 +132,23 @@ INPUTS: dict[str, str] = {
         SELECT {_PART} AS table_id, (p_partkey % 2500 + 1) * 1000000000 AS size_bytes,
                CAST(p_size AS BIGINT) * 200 AS num_files,
                CASE p_partkey % 3 WHEN 0 THEN 'event_date' WHEN 1 THEN 'region' END AS partition_column,
-               CAST(p_size AS BIGINT) * 10 AS num_partitions, p_partkey % 6 <> 0 AS is_managed
+               CAST(p_size AS BIGINT) * 10 AS num_partitions, p_partkey % 6 <> 0 AS is_managed,
+               CAST(p_partkey % 2500 AS BIGINT) * 10 + 1000 AS num_rows
         FROM {{part}}""",
     "table_history": f"""
-        SELECT {_PART} AS table_id, 'ANALYZE' AS operation, DATE '2001-11-05' - CAST(p_partkey % 60 AS INT) AS op_date
-        FROM {{part}}
+        SELECT {_PART} AS table_id, 'ANALYZE' AS operation, DATE '2001-11-05' - CAST(p_partkey % 60 AS INT) AS op_date,
+               CAST(0 AS BIGINT) AS rows_changed
+        FROM {{part}} WHERE p_partkey % 12 <> 0
         UNION ALL
-        SELECT {_PART}, 'VACUUM', DATE '2001-11-05' - CAST(p_partkey % 45 AS INT) FROM {{part}} WHERE p_partkey % 10 <> 0
+        SELECT {_PART}, 'VACUUM', DATE '2001-11-05' - CAST(p_partkey % 45 AS INT), CAST(0 AS BIGINT) FROM {{part}}
+        WHERE p_partkey % 10 <> 0
         UNION ALL
-        SELECT {_PART}, 'PURGE', DATE '2001-11-05' - CAST(p_partkey % 40 AS INT) FROM {{part}}
+        SELECT {_PART}, 'PURGE', DATE '2001-11-05' - CAST(p_partkey % 40 AS INT), CAST(0 AS BIGINT) FROM {{part}}
+        WHERE p_partkey % 9 <> 0
         UNION ALL
-        SELECT {_PART}, 'WRITE', DATE '2001-11-05' - CAST(p_partkey % 30 AS INT) FROM {{part}}""",
+        SELECT {_PART}, 'WRITE', DATE '2001-11-05' - CAST(p_partkey % 30 AS INT), CAST(p_size AS BIGINT) * 40 FROM {{part}}
+        UNION ALL
+        SELECT {_PART}, 'WRITE', DATE '2001-11-05' - CAST(p_partkey % 30 AS INT) - 20, CAST(p_size AS BIGINT) * 25 FROM {{part}}""",
     "table_properties": f"SELECT {_PART} AS table_id, p_partkey % 14 AS retention_days FROM {{part}}",
     "columns": f"""
         SELECT {_PART} AS object, p_brand AS schema_name,

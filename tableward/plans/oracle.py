@@ -85,6 +85,22 @@ _BACKLOG = " UNION ALL ".join(
         _rule("job", "job_id", "cluster_type <> 'HOUSEHOLD'", "classic_compute", "'medium'", "ETL Hygiene",
               "'Job runs on self-managed compute'", "Move the job to managed compute", 2,
               "round(CAST(annual_cost_usd AS DOUBLE) * 0.4, 2)", "@jobs", "NULL"),
+        _rule("job", "job_id", "owner_email IS NULL", "unowned", "'high'", "Ownership & Access", "'Job has no owner'",
+              "Assign an owner", 2, "500", "@jobs"),
+        _rule("table", "table_id", "owner_email IS NULL", "unowned", "'medium'", "Ownership & Access",
+              "'Table has no owner'", "Assign an owner", 1, "200", "@tables"),
+        _rule("ml_experiment", "experiment_id", "owner_email IS NULL", "unowned", "'medium'", "Ownership & Access",
+              "'Experiment has no owner'", "Assign an owner", 1, "100", "@experiments"),
+        _rule("ml_experiment", "experiment_id", "NOT has_description", "no_description", "'medium'", "ML/AI Governance",
+              "'Experiment is not described'", "Describe the experiment", 1, "50", "@experiments"),
+        _rule("ml_experiment", "experiment_id", "NOT has_registered_model", "no_model", "'medium'", "ML/AI Governance",
+              "'Experiment has no registered model'", "Register its model or archive it", 2, "150", "@experiments"),
+        _rule("table", "concat(object, '.', column_name)", "true", "untagged", "'high'", "Ownership & Access",
+              "'Column with a telling name has no class tag'", "Tag the column and protect it", 1, "750", "#untagged", "NULL"),
+        _rule("table", "table_id", "CAST(size_bytes AS DOUBLE) / num_files / 1048576.0e0 < 100", "small_files", "'medium'",
+              "ETL Hygiene", "'Files are small on average'", "Compact the table", 1, "150", "@table_detail", "NULL"),
+        _rule("pipeline", "pipeline_id", "weeks_with_failure >= 3", "weekly", "'high'", "ETL Hygiene",
+              "'Pipeline fails week after week'", "Find the recurring cause", 3, "1500", "#weekly", "NULL"),
     ]
 )
 
@@ -204,6 +220,12 @@ STEPS: dict[str, str] = {
         for obj, column in (("documents", "text"), ("pages", "html"), ("conversations", "text"))
         for rule, pattern in _CLASSES.items()
     ),
+    "untagged": f"""SELECT object, column_name FROM @columns c
+        WHERE regexp_matches(column_name, '{SENSITIVE_NAME}') AND NOT EXISTS (
+            SELECT 1 FROM @column_tags t WHERE t.object = c.object AND t.column_name = c.column_name)""",
+    "weekly": """SELECT pipeline_id, count(DISTINCT date_trunc('week', start_time)) AS weeks_with_failure
+        FROM @runs WHERE status = 'failed' AND start_time >= DATE '2000-07-31' AND start_time < DATE '2001-07-30'
+        GROUP BY pipeline_id""",
     "last_ops": """
         SELECT table_id, max(op_date) FILTER (WHERE operation = 'ANALYZE') AS analyzed,
                max(op_date) FILTER (WHERE operation = 'WRITE') AS changed,
@@ -313,8 +335,11 @@ ORACLE: dict[str, str] = {
         FROM @jobs WHERE cluster_type <> 'HOUSEHOLD' GROUP BY cluster_type""",
     "full_rescan_signal": """SELECT pipeline_id, count(*) AS n,
         CASE WHEN min(x) < max(x) THEN round(regr_slope(y, x), 4) END AS slope,
-        CASE WHEN min(x) < max(x) THEN round(regr_r2(y, x), 4) END AS r2 FROM (
-            SELECT pipeline_id, CAST(duration_sec AS DOUBLE) AS y, epoch(start_time) / 86400.0e0 AS x FROM @runs) z
+        CASE WHEN min(x) < max(x) THEN round(regr_r2(y, x), 4) END AS r2,
+        CASE WHEN min(r) < max(r) THEN round(regr_slope(y, r), 4) END AS row_slope,
+        CASE WHEN min(r) < max(r) THEN round(regr_r2(y, r), 4) END AS row_r2 FROM (
+            SELECT pipeline_id, CAST(duration_sec AS DOUBLE) AS y, epoch(start_time) / 86400.0e0 AS x,
+                   CAST(table_rows AS DOUBLE) AS r FROM @runs) z
         GROUP BY pipeline_id HAVING count(*) >= 5""",
     "retry_after_failure": """SELECT run_id, pipeline_id, prev_status FROM #stepped
         WHERE prev_status IN ('failed', 'cancelled')""",
@@ -344,6 +369,7 @@ ORACLE: dict[str, str] = {
         GROUP BY pipeline_id""",
     "unowned_assets": """
         SELECT 'pipeline' AS asset_type, CAST(pipeline_id AS VARCHAR) AS asset_id FROM @pipelines WHERE owner_email IS NULL
+        UNION ALL SELECT 'job', CAST(job_id AS VARCHAR) FROM @jobs WHERE owner_email IS NULL
         UNION ALL SELECT 'table', table_id FROM @tables WHERE owner_email IS NULL
         UNION ALL SELECT 'ml_model', CAST(model_id AS VARCHAR) FROM @models WHERE owner_email IS NULL
         UNION ALL SELECT 'ml_experiment', CAST(experiment_id AS VARCHAR) FROM @experiments WHERE owner_email IS NULL""",
@@ -357,6 +383,7 @@ ORACLE: dict[str, str] = {
         {_frac("count(*)", "(SELECT count(*) FROM @grants)", 4)} AS share
         FROM (SELECT CASE WHEN regexp_matches(principal, {USER}) THEN 'user' ELSE 'group' END AS kind FROM @grants) x
         GROUP BY kind""",
+    "offending_grants": f"SELECT DISTINCT principal, object, privilege FROM @grants WHERE regexp_matches(principal, {USER})",
     "long_owned_by_creator": """SELECT table_id, CAST(DATE '2001-11-05' - created_at AS INTEGER) AS days_owned FROM @tables
         WHERE owner_email = created_by AND DATE '2001-11-05' - created_at > 180""",
     "ownership_coverage": f"""SELECT count(*) AS total, {_n("has_owner_tag")} AS owned,
@@ -461,7 +488,8 @@ ORACLE: dict[str, str] = {
     "schema_policy_rescue": f"""SELECT event_id, ts, user_id, event_type, try_cast(value AS DOUBLE) AS value,
         {_RESCUE} AS _rescued_data FROM @drifted""",
     "schema_policy_none": """SELECT event_id, ts, user_id, event_type, try_cast(value AS DOUBLE) AS value FROM @drifted""",
-    "schema_policy_fail_on_new": "SELECT event_id, ts, user_id, event_type, value FROM @events",
+    "schema_policy_fail_on_new": """SELECT 'new columns [''props''], changed types [''value'']' AS message,
+        count(*) AS refused_n FROM @drifted""",
     "rescued_data": f"""SELECT event_id, ts, user_id, event_type, try_cast(value AS DOUBLE) AS value,
         {_RESCUE} AS _rescued_data FROM @drifted""",
     "schema_drift": f"""
@@ -488,13 +516,14 @@ ORACLE: dict[str, str] = {
         WHERE o_custkey NOT IN (SELECT c_custkey FROM @snap_new)""",
     "interval_check": """SELECT 'end_before_start' AS "check", count(*) AS bad_n FROM @timed_runs
         WHERE end_time < start_time""",
-    "freshness_check": """SELECT max(event_time) AS max_ts, CAST(DATE '2024-01-31' - CAST(max(event_time) AS DATE) AS INTEGER) AS age_days,
-        count(*) AS n, DATE '2024-01-31' - CAST(max(event_time) AS DATE) <= 2 AND count(*) >= 1000 AS ok FROM @writes""",
-    "row_count_anomaly": """SELECT day, n, z, coalesce(abs(z) > 2, false) AS anomaly FROM (
-        SELECT day, n, round((d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0), 4) AS z FROM (
-            SELECT day, n, CAST(n - lag(n) OVER (ORDER BY day) AS DOUBLE) AS d FROM (
-                SELECT CAST(event_time AS DATE) AS day, count(*) AS n FROM @writes GROUP BY 1) a) b
-        WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) c""",
+    "freshness_check": """SELECT table_name, max(event_time) AS max_ts, CAST(DATE '2024-01-31' - CAST(max(event_time) AS DATE) AS INTEGER) AS age_days,
+        count(*) AS n, DATE '2024-01-31' - CAST(max(event_time) AS DATE) <= 2 AND count(*) >= 100 AS ok FROM @writes
+        GROUP BY table_name""",
+    "row_count_anomaly": """SELECT table_name, day, n, z, coalesce(abs(z) > 2, false) AS anomaly FROM (
+        SELECT table_name, day, n, round((d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0), 4) AS z FROM (
+            SELECT table_name, day, n, CAST(n - lag(n) OVER (PARTITION BY table_name ORDER BY day) AS DOUBLE) AS d FROM (
+                SELECT table_name, CAST(event_time AS DATE) AS day, count(*) AS n FROM @writes GROUP BY 1, 2) a) b
+        WINDOW w AS (PARTITION BY table_name ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) c""",
     "retention_archive": """SELECT CAST(strftime(ts, '%Y%m') AS INT) AS month, count(*) AS archived_n FROM @events
         WHERE ts < DATE '2024-01-24' GROUP BY 1""",
     "column_stats": " UNION ALL ".join(
@@ -541,15 +570,30 @@ ORACLE: dict[str, str] = {
           AND (size_bytes < {TB1} OR CAST(size_bytes AS DOUBLE) / num_partitions < {GB1})""",
     "layout_advice": f"""SELECT table_id, CASE WHEN size_bytes < {TB1} THEN 'none' WHEN size_bytes < 100 * {TB1} THEN 'cluster'
         WHEN num_partitions <= 1000 THEN 'partition' ELSE 'cluster' END AS advice FROM @table_detail""",
-    "stale_stats": """SELECT table_id, 'stale_stats' AS flag, 'changed after analysis' AS reason FROM #last_ops
-        WHERE analyzed < changed""",
+    "stale_stats": """SELECT * FROM (
+        SELECT h.table_id, 'stale_stats' AS flag,
+               CASE WHEN o.analyzed IS NULL THEN 'never analyzed' ELSE 'changed after analysis' END AS reason,
+               round(CAST(sum(CASE WHEN operation = 'WRITE' AND (o.analyzed IS NULL OR op_date > o.analyzed) THEN rows_changed
+                              ELSE 0 END) AS DOUBLE) / max(d.num_rows), 4) AS changed_ratio
+        FROM @table_history h JOIN #last_ops o ON o.table_id = h.table_id JOIN @table_detail d ON d.table_id = h.table_id
+        GROUP BY h.table_id, o.analyzed) x WHERE reason = 'never analyzed' OR changed_ratio >= 0.1""",
+    "layout_columns": """SELECT "column", ndv, CASE WHEN ndv <= 1 THEN 'none'
+            WHEN ndv <= 1000 AND n / ndv >= 100 THEN 'partition' ELSE 'cluster' END AS role FROM (
+        SELECT 'o_orderstatus' AS "column", count(DISTINCT o_orderstatus) AS ndv, count(*) AS n FROM @orders
+        UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(*) FROM @orders
+        UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(*) FROM @orders
+        UNION ALL SELECT 'o_orderkey', count(DISTINCT o_orderkey), count(*) FROM @orders) x""",
+    "small_files_measured": "SELECT count(*) AS rows, true AS measured FROM @lineitem",
+    "compact": "SELECT * FROM @events",
+    "cluster_layout": "SELECT * FROM @events",
     "vacuum_policy": """
         SELECT table_id, 'vacuum' AS flag, CASE WHEN vacuumed IS NULL THEN 'never vacuumed' ELSE 'not vacuumed lately' END
             AS reason FROM #last_ops WHERE vacuumed IS NULL OR DATE '2001-11-05' - vacuumed > 30
         UNION ALL
         SELECT table_id, 'retention', 'retention under seven days' FROM @table_properties WHERE retention_days < 7""",
-    "purge_before_vacuum": """SELECT table_id, 'purge_order' AS flag, 'purged after vacuum' AS reason FROM #last_ops
-        WHERE vacuumed IS NOT NULL AND purged > vacuumed""",
+    "purge_before_vacuum": """SELECT table_id, 'purge_order' AS flag,
+        CASE WHEN purged IS NULL THEN 'never purged' ELSE 'purged after vacuum' END AS reason FROM #last_ops
+        WHERE vacuumed IS NOT NULL AND (purged IS NULL OR purged > vacuumed)""",
     "maintenance_coverage": """SELECT table_id, 'uncovered' AS flag, 'not a managed table' AS reason FROM @table_detail
         WHERE NOT is_managed""",
     "stream_ingest": "SELECT * FROM @events",

@@ -285,7 +285,7 @@ def weekly_failures(i):
 
 @query
 def unowned_assets(i):
-    return O.unowned_assets(pipeline=i.pipelines, table=i.tables, ml_model=i.models, ml_experiment=i.experiments)
+    return O.unowned_assets(pipeline=i.pipelines, job=i.jobs, table=i.tables, ml_model=i.models, ml_experiment=i.experiments)
 
 
 @query
@@ -303,6 +303,11 @@ def individual_grants(i):
     return O.individual_grants(i.grants)
 
 
+@query
+def offending_grants(i):
+    return O.offending_grants(i.grants)
+
+
 @query
 def long_owned_by_creator(i):
     return O.long_owned_by_creator(i.tables, ASSETS_AS_OF)
@@ -413,6 +418,10 @@ def _backlog(i):
         B.experiment_findings(M.stale_experiments(i.experiments_by_run, RUNS_AS_OF), ASSETS_AS_OF),
         B.table_findings(i.tables, ASSETS_AS_OF),
         B.job_findings(i.jobs, ASSETS_AS_OF, MANAGED, JOB_SAVING),
+        B.experiment_rule_findings(i.experiments, ASSETS_AS_OF),
+        B.column_findings(G.sensitive_name_scan(i.columns, i.column_tags), ASSETS_AS_OF),
+        B.layout_findings(Y.small_files(i.table_detail), ASSETS_AS_OF),
+        B.run_findings(R.weekly_failures(i.runs, RUNS_AS_OF), ASSETS_AS_OF),
     )
 
 
@@ -592,7 +601,13 @@ def schema_policy_none(i):
 
 @query
 def schema_policy_fail_on_new(i):
-    return S.schema_policy(i.events.drop("props"), TARGET, "fail_on_new")
+    """What the mode says of a load with a new and a retyped column, and how many rows it refuses."""
+    try:
+        S.schema_policy(i.drifted, TARGET, "fail_on_new")
+        said = None
+    except S.SchemaChangeError as refused:
+        said = str(refused)
+    return i.drifted.agg(F.lit(said).alias("message"), F.count(F.lit(1)).alias("refused_n"))
 
 
 @query
@@ -640,12 +655,12 @@ def interval_check(i):
 
 @query
 def freshness_check(i):
-    return Q.freshness_check(i.writes, "event_time", EVENTS_AS_OF, 2, 1000)
+    return Q.freshness_check(i.writes, "event_time", EVENTS_AS_OF, 2, 100, ("table_name",))
 
 
 @query
 def row_count_anomaly(i):
-    return R.row_count_anomaly(i.writes, "event_time", 2.0)
+    return R.row_count_anomaly(i.writes, "event_time", 2.0, ("table_name",))
 
 
 @query
@@ -740,7 +755,9 @@ def small_files(i):
 
 @query
 def small_files_measured(i):
-    return files.table_detail(i.given("lineitem")).select("num_files", "size_bytes", "rows")
+    """Rows counted through the files; how many there are and their sizes depend on how they were written."""
+    detail = files.table_detail(i.given("lineitem"))
+    return detail.agg(F.sum("rows").alias("rows"), ((F.sum("num_files") > 0) & (F.sum("size_bytes") > 0)).alias("measured"))
 
 
 @query
@@ -753,9 +770,14 @@ def layout_advice(i):
     return Y.layout_advice(i.table_detail)
 
 
+@query
+def layout_columns(i):
+    return Y.layout_columns(Q.column_stats(i.orders, ["o_orderstatus", "o_orderpriority", "o_custkey", "o_orderkey"]))
+
+
 @query
 def stale_stats(i):
-    return Y.stale_stats(i.table_history)
+    return Y.stale_stats(i.table_history, i.table_detail)
 
 
 @query
@@ -775,12 +797,18 @@ def maintenance_coverage(i):
 
 @query
 def compact(i):
-    return files.compact(i.given("events"), new_dir(i.spark, "compact"))
+    """The rows as they are read back from the compacted files."""
+    path = new_dir(i.spark, "compact")
+    files.compact(i.given("events"), path)
+    return i.spark.read.schema(i.events.schema).parquet(path)
 
 
 @query
 def cluster_layout(i):
-    return files.cluster_layout(i.given("events"), new_dir(i.spark, "cluster"), ["user_id", "ts"])
+    """The rows as they are read back from the clustered files."""
+    path = new_dir(i.spark, "cluster")
+    files.cluster_layout(i.given("events"), path, ["user_id", "ts"])
+    return i.spark.read.schema(i.events.schema).parquet(path)
 
 
 # streams

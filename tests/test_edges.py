@@ -292,11 +292,15 @@ def test_tags_of_a_table(spark):
 
 
 def test_vacuum_and_layout_edges(spark):
-    history = spark.createDataFrame([("a", "VACUUM", dt.date(2024, 1, 1)), ("a", "WRITE", dt.date(2024, 1, 30)), ("b", "WRITE", dt.date(2024, 1, 1))], "table_id string, operation string, op_date date")
+    rows = [("a", "VACUUM", dt.date(2024, 1, 1), 0), ("a", "WRITE", dt.date(2024, 1, 30), 5), ("b", "WRITE", dt.date(2024, 1, 1), 5)]
+    rows += [(t, "ANALYZE", dt.date(2024, 1, 10), 0) for t in ("c", "d")] + [("c", "WRITE", dt.date(2024, 1, 11), 10), ("d", "WRITE", dt.date(2024, 1, 11), 9), ("d", "WRITE", dt.date(2024, 1, 9), 90)]
+    history = spark.createDataFrame(rows, "table_id string, operation string, op_date date, rows_changed long")
+    sized = spark.createDataFrame([(t, 100) for t in "abcd"], "table_id string, num_rows long")
     props = spark.createDataFrame([("a", 7), ("b", 6)], "table_id string, retention_days int")
     got = {(r.table_id, r.reason) for r in layout.vacuum_policy(history, props, AS_OF).collect()}
-    assert got == {("b", "never vacuumed"), ("b", "retention under seven days")}
-    assert {r.reason for r in layout.stale_stats(history).collect()} == {"never analyzed"}
+    assert got == {(t, "never vacuumed") for t in "bcd"} | {("b", "retention under seven days")}
+    stale = {(r.table_id, r.reason, r.changed_ratio) for r in layout.stale_stats(history, sized).collect()}
+    assert stale == {("a", "never analyzed", 0.05), ("b", "never analyzed", 0.05), ("c", "changed after analysis", 0.1)}
     assert {r.reason for r in layout.purge_before_vacuum(history).collect()} == {"never purged"}
     detail = spark.createDataFrame([("x", 0, 0), ("y", 10**14, 10)], "table_id string, size_bytes bigint, num_files bigint")
     assert layout.small_files(detail).count() == 0
