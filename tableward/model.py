@@ -37,6 +37,7 @@ def schema(text: str) -> T.StructType:
     return out
 
 
+# Columns of the raw tables and of findings.
 RAW_SCHEMAS = {
     "raw_ws_tables": schema(
         "table_id string, table_name string, catalog_name string, schema_name string, data_layer string, "

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.common import breaks_naming, has_value
+from tableward.functions.common import breaks_naming, has_value, in_window, is_false, is_true
 from tableward.operators import backlog as B
 from tableward.operators import direct_writes as D
 from tableward.operators import lineage as L
 from tableward.operators import ml, ownership, pipelines, scoring
+from tableward.session import keep
 
+# Names of the raw tables.
 RAW = (
     "raw_ws_tables",
     "raw_ws_pipelines",
@@ -28,15 +30,18 @@ def assess(
     inputs: dict[str, DataFrame],
     as_of,
     price_per_hour: float = 1.0,
-    max_depth: int = 10,
     detectors: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
+    wanted: set[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Gold tables by name. Only the lineage walk runs when called; the rest is lazy.
+    """Gold tables by name, and ``gold_table_dependents`` with a row per edited table and gold table that depends on it.
 
+    The lineage walk, which starts at the edited tables only, and the edits run when called; the rest is lazy.
     ``inputs`` holds the seven raw tables and optionally ``lineage`` (source, target),
     ``reads`` (table_id, pipeline_id) or ready ``rerun_costs`` (table_id, rerun_cost_usd), ``ownership_history``
-    (created_at, owned_at) and ``executive`` (table_id). Audit events without an ``entity_type`` count as direct writes.
-    ``detectors`` adds user findings: each takes the inputs and returns rows in the finding columns.
+    (created_at, owned_at) and ``executive`` (table_id). Audit events without an ``entity_type`` count as direct writes; writes on
+    tables of other layers than bronze don't count. Models name their features table by id or as catalog.schema.table.
+    Jobs may have ``annual_cost_usd``. ``detectors`` adds user findings: each takes the inputs and returns rows in the finding columns. Where ``wanted``
+    names only tables that need neither edits nor findings, those are not computed.
     """
     missing = [name for name in RAW if name not in inputs]
     if missing:
@@ -46,44 +51,60 @@ def assess(
     spark = tables.sparkSession
     if "entity_type" not in events.columns:
         events = events.withColumn("entity_type", F.lit(None).cast("string"))
+    if "annual_cost_usd" not in jobs.columns:
+        jobs = jobs.withColumn("annual_cost_usd", F.lit(0))
     edges = inputs.get("lineage", spark.createDataFrame([], "source string, target string"))
     reads = inputs.get("reads", spark.createDataFrame([], "table_id string, pipeline_id string"))
     executive = inputs.get("executive")
 
     health = pipelines.health(pipes, runs, as_of)
-    reach = L.lineage_closure(edges, max_depth)
-    feeds = D.feeding(reach, executive) if executive is not None else None
-    costs = inputs.get("rerun_costs")
-    if costs is None:
-        costs = L.rerun_cost(runs, reads, as_of, price_per_hour)
-    named = tables.select(F.col("table_id").alias("target"), "table_name", "data_layer")
-    downstream = (
-        reach.join(named, "target")
-        .filter("data_layer = 'gold'")
-        .select("source", F.col("table_name").alias("target"))
-    )
-    where = tables.select("table_id", "table_name", F.concat_ws(".", "catalog_name", "schema_name").alias("catalog_schema"))
-    edits = D.bronze_table_edits(events, as_of, L.blast_radius(downstream), costs, feeds).join(where, "table_id", "left")
-
     history = inputs.get("ownership_history")
     if history is None:
         owned = F.when(F.col("has_owner_tag"), F.col("created_at"))
         history = pipes.filter("is_production").select("pipeline_id", "created_at", owned.alias("owned_at"))
     trend = ownership.trend(history, as_of)
+    simple = {
+        "gold_pipeline_health": health,
+        "gold_ownership_trend": trend.select(
+            "report_date",
+            F.col("total").alias("total_production_pipelines"),
+            F.col("owned").alias("owned_production_pipelines"),
+            F.col("coverage_pct").alias("ownership_coverage_pct"),
+            "goal_pct",
+        ),
+    }
+    if wanted is not None and wanted <= simple.keys():
+        return simple
+
+    direct = D.direct_writes(events, tables)
+    edited = direct.filter(in_window(direct, "event_time", as_of, 90)).select("table_id").distinct()
+    reach = L.lineage_closure(edges, edited)
+    feeds = D.feeding(reach, executive) if executive is not None else None
+    costs = inputs.get("rerun_costs")
+    if costs is None:
+        costs = L.rerun_cost(runs, reads, as_of, price_per_hour)
+    gold = tables.filter("data_layer = 'gold'").select(F.col("table_id").alias("target"))
+    downstream = reach.join(gold, "target", "left_semi")
+    where = tables.select("table_id", "table_name", F.concat_ws(".", "catalog_name", "schema_name").alias("catalog_schema"))
+    edits = D.bronze_table_edits(direct, as_of, L.downstream_counts(downstream), costs, feeds).join(where, "table_id", "left")
+    edits = keep(edits, "edits")
 
+    full_name = F.concat_ws(".", "catalog_name", "schema_name", "table_name")
+    names = tables.select("table_id", F.explode(F.array(F.col("table_id"), full_name)).alias("_ref")).distinct()
     features = models.select(
-        "model_id", "model_name", "owner_email", F.col("upstream_features_table").alias("table_name"),
+        "model_id", "model_name", "owner_email", F.col("upstream_features_table").alias("_ref"),
         F.col("registered_in_uc").alias("is_registered"),
-    ).join(tables.select("table_name", "table_id"), "table_name", "left")
+    ).join(names, "_ref", "left").drop("_ref")
     features = features.withColumnRenamed("table_id", "upstream_features_table")
     stale_models = ml.stale_feature_models(features, events, tables, as_of)
     found = B.remediation_backlog(
-        B.edit_findings(edits, D.detected_at(events, "table_id"), "table_name"),
+        B.edit_findings(edits, D.detected_at(direct, "table_id"), "table_name"),
         B.pipeline_findings(health, as_of, label="pipeline_name"),
         B.model_findings(features, stale_models, as_of, "model_name"),
         B.experiment_findings(ml.stale_experiments(experiments, as_of), as_of, "experiment_name"),
+        B.experiment_rule_findings(experiments, as_of, "experiment_name"),
         B.table_findings(tables, as_of, "table_name"),
-        B.job_findings(jobs.withColumn("annual_cost_usd", F.lit(0)), as_of, label="job_name"),
+        B.job_findings(jobs, as_of, label="job_name"),
         *[f(inputs) for f in (detectors or {}).values()],
     )
     checks = scoring.all_checks(
@@ -91,17 +112,17 @@ def assess(
         scoring.flag_checks(
             pipes,
             [
-                (~F.col("has_dq_expectations"), "etl_hygiene", "high"),
-                (F.col("uses_hardcoded_paths"), "etl_hygiene", "high"),
+                (is_false("has_dq_expectations"), "etl_hygiene", "high"),
+                (is_true("uses_hardcoded_paths"), "etl_hygiene", "high"),
             ],
             as_of,
         ),
-        scoring.flag_checks(features, [(~F.col("is_registered"), "ml_ai_governance", "high")], as_of),
+        scoring.flag_checks(features, [(is_false("is_registered"), "ml_ai_governance", "high")], as_of),
         scoring.flag_checks(
             experiments,
             [
                 (~has_value("owner_email"), "ml_ai_governance", "high"),
-                (~F.col("has_description"), "ml_ai_governance", "medium"),
+                (is_false("has_description"), "ml_ai_governance", "medium"),
             ],
             as_of,
         ),
@@ -111,8 +132,8 @@ def assess(
     return {
         "gold_health_scores": scoring.gold_health_scores(scoring.health_scores(checks), found),
         "gold_bronze_table_edits": edits,
-        "gold_pipeline_health": health,
-        "gold_ownership_trend": trend,
+        **simple,
+        "gold_table_dependents": L.blast_radius(downstream),
         "gold_remediation_backlog": found,
     }
 

@@ -122,6 +122,46 @@ INPUTS: dict[str, str] = {
         SELECT user_id, ts, event_id, value,
                CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op
         FROM {events}""",
+    "platform_tables": f"""
+        SELECT {_PART} AS table_id, concat({_LAYER}, '_', replace(p_name, ' ', '_')) AS table_name, p_brand AS catalog_name,
+               'sales' AS schema_name, {_LAYER} AS data_layer, {_PART_OWNER} AS owner_email,
+               CASE WHEN p_size % 4 <> 0 THEN p_name END AS table_comment,
+               DATE '2001-11-05' - CAST(p_partkey % 400 AS INT) AS created_at
+        FROM {{part}}
+        UNION ALL
+        SELECT concat('supplier_', CAST(s_suppkey AS STRING)), s_name, 'main', 'sales', 'silver', 'team@example.com', s_name,
+               DATE '2000-01-01'
+        FROM {{supplier}}
+        UNION ALL
+        SELECT concat('nation_', CAST(n_nationkey AS STRING)), concat('gold_nation_n', CAST(n_nationkey AS STRING)), 'main',
+               'sales', 'gold', NULL, n_name, DATE '2000-01-01'
+        FROM {{nation}}
+        UNION ALL
+        SELECT concat('region_', CAST(r_regionkey AS STRING)), concat('gold_region_r', CAST(r_regionkey AS STRING)), 'main',
+               'sales', 'gold', 'team@example.com', NULL, DATE '2000-01-01'
+        FROM {{region}}""",
+    "platform_models": """
+        SELECT CAST(s.s_suppkey AS STRING) AS model_id, s.s_name AS model_name,
+               CASE WHEN s.s_acctbal >= 0 THEN concat(s.s_name, '@example.com') END AS owner_email,
+               f.features AS upstream_features_table, s.s_suppkey % 4 <> 0 AS registered_in_uc
+        FROM {supplier} s LEFT JOIN (
+            SELECT l_suppkey, concat('part_', CAST(max(l_partkey) AS STRING)) AS features FROM {lineitem}
+            GROUP BY l_suppkey) f ON f.l_suppkey = s.s_suppkey""",
+    "platform_experiments": """
+        SELECT CAST(s.s_suppkey AS STRING) AS experiment_id, s.s_name AS experiment_name,
+               CASE WHEN s.s_acctbal >= 0 THEN concat(s.s_name, '@example.com') END AS owner_email,
+               s.s_suppkey % 3 <> 0 AS has_description, s.s_suppkey % 4 <> 0 AS has_registered_model, l.last_run_date
+        FROM {supplier} s LEFT JOIN (
+            SELECT l_suppkey, max(l_shipdate) AS last_run_date FROM {lineitem} WHERE l_suppkey % 2 = 0
+            AND l_shipdate < DATE '2001-07-01' GROUP BY l_suppkey
+            UNION ALL
+            SELECT DISTINCT l_suppkey, DATE '2001-07-30' FROM {lineitem} WHERE l_suppkey % 5 = 1 AND l_suppkey % 2 = 1) l
+        ON l.l_suppkey = s.s_suppkey""",
+    "production_history": """
+        SELECT o_custkey AS pipeline_id, min(o_orderdate) AS created_at,
+               min(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END) AS owned_at
+        FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+        WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY o_custkey""",
     "snap_old": "SELECT c_custkey, c_acctbal FROM {customer}",
     "snap_new": """
         SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal

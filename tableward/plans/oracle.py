@@ -238,6 +238,124 @@ STEPS: dict[str, str] = {
         FROM @runs WINDOW w AS (PARTITION BY pipeline_id ORDER BY start_time, run_id)""",
 }
 
+_NOW = "DATE '2001-08-02'"
+
+
+def _named(sql: str, name: str) -> str:
+    """The finding with the asset's label instead of its key."""
+    key = re.search(r"CAST\((\S+) AS VARCHAR\) AS asset_name", sql)[0]
+    return sql.replace(key, f"coalesce({name}, {key.removesuffix(' AS asset_name')}) AS asset_name")
+
+
+_GOLD_BACKLOG = " UNION ALL ".join(
+    [
+        _named(_rule("table", "e.table_id", "true", "direct_writes", "severity", "ETL Hygiene",
+              "concat(CAST(edit_count_90d AS VARCHAR), ' direct writes in the window')",
+              "Take away direct write rights and route changes through a pipeline", 3, "estimated_rerun_cost_usd",
+              f"""#gold_edits e LEFT JOIN (SELECT table_id, CAST(min(event_time) AS DATE) AS first_day FROM @part_writes
+                  WHERE {DIRECT} GROUP BY table_id) d ON e.table_id = d.table_id""", "NULL", "first_day"), "table_name"),
+        *(
+            _named(_rule("pipeline", "pipeline_id", where, rule, sev, cat, text, action, days, impact, "#health", seen=_NOW), "pipeline_name")
+            for where, rule, sev, cat, text, action, days, impact in (
+                ("failure_rate_30d > 0.35", "failing", "'critical'", "ETL Hygiene", "'Failure rate above the critical limit'",
+                 "Fix the failing step and add alerting", 3, "4000"),
+                ("NOT has_owner_tag AND is_production", "unowned", "'high'", "Ownership & Access",
+                 "'Production pipeline has no owner'", "Assign an owner", 2, "2000"),
+                ("NOT has_dq_expectations", "no_dq", "'high'", "ETL Hygiene", "'Pipeline has no data-quality rules'",
+                 "Add expectations", 3, "1000"),
+                ("uses_hardcoded_paths", "paths", "'high'", "ETL Hygiene", "'Pipeline uses hard-coded paths'",
+                 "Move paths to parameters", 3, "1000"),
+            )
+        ),
+        _named(_rule("ml_model", "model_id", "true", "stale_features", "'critical'", "ML/AI Governance",
+              "'Model reads features from a raw table that was edited by hand'", "Retrain on silver features", 5, "5000",
+              f"""(SELECT m.model_id, m.model_name, max(w.event_time) AS last_write FROM @platform_models m
+                  JOIN @platform_tables t ON t.table_id = m.upstream_features_table AND t.data_layer = 'bronze'
+                  JOIN @part_writes w ON w.table_id = t.table_id WHERE {DIRECT} AND w.event_time >= DATE '2001-07-03'
+                  AND w.event_time < DATE '2001-08-03' GROUP BY ALL) s""", "NULL", "CAST(last_write AS DATE)"), "model_name"),
+        _named(_rule("ml_model", "model_id", "NOT registered_in_uc", "unregistered", "'high'", "ML/AI Governance",
+              "'Model is not in the registry'", "Register the model", 4, "800", "@platform_models", seen=_NOW), "model_name"),
+        _named(_rule("ml_experiment", "experiment_id", f"last_run_date IS NULL OR {_NOW} - CAST(last_run_date AS DATE) > 30",
+              "stale_experiment", "'high'", "ML/AI Governance", "'Experiment has not run lately'",
+              "Archive or rerun the experiment", 2, "300", "@platform_experiments", "NULL", _NOW), "experiment_name"),
+        *(
+            _named(_rule("ml_experiment", "experiment_id", where, rule, "'medium'", cat, text, action, days, impact,
+                         "@platform_experiments", seen=_NOW), "experiment_name")
+            for where, rule, cat, text, action, days, impact in (
+                ("owner_email IS NULL", "unowned", "Ownership & Access", "'Experiment has no owner'", "Assign an owner", 1, "100"),
+                ("NOT has_description", "no_description", "ML/AI Governance", "'Experiment is not described'",
+                 "Describe the experiment", 1, "50"),
+                ("NOT has_registered_model", "no_model", "ML/AI Governance", "'Experiment has no registered model'",
+                 "Register its model or archive it", 2, "150"),
+            )
+        ),
+        *(
+            _named(_rule("table", "table_id", where, rule, "'medium'", cat, text, action, 1, impact, "@platform_tables",
+                         seen=_NOW), "table_name")
+            for where, rule, cat, text, action, impact in (
+                (f"NOT regexp_matches(table_name, {NAME_OK})", "naming", "Data Quality", "'Table name breaks the naming rule'",
+                 "Give the table a name of layer, domain and entity", "100"),
+                ("data_layer = 'bronze' AND table_comment IS NULL", "comment", "Data Quality", "'Bronze table has no comment'",
+                 "Describe the table", "50"),
+                ("owner_email IS NULL", "unowned", "Ownership & Access", "'Table has no owner'", "Assign an owner", "200"),
+            )
+        ),
+        _named(_rule("job", "job_id", "true", "classic_compute", "'medium'", "ETL Hygiene", "'Job runs on self-managed compute'",
+              "Move the job to managed compute", 2, "round(CAST(annual_cost_usd AS DOUBLE) * 0.4, 2)", "@jobs", "NULL", _NOW), "job_name"),
+        _named(_rule("job", "job_id", "owner_email IS NULL", "unowned", "'high'", "Ownership & Access", "'Job has no owner'",
+              "Assign an owner", 2, "500", "@jobs", seen=_NOW), "job_name"),
+    ]
+)
+
+STEPS["gold_edits"] = f"""
+    SELECT c.table_id, c.edit_count_90d, c.user_email AS last_editor_email, CAST(c.event_time AS DATE) AS last_edit_date,
+           c.action_type AS last_action_type, coalesce(g.n, 0) AS downstream_gold_table_count,
+           CAST(coalesce(k.rerun_cost_usd, 0) AS DECIMAL(18,2)) AS estimated_rerun_cost_usd,
+           CASE WHEN c.edit_count_90d > 20 OR x.source IS NOT NULL THEN 'critical' ELSE 'high' END AS severity,
+           t.table_name, concat(t.catalog_name, '.', t.schema_name) AS catalog_schema
+    FROM (SELECT *, count(*) OVER (PARTITION BY table_id) AS edit_count_90d,
+                 row_number() OVER (PARTITION BY table_id ORDER BY event_time DESC, event_id DESC) AS rn
+          FROM @part_writes WHERE {DIRECT} AND event_time >= DATE '2001-05-04' AND event_time < DATE '2001-08-03') c
+    JOIN @platform_tables t ON t.table_id = c.table_id AND t.data_layer = 'bronze'
+    LEFT JOIN (SELECT table_id, count(*) AS n FROM #gold_dependents GROUP BY table_id) g ON g.table_id = c.table_id
+    LEFT JOIN #cost k ON k.table_id = c.table_id
+    LEFT JOIN (SELECT DISTINCT source FROM @edges WHERE target IN (SELECT table_id FROM @exec_tables)) x
+           ON x.source = c.table_id
+    WHERE c.rn = 1"""
+STEPS["gold_dependents"] = """
+    SELECT a.source AS table_id, b.target AS downstream_table FROM @edges a JOIN @edges b ON b.source = a.target
+    UNION
+    SELECT a.source, c.target FROM @edges a JOIN @edges b ON b.source = a.target JOIN @edges c ON c.source = b.target"""
+STEPS["gold_backlog"] = _GOLD_BACKLOG
+STEPS["gold_trend"] = f"""
+    SELECT d AS report_date, CAST(count(*) FILTER (WHERE CAST(created_at AS DATE) <= d) AS BIGINT) AS total_production_pipelines,
+           CAST(count(*) FILTER (WHERE owned_at IS NOT NULL AND CAST(greatest(created_at, owned_at) AS DATE) <= d) AS BIGINT)
+               AS owned_production_pipelines,
+           {_frac("100 * count(*) FILTER (WHERE owned_at IS NOT NULL AND CAST(greatest(created_at, owned_at) AS DATE) <= d)",
+                  "count(*) FILTER (WHERE CAST(created_at AS DATE) <= d)", 2)} AS ownership_coverage_pct,
+           95.0e0 AS goal_pct
+    FROM @production_history, #score_days GROUP BY d"""
+STEPS["gold_checks"] = " UNION ALL ".join(
+    [
+        f"""SELECT d AS report_date, 'etl_hygiene' AS dimension, 3 AS weight, count(pipeline_id) AS checked,
+                   {_n("status = 'failed'")} AS violations
+            FROM #score_days LEFT JOIN @runs ON CAST(start_time AS DATE) <= d AND CAST(start_time AS DATE) > d - 30
+            GROUP BY d""",
+        _flag("@pipelines", "NOT has_dq_expectations", "etl_hygiene", 2),
+        _flag("@pipelines", "uses_hardcoded_paths", "etl_hygiene", 2),
+        _flag("@platform_models", "NOT registered_in_uc", "ml_ai_governance", 2),
+        _flag("@platform_experiments", "owner_email IS NULL", "ml_ai_governance", 2),
+        _flag("@platform_experiments", "NOT has_description", "ml_ai_governance", 1),
+        """SELECT report_date, 'ownership_access', 2, total_production_pipelines,
+                  total_production_pipelines - owned_production_pipelines FROM #gold_trend""",
+        f"""SELECT d, 'data_quality', 1, 2 * count(table_id), count(*) FILTER (WHERE NOT regexp_matches(table_name, {NAME_OK}))
+                  + count(*) FILTER (WHERE table_id IS NOT NULL AND table_comment IS NULL)
+            FROM #score_days LEFT JOIN @platform_tables ON created_at <= d GROUP BY d""",
+    ]
+)
+STEPS["gold_dimension_scores"] = STEPS["dimension_scores"].replace("#checks", "#gold_checks")
+STEPS["gold_scores"] = STEPS["scores"].replace("#dimension_scores", "#gold_dimension_scores")
+
 _FAILED_RULES = {
     "short_run": "duration_sec <= 400000",
     "not_cancelled": "status <> 'cancelled'",
@@ -457,6 +575,19 @@ ORACLE: dict[str, str] = {
         {_n("severity = 'critical'")} AS critical_n, {_n("severity = 'high'")} AS high_n,
         {_n("severity = 'medium'")} AS medium_n,
         (SELECT count(*) FROM @pipelines WHERE NOT has_owner_tag) AS unowned_n FROM #backlog""",
+    "gold_bronze_table_edits": "SELECT * FROM #gold_edits",
+    "gold_table_dependents": """SELECT d.table_id, d.downstream_table, count(*) OVER (PARTITION BY d.table_id) AS downstream_count
+        FROM #gold_dependents d JOIN #gold_edits e ON e.table_id = d.table_id""",
+    "gold_pipeline_health": "SELECT * FROM #health",
+    "gold_ownership_trend": "SELECT * FROM #gold_trend",
+    "gold_remediation_backlog": "SELECT * FROM #gold_backlog",
+    "gold_health_scores": f"""SELECT a.report_date, a.dimension, a.score, a.score - b.score AS score_delta_30d,
+            coalesce(c.critical_n, 0) AS critical_count, coalesce(c.high_n, 0) AS high_count, coalesce(c.medium_n, 0) AS medium_count
+        FROM #gold_scores a LEFT JOIN #gold_scores b ON b.dimension = a.dimension AND b.report_date = a.report_date - 30
+        LEFT JOIN (SELECT CASE category WHEN 'ETL Hygiene' THEN 'etl_hygiene' WHEN 'ML/AI Governance' THEN 'ml_ai_governance'
+                WHEN 'Ownership & Access' THEN 'ownership_access' WHEN 'Data Quality' THEN 'data_quality' ELSE 'overall' END AS dim,
+                {_n("severity = 'critical'")} AS critical_n, {_n("severity = 'high'")} AS high_n, {_n("severity = 'medium'")} AS medium_n
+            FROM #gold_backlog GROUP BY GROUPING SETS ((category), ())) c ON c.dim = a.dimension""",
     "watermark_extract": """SELECT * FROM @events e WHERE ts >= (SELECT max(ts) FROM @events WHERE ts < DATE '2024-01-20')
         AND ts >= DATE '2024-01-20'""",
     "idempotent_append": "SELECT * FROM @events",

@@ -24,6 +24,7 @@ from tableward.operators import quality as Q
 from tableward.operators import runs as R
 from tableward.operators import schemas as S
 from tableward.operators import scoring as K
+from tableward.plans.assess import assess
 from tableward.plans.bindings import ASSETS_AS_OF, EVENTS_AS_OF, RUNS_AS_OF, TREND_AS_OF, Inputs
 from tableward.session import new_dir
 from tableward.sources import files
@@ -529,6 +530,56 @@ def kpi_counters(i):
     return K.kpi_counters(_scores(i), _backlog(i), i.pipelines, RUNS_AS_OF)
 
 
+# the gold tables
+
+
+def _gold(i, name):
+    raw = {
+        "raw_ws_tables": i.platform_tables,
+        "raw_ws_pipelines": i.pipelines,
+        "raw_ws_jobs": i.jobs,
+        "raw_ws_job_runs": i.runs,
+        "raw_ws_audit_events": i.part_writes,
+        "raw_ws_ml_experiments": i.platform_experiments,
+        "raw_ws_ml_models": i.platform_models,
+        "lineage": i.edges,
+        "reads": i.reads,
+        "executive": i.exec_tables,
+        "ownership_history": i.production_history,
+    }
+    return assess(raw, RUNS_AS_OF, PRICE, wanted={name})[name]
+
+
+@query
+def gold_health_scores(i):
+    return _gold(i, "gold_health_scores")
+
+
+@query
+def gold_bronze_table_edits(i):
+    return _gold(i, "gold_bronze_table_edits")
+
+
+@query
+def gold_table_dependents(i):
+    return _gold(i, "gold_table_dependents")
+
+
+@query
+def gold_pipeline_health(i):
+    return _gold(i, "gold_pipeline_health")
+
+
+@query
+def gold_ownership_trend(i):
+    return _gold(i, "gold_ownership_trend")
+
+
+@query
+def gold_remediation_backlog(i):
+    return _gold(i, "gold_remediation_backlog")
+
+
 # changes and loads
 
 
