@@ -73,7 +73,8 @@ def with_next(docs: DataFrame, values: list[str], derived: dict[str, Column], id
     first = F.first("_head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("_range", F.when(F.lead("_range").over(whole).isNull(), first).otherwise(F.lead("_head").over(whole)).alias("_head"))
     least = docs.select(id_col, *values, F.xxhash64(*values).alias("_order"))
-    guards = least.join(heads.withColumnRenamed("_range", "_of"), F.col(id_col).eqNullSafe(F.col("_head")))
+    # one row of two numbers per range, of which there are as many as shuffle partitions
+    guards = least.join(F.broadcast(heads.withColumnRenamed("_range", "_of")), F.col(id_col).eqNullSafe(F.col("_head")))
     tie = Window.partitionBy("_of").orderBy("_order")
     guards = guards.withColumn("_n", F.row_number().over(tie)).filter("_n = 1").select(id_col, *values, F.col("_of").alias("_range"), F.lit(1).alias("_guard"))
     rows = cut.withColumn("_guard", F.lit(0)).unionByName(guards).withColumns(derived)
