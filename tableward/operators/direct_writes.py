@@ -61,6 +61,15 @@ def feeding(edges: DataFrame, targets: DataFrame, key: str = "table_id") -> Data
     return edges.join(wanted, "target", "left_semi").select(F.col("source").alias(key)).distinct()
 
 
+def edit_costs(
+    writes: DataFrame, as_of, costs: DataFrame, executive: DataFrame | None = None, days: int = 90, threshold: int = model.EDIT_THRESHOLD
+) -> DataFrame:
+    """Count, severity and cost per edited table, where what lies downstream is not asked for."""
+    joined = edit_counts(writes, as_of, days, "table_id").join(costs, "table_id", "left")
+    cost = F.coalesce("rerun_cost_usd", F.lit(0).cast("decimal(18,2)")).alias("estimated_rerun_cost_usd")
+    return edit_severity(joined, threshold, executive, "table_id").select("table_id", "edit_count_90d", cost, "severity")
+
+
 def bronze_table_edits(
     writes: DataFrame,
     as_of,

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tableward import model
 from tableward.functions.common import day_literal, has_value, in_window, is_direct_write, is_false
+from tableward.operators.direct_writes import edit_counts
+from tableward.operators.lineage import rerun_cost
+from tableward.session import keep
 
 
 def stale_experiments(experiments: DataFrame, as_of, days: int = model.STALE_DAYS) -> DataFrame:
@@ -50,15 +53,17 @@ def stale_feature_models(
     )
 
 
-def stale_model_root_cause(stale: DataFrame, edits: DataFrame) -> DataFrame:
-    cause = edits.select(
-        F.col("table_id").alias("features_table"),
-        F.col("edit_count_90d").alias("edit_count"),
-        F.col("estimated_rerun_cost_usd").alias("rerun_cost_usd"),
-    )
-    return stale.join(cause, "features_table", "left").select(
-        "model_id", "features_table", "edit_count", "rerun_cost_usd"
-    )
+def stale_model_root_cause(
+    stale: DataFrame, writes: DataFrame, runs: DataFrame, reads: DataFrame, as_of, runs_as_of, price_per_hour: float = 1.0
+) -> DataFrame:
+    """Edits and rerun cost of the features tables of stale models; nothing is computed for other tables."""
+    stale = keep(stale, "stale-models")
+    wanted = stale.select(F.col("features_table").alias("table_id")).distinct()
+    counts = edit_counts(writes.join(wanted, "table_id", "left_semi"), as_of, key="table_id").select("table_id", F.col("edit_count_90d").alias("edit_count"))
+    costs = rerun_cost(runs, reads.join(wanted, "table_id", "left_semi"), runs_as_of, price_per_hour)
+    none = F.lit(0).cast("decimal(18,2)")
+    cause = counts.join(costs, "table_id", "left").select(F.col("table_id").alias("features_table"), "edit_count", F.coalesce("rerun_cost_usd", none).alias("rerun_cost_usd"))
+    return stale.join(cause, "features_table", "left").select("model_id", "features_table", "edit_count", "rerun_cost_usd")
 
 
 def unregistered(models: DataFrame) -> DataFrame:

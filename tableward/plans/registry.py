@@ -87,6 +87,10 @@ def _edits(i):
     )
 
 
+def _costs(i):
+    return D.edit_costs(i.part_writes, ASSETS_AS_OF, L.rerun_cost(i.runs, i.reads, RUNS_AS_OF, PRICE), D.feeding(i.edges, i.exec_tables), threshold=3)
+
+
 @query
 def bronze_table_edits(i):
     return _edits(i)
@@ -144,17 +148,17 @@ def edit_gap(i):
 
 @query
 def bronze_edit_cost_table(i):
-    return D.edit_cost_table(_edits(i))
+    return D.edit_cost_table(_costs(i))
 
 
 @query
 def rerun_cost_total(i):
-    return D.rerun_cost_total(_edits(i))
+    return D.rerun_cost_total(_costs(i))
 
 
 @query
 def rerun_cost_total_critical(i):
-    return D.rerun_cost_total(_edits(i), "critical")
+    return D.rerun_cost_total(_costs(i), "critical")
 
 
 # lineage
@@ -367,7 +371,7 @@ def stale_feature_models(i):
 
 @query
 def stale_model_root_cause(i):
-    return M.stale_model_root_cause(_stale_models(i), _edits(i))
+    return M.stale_model_root_cause(_stale_models(i), i.part_writes, i.runs, i.reads, ASSETS_AS_OF, RUNS_AS_OF, PRICE)
 
 
 @query
@@ -963,6 +967,7 @@ def stream_cdc_apply(i):
     feed = _stream(i).select("user_id", "event_time", "event_id", "value", "op")
     path = new_dir(i.spark, "changes")
     X.apply_changes(feed, path, new_dir(i.spark, "changes-checkpoint"), ["user_id"], ["event_time", "event_id"])
+    X.fold_changes(i.spark, path, feed.schema, ["user_id"], ["event_time", "event_id"])
     return X.current_rows(i.spark, path, feed.schema, ["user_id"], ["event_time", "event_id"])
 
 

@@ -43,8 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared folder; nothing is created or removed."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared folder, remembered for ``release``; nothing is created."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not hasattr(spark.sparkContext, "_tableward_dirs"):
+        spark.sparkContext._tableward_dirs = []
+    spark.sparkContext._tableward_dirs.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the work folders of this session; returns how many there were.
+
+    Call it when a job's results are written elsewhere: DataFrames built on kept results can't be read after it. Folders
+    of jobs that died without it carry their label and a random name under the shared folder and may be expired by age.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = getattr(spark.sparkContext, "_tableward_dirs", [])
+    gone = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    paths.clear()
+    return gone
 
 
 def keep(df: DataFrame, label: str = "kept") -> DataFrame:

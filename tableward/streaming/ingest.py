@@ -155,10 +155,44 @@ def apply_changes(
     run_batches(stream, each, checkpoint)
 
 
+_FOLDED = T.StructType([T.StructField("upto", T.LongType())])
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, int]:
+    """Latest changes of the last snapshot and of the batches after it, and the number of the last batch it holds (-1: no snapshot)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-folded")
+    upto = -1
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        upto = spark.read.schema(_FOLDED).parquet(f"{path}-folded").agg(F.max("upto")).first()[0]
+    numbered = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(numbered).parquet(path).filter(F.col("batch_id") > upto).select(*schema.names)
+    if upto >= 0:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}-snapshots/upto={upto}"))
+    return rows, upto
+
+
+def fold_changes(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: list[str]) -> int:
+    """Fold all batches stored so far into a new snapshot; returns the last batch it holds.
+
+    Deletes stay in it, so that older changes which come later don't bring a row back. The note that a snapshot is
+    complete is written after it, so a fold that fails is as if it had not been. Afterwards ``current_rows`` reads the
+    snapshot and only the batches after it.
+    """
+    rows, upto = _stored(spark, path, schema)
+    last = spark.read.schema(T.StructType([T.StructField("batch_id", T.LongType())])).parquet(path).agg(F.max("batch_id")).first()[0]
+    if last is None or last <= upto:
+        return upto
+    rest = [c for c in schema.names if c not in key]
+    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_row")).select(*key, "_row.*")
+    latest.select(*schema.names).write.mode("overwrite").parquet(f"{path}-snapshots/upto={last}")
+    spark.createDataFrame([(last,)], _FOLDED).coalesce(1).write.mode("append").parquet(f"{path}-folded")
+    return last
+
+
 def current_rows(
     spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: list[str], op: str = "op"
 ) -> DataFrame:
-    return upsert_scd1(read_sink(spark, path, schema), key, seq, op)
+    return upsert_scd1(_stored(spark, path, schema)[0], key, seq, op)
 
 
 def split_late(stream: DataFrame, path: str, checkpoint: str, time: str, delay_days: int) -> None:

@@ -346,6 +346,16 @@ def test_work_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
             session.shared_dir(Fake())
 
 
+def test_work_folders_are_released(spark):
+    from tableward import session
+
+    kept = session.keep(spark.range(5).toDF("id"), "short-lived")
+    (path,) = {p.rsplit("/", 1)[0] for p in kept.inputFiles()}
+    assert session.release(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_layout_keeps_a_common_value_spread(spark, tmp_path):
     df = spark.range(4000).select(F.lit(1).alias("k"), "id")
     assert files.cluster_layout(df, str(tmp_path / "out"), ["k"], 4).first().files == 4

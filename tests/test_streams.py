@@ -93,6 +93,13 @@ def test_changes_over_many_batches(spark, weeks, tmp_path):
     last = events.groupBy("user_id").agg(F.max_by(F.struct("value", "event_type"), F.struct("ts", "event_id")).alias("r"))
     want = {(r.user_id, r.r.value) for r in last.filter("r.event_type <> 'error'").collect()}
     assert {(r.user_id, r.value) for r in got.collect()} == want
+    assert X.fold_changes(spark, sink, feed.schema, ["user_id"], ["ts", "event_id"]) == 3
+    assert X.fold_changes(spark, sink, feed.schema, ["user_id"], ["ts", "event_id"]) == 3
+    late = events.limit(20).withColumn("ts", F.col("ts") - F.expr("INTERVAL 90 DAYS")).withColumn("event_type", F.lit("view"))
+    late.coalesce(1).write.mode("append").parquet(path)
+    X.apply_changes(feed, sink, check, ["user_id"], ["ts", "event_id"])
+    again = X.current_rows(spark, sink, feed.schema, ["user_id"], ["ts", "event_id"])
+    assert {(r.user_id, r.value) for r in again.collect()} == want
 
 
 def test_late_rows_are_kept(spark, folder, tmp_path):
