@@ -18,7 +18,7 @@ from tableward.llm import packed
 from tableward.llm import sequences as sq
 
 _U = np.uint64
-_BLOBS = ["key", "doc", "start", "count", "done_doc", "done_start", "done_count"]
+_BLOBS = ["key", "rest", "doc", "start", "count", "done_doc", "done_start", "done_count"]
 _PACKED = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in _BLOBS])
 _PACKED_DDL = "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS)
 #: state 0: these windows repeat; 1: compare bytes with the other runs of ``anchor``; 2: so, and the anchor is common.
@@ -26,22 +26,25 @@ FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("count", pa.int6
 _FOUND_DDL = "doc long, start long, count long, state int, anchor long"
 
 
-def _order(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.lexsort((start, doc, key))
+def new_keys(*columns: np.ndarray) -> np.ndarray:
+    """For rows sorted by these columns: where one differs from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
 
-def first_of_key(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For rows sorted by (key, doc): the smallest document of each row's key."""
-    new = np.concatenate([[True], key[1:] != key[:-1]])
+def first_of(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows sorted by (key, doc): the smallest document of each row's key; ``new`` tells where keys begin."""
     return doc[new][np.cumsum(new) - 1]
 
 
 def _packer(buckets: int):
     def flush(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, key, doc, start, count = arrays
-        order = np.lexsort((start, doc, key, bucket))
-        bucket, key, doc, start, count = (x[order] for x in (bucket, key, doc, start, count))
-        done = doc > first_of_key(key, doc)
+        order = np.lexsort((arrays[4], arrays[3], arrays[2], arrays[1], arrays[0]))
+        bucket, key, rest, doc, start, count = (x[order] for x in arrays)
+        done = doc > first_of(new_keys(bucket, key, rest), doc)
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
         out: dict[str, list] = {x: [] for x in _PACKED.names}
         for b in range(buckets):
@@ -51,6 +54,7 @@ def _packer(buckets: int):
             open_, shut = ~done[part], done[part]
             out["bucket"].append(b)
             out["key"].append(packed.squeeze_sorted(key[part][open_]))
+            out["rest"].append(packed.squeeze(rest[part][open_]))
             for name, values in (("doc", doc), ("start", start), ("count", count)):
                 out[name].append(packed.squeeze(values[part][open_]))
                 out[f"done_{name}"].append(packed.squeeze(values[part][shut]))
@@ -81,21 +85,22 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
             anchor, start, count = sq.segments(prefix, length, q)
             if len(start):
                 content = prefix.of(start, start + count - 1 + length)
+                # half of the anchor (its other half chose the bucket) and the content, 96 bits in two columns
                 key = (anchor & _U(0xFFFFFFFF00000000)) | (content >> _U(32))
-                yield packed.bucket_of(anchor, buckets), key, np.full(len(start), doc), start, count
+                yield packed.bucket_of(anchor, buckets), key, content.astype(np.uint32), np.full(len(start), doc), start, count
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        key, doc, start, count = _unpack(table, _BLOBS[:4])
-        done = _unpack(table, _BLOBS[4:])
-        order = _order(key, doc, start)
-        key, doc, start, count = (x[order] for x in (key, doc, start, count))
-        repeat = doc > first_of_key(key, doc)
+        own = _unpack(table, _BLOBS[:5])
+        done = _unpack(table, _BLOBS[5:])
+        order = np.lexsort((own[3], own[2], own[1], own[0]))
+        key, rest, doc, start, count = (x[order] for x in own)
+        fresh = new_keys(key, rest)
+        repeat = doc > first_of(fresh, doc)
         high = (key >> _U(32)).astype(np.int64)
-        new = np.concatenate([[True], high[1:] != high[:-1]])
+        new = new_keys(high)
         edge = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
         contents = np.add.reduceat(fresh.astype(np.int64), edge)
         apart = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)
         compare = ((contents > 1) & apart)[group] & ~repeat

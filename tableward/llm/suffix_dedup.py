@@ -93,7 +93,7 @@ def _compared(table: pa.Table, length: int) -> pa.Table:
     bucket = refine(data, at[:-1][row] + offset, length, anchor[row])
     live = np.flatnonzero(bucket >= 0)
     order = live[np.lexsort((doc[row[live]], bucket[live]))]
-    hit = order[doc[row[order]] > rw.first_of_key(bucket[order], doc[row[order]])] if len(order) else order
+    hit = order[doc[row[order]] > rw.first_of(rw.new_keys(bucket[order]), doc[row[order]])] if len(order) else order
     d, s = doc[row[hit]], start[row[hit]] + offset[hit]
     order = np.lexsort((s, d))
     d, s = d[order], s[order]
