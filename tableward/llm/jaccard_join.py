@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tableward.llm import packed
 from tableward.llm import sequences as sq
+from tableward.llm.batches import text_batches
 from tableward.llm.components import components
 from tableward.llm.ship import ship
 from tableward.session import keep
@@ -228,6 +229,11 @@ def compared(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc, n, rep, component): per document its set's size, class and component."""
     ship(docs.sparkSession)
+    with text_batches(docs.sparkSession):
+        return _groups(docs, id_col, text_col, words, percent)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     named = own.filter("doc IS NOT NULL")
     of_class = keep(classes(own, words), "jaccard-classes")

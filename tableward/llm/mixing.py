@@ -155,8 +155,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block has its words joined by spaces. Rows of one shard are spread over ``PARTS`` tasks by the hash that orders them.
     """
     _, pieces = mix(docs, id_col, text_col, source_col, shards)
-    own = docs.dropDuplicates([id_col]).withColumn("_size", words(text_col))
-    joined = own.join(pieces.select(F.col("doc").alias("_doc"), "start", "length", "shard", "rank"), F.col(id_col).eqNullSafe(F.col("_doc")))
+    # both sides meet by a key without nulls, so that the texts, dealt by it once, stay where they are for the join
+    key = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id"))
+    own = docs.withColumn("_key", key(id_col)).dropDuplicates(["_key"]).withColumn("_size", words(text_col))
+    joined = own.join(pieces.select(key("doc").alias("_key"), "start", "length", "shard", "rank"), "_key")
     listed = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
     part = F.array_join(F.slice(listed, (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ")
     cut = joined.withColumn(text_col, F.when(F.col("length") == F.col("_size"), F.col(text_col)).otherwise(part))
