@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tableward.llm import fingerprints, packing, quality, token_counts
 from tests.llm import brute
-from tests.llm.conftest import TEXT_SCHEMA
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +24,10 @@ def test_token_counts_of_lines(docs, corpus, tokenizer):
     for i, text, *_ in corpus:
         offsets = tokenizer.encode(text or "", add_special_tokens=False).offsets
         start = 0
-        for k, line in enumerate((text or "").splitlines(keepends=True) if False else _lines(text or "")):
+        for k, line in enumerate(_lines(text or "")):
             end = start + len(line)
             n = sum(start <= a < end for a, _ in offsets)
-            share = sum(max(0, min(b, end) - max(a, start)) / (b - a) for a, b in offsets if not _parts(offsets, a, b))
+            share = sum(max(0, min(b, end) - max(a, start)) / (b - a) for a, b in offsets)
             want[i, k] = (start, end, n, share, len(offsets))
             start = end
     assert got.keys() == want.keys()
@@ -44,10 +43,6 @@ def _lines(text):
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
-def _parts(offsets, a, b):
-    return False
-
-
 def test_allocation_is_additive(docs):
     total = token_counts.count_sections(docs).groupBy("doc_id", "doc_tokens").agg(F.sum("n_tokens").alias("n"), F.sum("token_share").alias("s"), F.countDistinct("section").alias("k"), F.count("*").alias("rows"))
     for r in total.filter("k = rows").collect():
@@ -173,4 +168,3 @@ def test_fingerprints_of_odd_tables(spark, no_docs):
     assert fingerprints.digest(odd).count() == 3
     one = fingerprints.digest(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
-    assert TEXT_SCHEMA
