@@ -49,7 +49,6 @@ def line_sections(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def attribute(first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray):
     """n_tokens, token_share and n_cut of sections ``start .. end`` over token spans ``first .. last``."""
-    order = np.arange(len(first))
     begin = np.maximum.accumulate(first) if len(first) else first
 
     def before(edge: np.ndarray) -> np.ndarray:
@@ -64,7 +63,7 @@ def attribute(first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.nd
     cut = np.zeros(len(start), np.int64)
     for edge in (start, end):
         k = np.searchsorted(last, edge, "right")
-        k = np.minimum(k, max(0, len(order) - 1))
+        k = np.minimum(k, max(0, len(first) - 1))
         cut += (first[k] < edge) & (edge < last[k]) if len(first) else 0
     return np.maximum(n, 0), np.maximum(before(end) - before(start), 0), cut
 
