@@ -12,7 +12,7 @@ The tree works on one row per node and source; its blocks are at most ``shards *
 the input. Positions in a stream come from sums over hash ranges, so a source with a third of all rows is spread over ``RANGES`` windows.
 
 Defined cases: a missing or empty text has size 0 and gives nothing; a source of size 0 has target 0; ids may be missing or repeat, each row
-counts; without words every target is 0; an empty table gives no rows. All randomness is hashed from ids and ``seed``, so reruns agree.
+counts, and its pieces are cut out of its own text; without words every target is 0; an empty table gives no rows. All randomness is hashed from ids and ``seed``, so reruns agree.
 """
 
 from __future__ import annotations
@@ -91,14 +91,23 @@ def _halved(node: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 32, blocks_per_shard: int = 64, seed: int = 7
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    shards: int = 32,
+    blocks_per_shard: int = 64,
+    seed: int = 7,
+    key: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
     Documents: one row each with ``doc``, ``row`` (its key), ``source``, ``size``, ``source_size`` and ``target``. Pieces: the words the mix takes, as spans of documents:
     ``row``, ``doc``, ``epoch``, ``start``, ``length``, ``block``, ``shard`` and ``rank``, the hash that orders a shard.
+    A ``key`` given is in both, as ``key``.
     """
-    own = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), words(text_col).alias("size"))
+    keys = [] if key is None else ["key"]
+    own = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), words(text_col).alias("size"), *([] if key is None else [key.alias("key")]))
     own = own.withColumn("hash", F.xxhash64(F.lit(seed), "doc", "size"))
     own = keep(own.withColumn("range", F.pmod(F.shiftright("hash", 40), F.lit(RANGES))), "mixing-sizes")
     aims = keep(targets(own.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixing-targets")
@@ -107,13 +116,13 @@ def mix(
     ranges = named.groupBy("place", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
     so_far = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("place", "range", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"{c}_before") for c in ("words", "rows")))
-    inside = Window.partitionBy("place", "range").orderBy("hash", "doc", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("place", "range").orderBy("hash", "doc", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
     stream = (
         named.join(ranges, ["place", "range"])
         .withColumn("at", F.col("words_before") + F.sum("size").over(inside) - F.col("size"))
         .withColumn("row", F.struct("place", (F.col("rows_before") + F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("number")))
     )
-    stream = keep(stream.select("row", "doc", "source", "size", "place", "source_size", "target", "at"), "mixing-stream")
+    stream = keep(stream.select("row", "doc", "source", "size", "place", "source_size", "target", "at", *keys), "mixing-stream")
 
     taken = F.floor(F.col("target") + 0.5).cast("long")
     block_words = aims.agg(F.greatest(F.lit(1), F.ceil(F.sum(taken) / (shards * blocks_per_shard))).cast("long")).first()[0] or 1
@@ -134,7 +143,7 @@ def mix(
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))))
         .withColumn("first", F.greatest("begin", F.col("block") * block_words))
         .withColumn("last", F.least("end", (F.col("block") + 1) * block_words))
-        .select("row", "place", "doc", "epoch", (F.col("first") - F.col("begin")).alias("start"), (F.col("last") - F.col("first")).alias("length"), "block")
+        .select("row", "place", "doc", "epoch", (F.col("first") - F.col("begin")).alias("start"), (F.col("last") - F.col("first")).alias("length"), "block", *keys)
     )
     pieces = cut.join(shard_of, ["place", "block"]).withColumn("rank", F.xxhash64(F.lit(seed), "shard", "row", "epoch", "start"))
     return stream, pieces
@@ -154,15 +163,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row per piece, with the columns of its document; a piece of a whole document has its text as it is, one that ends or begins at the edge of a
     block has its words joined by spaces. Rows of one shard are spread over ``PARTS`` tasks by the hash that orders them.
     """
-    _, pieces = mix(docs, id_col, text_col, source_col, shards)
-    # both sides meet by a key without nulls, so that the texts, dealt by it once, stay where they are for the join
-    key = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id"))
-    own = docs.withColumn("_key", key(id_col)).dropDuplicates(["_key"]).withColumn("_size", words(text_col))
-    joined = own.join(pieces.select(key("doc").alias("_key"), "start", "length", "shard", "rank"), "_key")
+    # a row is known by all it holds, as an id may be missing or have several texts; rows alike in all have the same pieces to give.
+    # Both sides meet by this key, so that the texts, dealt by it once, stay where they are for the join
+    key = F.unhex(F.sha2(F.concat(F.sha2(F.coalesce(text_col, F.lit("")), 256), F.to_json(F.struct(*(c for c in docs.columns if c != text_col)))), 256))
+    _, pieces = mix(docs, id_col, text_col, source_col, shards, key=key)
+    own = docs.withColumn("_key", key).dropDuplicates(["_key"]).withColumn("_size", words(text_col))
+    joined = own.join(pieces.select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("length").alias("_length"), F.col("shard").alias("_shard"), F.col("rank").alias("_rank")), "_key")
     listed = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    part = F.array_join(F.slice(listed, (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ")
-    cut = joined.withColumn(text_col, F.when(F.col("length") == F.col("_size"), F.col(text_col)).otherwise(part))
+    part = F.array_join(F.slice(listed, (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " ")
+    cut = joined.withColumn(text_col, F.when(F.col("_length") == F.col("_size"), F.col(text_col)).otherwise(part))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    group = F.col("shard") * PARTS + F.pmod(F.shiftright("rank", 32), F.lit(PARTS))
-    return cut.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group", "rank").select(*docs.columns)
+    group = F.col("_shard") * PARTS + F.pmod(F.shiftright("_rank", 32), F.lit(PARTS))
+    return cut.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group", "_rank").select(*docs.columns)

@@ -79,6 +79,18 @@ def test_mixed_documents(docs, corpus):
     assert got == Counter({r.doc_id: r.taken for r in mixing.digest(unique).collect() if r.taken})
 
 
+def test_mixed_documents_without_own_ids(spark):
+    """Rows without an id, or with one id and different texts, each give their own words; so do rows alike in all."""
+    rows = [(None, f"a{k} b{k} c{k} " * (k + 1), "en", "s", k) for k in range(6)] + [(7, "one text here", "en", "s", 0), (7, "quite another and longer text", "en", "s", 0)]
+    rows += [(8, "same words twice", "en", "s", 0)] * 2 + [(8, "same words twice", "de", "s", 0)]
+    got, want = Counter(), Counter()
+    for r in mixing.mixed_documents(spark.createDataFrame(rows, TEXT_SCHEMA).repartition(3)).collect():
+        got.update((r.doc_id, r.lang, w) for w in r.text.split())
+    for i, text, lang, *_ in rows:
+        want.update((i, lang, w) for w in text.split())
+    assert got == want
+
+
 def test_mix_of_odd_tables(spark, no_docs):
     assert mixing.digest(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, None)], TEXT_SCHEMA)
