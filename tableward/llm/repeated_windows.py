@@ -3,6 +3,8 @@
 Every window belongs to the bucket of its smallest q-gram (its anchor). A run of consecutive windows with one anchor is one record:
 (anchor, hash of the run's bytes, document, first window, windows). Documents whose runs are the same bytes are settled
 by that alone; only anchors with differing runs need their bytes compared.
+
+A document is (doc, row): ``doc``, its id, says which is smaller; ``row`` tells different texts of one id apart (``with_rows``).
 """
 
 from __future__ import annotations
@@ -16,14 +18,29 @@ from pyspark.sql import functions as F
 
 from tableward.llm import packed
 from tableward.llm import sequences as sq
+from tableward.session import keep
 
 _U = np.uint64
-_BLOBS = ["key", "rest", "doc", "start", "count", "done_doc", "done_start", "done_count"]
+_BLOBS = ["key", "rest", "doc", "row", "start", "count", "done_doc", "done_row", "done_start", "done_count"]
 _PACKED = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in _BLOBS])
 _PACKED_DDL = "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS)
 #: state 0: these windows repeat; 1: compare bytes with the other runs of ``anchor``; 2: so, and the anchor is common.
-FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("state", pa.int32()), ("anchor", pa.int64())])
-_FOUND_DDL = "doc long, start long, count long, state int, anchor long"
+FOUND = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("state", pa.int32()), ("anchor", pa.int64())])
+_FOUND_DDL = "doc long, row long, start long, count long, state int, anchor long"
+
+
+def with_rows(docs: DataFrame, doc: str = "doc", text: str = "text", row: str = "row") -> DataFrame:
+    """``docs`` with ``row``: 0 where an id has one text, else the text's hash. So it depends on id and text alone and, where ids
+    do not repeat, takes no room. The ids with several texts are written down; there are none in most tables."""
+    if row in docs.columns:
+        return docs
+    hashed = F.shiftrightunsigned(F.xxhash64(text), 1)
+    several = docs.select(F.col(doc).alias("__several"), hashed.alias("h")).groupBy("__several").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    several = keep(several.filter("a <> b").select("__several"), "ids-of-several-texts")
+    if several.isEmpty():
+        return docs.withColumn(row, F.lit(0).cast("long"))
+    joined = docs.join(several, F.col(doc) == F.col("__several"), "left")
+    return joined.withColumn(row, F.when(F.col("__several").isNotNull(), hashed).otherwise(F.lit(0).cast("long"))).drop("__several")
 
 
 def new_keys(*columns: np.ndarray) -> np.ndarray:
@@ -42,8 +59,8 @@ def first_of(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _packer(buckets: int):
     def flush(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((arrays[4], arrays[3], arrays[2], arrays[1], arrays[0]))
-        bucket, key, rest, doc, start, count = (x[order] for x in arrays)
+        order = np.lexsort((arrays[5], arrays[3], arrays[2], arrays[1], arrays[0]))
+        bucket, key, rest, doc, row, start, count = (x[order] for x in arrays)
         done = doc > first_of(new_keys(bucket, key, rest), doc)
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
         out: dict[str, list] = {x: [] for x in _PACKED.names}
@@ -55,7 +72,7 @@ def _packer(buckets: int):
             out["bucket"].append(b)
             out["key"].append(packed.squeeze_sorted(key[part][open_]))
             out["rest"].append(packed.squeeze(rest[part][open_]))
-            for name, values in (("doc", doc), ("start", start), ("count", count)):
+            for name, values in (("doc", doc), ("row", row), ("start", start), ("count", count)):
                 out[name].append(packed.squeeze(values[part][open_]))
                 out[f"done_{name}"].append(packed.squeeze(values[part][shut]))
         yield from packed.rows_of(out, _PACKED, 64)
@@ -71,30 +88,30 @@ def _unpack(table: pa.Table, names: list[str]) -> list[np.ndarray]:
 
 
 def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFrame:
-    """Rows (doc, start, count, state, anchor) for the runs of windows that repeat or may repeat.
+    """Rows (doc, row, start, count, state, anchor) for the runs of windows that repeat or may repeat.
 
-    ``docs`` has (doc long, text). Anchors with more than ``common`` differing runs get state 2.
+    ``docs`` has (doc long, text, row long). Anchors with more than ``common`` differing runs get state 2.
     """
     buckets = 2 * packed.bucket_count(docs)
 
     def records(batch: pa.RecordBatch):
         data, at = sq.texts(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, doc in enumerate(ids):
+        ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        for i, (doc, row) in enumerate(zip(ids, rows)):
             prefix = sq.Prefix(sq.BYTE_CODES[data[at[i] : at[i + 1]]])
             anchor, start, count = sq.segments(prefix, length, q)
             if len(start):
                 content = prefix.of(start, start + count - 1 + length)
                 # half of the anchor (its other half chose the bucket) and the content, 96 bits in two columns
                 key = (anchor & _U(0xFFFFFFFF00000000)) | (content >> _U(32))
-                yield packed.bucket_of(anchor, buckets), key, content.astype(np.uint32), np.full(len(start), doc), start, count
+                yield packed.bucket_of(anchor, buckets), key, content.astype(np.uint32), np.full(len(start), doc), np.full(len(start), row), start, count
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        own = _unpack(table, _BLOBS[:5])
-        done = _unpack(table, _BLOBS[5:])
+        own = _unpack(table, _BLOBS[:6])
+        done = _unpack(table, _BLOBS[6:])
         order = np.lexsort((own[3], own[2], own[1], own[0]))
-        key, rest, doc, start, count = (x[order] for x in own)
+        key, rest, doc, row, start, count = (x[order] for x in own)
         fresh = new_keys(key, rest)
         repeat = doc > first_of(fresh, doc)
         high = (key >> _U(32)).astype(np.int64)
@@ -107,13 +124,13 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
         state = np.where(compare, np.where(contents[group] > common, 2, 1), 0)
         anchor = (np.int64(bucket) << np.int64(32)) | high
         keep = repeat | compare
-        cols = [doc, start, count, state, anchor]
+        cols = [doc, row, start, count, state, anchor]
         cols = [x[keep] for x in cols]
         zeros = np.zeros(len(done[0]), np.int64)
         cols = [np.concatenate([x, y]) for x, y in zip(cols, [*done, zeros, zeros])]
         return pa.table([pa.array(x, f.type) for x, f in zip(cols, FOUND)], schema=FOUND)
 
-    sent = docs.select("doc", "text").mapInArrow(
+    sent = docs.select("doc", "text", "row").mapInArrow(
         lambda batches: packed.gather(batches, records, _packer(buckets)), _PACKED_DDL
     )
     return sent.groupBy("bucket").applyInArrow(settle, _FOUND_DDL)
@@ -121,4 +138,4 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
 
 def marks_of(found: DataFrame) -> DataFrame:
     """One row per document: the runs that repeat, as arrays bounded by the document's own length."""
-    return found.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count")).alias("marks"))

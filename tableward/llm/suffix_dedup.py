@@ -11,7 +11,7 @@ documents, and strings are judged on the input.
 3. Anchors with over ``common`` differing runs (some MB) are spread: each of their windows goes by its own full content, aggregated before it moves.
 
 Defined cases: a missing text is empty and has no spans; texts shorter than ``length`` lose nothing; repeated rows (same id and text) get equal
-results; a missing id counts as the smallest; further columns are carried through by ``remove_repeats``, whatever their names.
+results, rows with one id and different texts each their own; a missing id counts as the smallest; further columns are carried through by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from tableward.llm.ship import ship
 from tableward.session import keep
 
 NULL_ID = -(2**62)
-_SEGMENT = pa.schema([("route", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
-_SEGMENT_DDL = "route int, anchor long, doc long, start long, windows int, bytes binary"
-_RUN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])
-_RUN_DDL = "doc long, start long, count long"
+_SEGMENT = pa.schema([("route", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
+_SEGMENT_DDL = "route int, anchor long, doc long, row long, start long, windows int, bytes binary"
+_RUN = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])
+_RUN_DDL = "doc long, row long, start long, count long"
 
 
 def refine(data: np.ndarray, first: np.ndarray, length: int, group: np.ndarray | None = None) -> np.ndarray:
@@ -86,7 +86,7 @@ def refine(data: np.ndarray, first: np.ndarray, length: int, group: np.ndarray |
 
 def _compared(table: pa.Table, length: int) -> pa.Table:
     """Of the windows of a bucket those that an earlier document has too."""
-    doc, start, windows, anchor = (table.column(n).to_numpy() for n in ("doc", "start", "windows", "anchor"))
+    doc, own, start, windows, anchor = (table.column(n).to_numpy() for n in ("doc", "row", "start", "windows", "anchor"))
     data, at = sq.texts_binary(table.column("bytes"))
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     row = np.repeat(np.arange(len(doc)), windows)
@@ -94,56 +94,56 @@ def _compared(table: pa.Table, length: int) -> pa.Table:
     live = np.flatnonzero(bucket >= 0)
     order = live[np.lexsort((doc[row[live]], bucket[live]))]
     hit = order[doc[row[order]] > rw.first_of(rw.new_keys(bucket[order]), doc[row[order]])] if len(order) else order
-    d, s = doc[row[hit]], start[row[hit]] + offset[hit]
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
-    return pa.table([pa.array(x, pa.int64()) for x in (d[new], s[new], np.diff(np.append(new, len(d))))], schema=_RUN)
+    d, w, s = doc[row[hit]], own[row[hit]], start[row[hit]] + offset[hit]
+    order = np.lexsort((s, w, d))
+    d, w, s = d[order], w[order], s[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
+    return pa.table([pa.array(x, pa.int64()) for x in (d[new], w[new], s[new], np.diff(np.append(new, len(d))))], schema=_RUN)
 
 
 def repeated_runs(docs: DataFrame, length: int = 50, q: int = 16, common: int = 50_000) -> DataFrame:
-    """(doc, start, count): windows ``start .. start + count - 1`` of document ``doc`` also start in an earlier one.
+    """(doc, row, start, count): windows ``start .. start + count - 1`` of document ``doc`` also start in an earlier one.
 
-    ``docs`` has (doc long, text).
+    ``docs`` has (doc long, text) and may have ``row``.
     """
     ship(docs.sparkSession)
+    docs = rw.with_rows(docs)
     found = keep(rw.runs_of_windows(docs, length, q, common), "suffix-buckets")
     routes = 2 * packed.bucket_count(docs)
     asked = (
         found.filter("state > 0")
-        .groupBy("doc")
+        .groupBy("doc", "row")
         .agg(F.collect_list(F.struct("start", "count", "state", "anchor")).alias("asked"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = sq.texts(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             rows, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             start, count, state, anchor = (rows.field(n).to_numpy() for n in ("start", "count", "state", "anchor"))
-            doc = np.repeat(ids, np.diff(ends))
+            doc, row = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), np.diff(ends)) for k in (0, 3))
             begin = np.repeat(at[:-1], np.diff(ends)) + start
             plain = state == 1
             route = (anchor[plain] % routes).astype(np.int32)
             end = begin + count - 1 + length
             out = [pa.array([data[x:y].tobytes() for x, y in zip(begin[plain], end[plain])], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(anchor[plain]), pa.array(doc[plain]), pa.array(start[plain]), pa.array(count[plain].astype(np.int32)), *out], schema=_SEGMENT)
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(anchor[plain]), pa.array(doc[plain]), pa.array(row[plain]), pa.array(start[plain]), pa.array(count[plain].astype(np.int32)), *out], schema=_SEGMENT)
             each = np.repeat(np.flatnonzero(~plain), count[~plain])
             if len(each):  # a window by itself, told by route -1
                 shift = np.arange(len(each)) - np.repeat(np.cumsum(count[~plain]) - count[~plain], count[~plain])
                 x = begin[each] + shift
                 out = pa.array([data[i : i + length].tobytes() for i in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), -1, np.int32)), pa.array(anchor[each]), pa.array(doc[each]), pa.array(start[each] + shift), pa.array(np.ones(len(each), np.int32)), out], schema=_SEGMENT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), -1, np.int32)), pa.array(anchor[each]), pa.array(doc[each]), pa.array(row[each]), pa.array(start[each] + shift), pa.array(np.ones(len(each), np.int32)), out], schema=_SEGMENT)
 
-    pieces = keep(docs.join(asked, "doc").select("doc", "text", "asked").mapInArrow(cut, _SEGMENT_DDL), "suffix-pieces")
+    pieces = keep(docs.join(asked, ["doc", "row"]).select("doc", "text", "asked", "row").mapInArrow(cut, _SEGMENT_DDL), "suffix-pieces")
     compared = (
         pieces.filter("route >= 0").groupBy("route").applyInArrow(lambda t: _compared(t, length), _RUN_DDL)
     )
     apart = pieces.filter("route < 0")
     least = apart.groupBy("bytes").agg(F.min("doc").alias("least"))
-    spread = apart.join(least, "bytes").filter("doc > least").select("doc", "start", F.lit(1).cast("long").alias("count"))
-    same = found.filter("state = 0").select("doc", "start", "count")
+    spread = apart.join(least, "bytes").filter("doc > least").select("doc", "row", "start", F.lit(1).cast("long").alias("count"))
+    same = found.filter("state = 0").select("doc", "row", "start", "count")
     return same.unionByName(compared).unionByName(spread)
 
 
@@ -153,7 +153,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """Per document: its id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = rw.with_rows(_keyed(docs, id_col, text_col))
     marks = rw.marks_of(repeated_runs(keyed, length))
     schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -166,7 +166,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(cols, list(schema)[1:]))], schema=schema)
 
-    out = keyed.join(marks, "doc", "left").select("doc", "text", "marks").mapInArrow(judge, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = keyed.join(marks, ["doc", "row"], "left").select("doc", "text", "marks").mapInArrow(judge, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc", F.when(F.col("doc") != NULL_ID, F.col("doc"))).withColumnRenamed("doc", id_col)
 
 
@@ -187,11 +187,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A span that begins or ends inside a character is narrowed to whole characters, so texts stay valid.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    marks = rw.marks_of(repeated_runs(keyed, length)).withColumnsRenamed({"doc": "__doc", "marks": "__marks"})
+    named = rw.with_rows(docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))), "__doc", text_col, "__row")
+    keyed = named.select(F.col("__doc").alias("doc"), F.col(text_col).alias("text"), F.col("__row").alias("row"))
+    marks = rw.marks_of(repeated_runs(keyed, length)).withColumnsRenamed({"doc": "__of", "row": "__of_row", "marks": "__marks"})
     schema = docs.schema
     place = docs.columns.index(text_col)
-    joined = docs.join(marks, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("__doc"), "left").drop("__doc")
+    joined = named.join(marks, (F.col("__doc") == F.col("__of")) & (F.col("__row") == F.col("__of_row")), "left").drop("__doc", "__row", "__of", "__of_row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

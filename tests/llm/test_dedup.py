@@ -1,5 +1,7 @@
 """Suffix-array dedup, substring dedup and the Jaccard join against brute force."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -108,6 +110,35 @@ def test_missing_ids_and_empty_tables(spark, no_docs):
         assert f(no_docs).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Two rows without an id and one id with two texts, of different lengths, share passages with other documents in differing runs."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    a, b = prose(130), prose(130)
+    rows = [
+        (None, f"{prose(3)} {a}"), (None, f"{prose(400)} {a} {prose(90)} {b}"), (None, "short"),
+        (4, f"{a.rsplit(' ', 9)[0]} {prose(5)}"), (4, f"{prose(300)} {b} {prose(9)} {a}"), (4, prose(60)),
+        (9, f"{prose(2)} {b} {prose(2)} {a}"), (9, f"{a} {prose(40)}"), (9, f"{a} {prose(40)}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def want(split, join, length):
+        """Per row what stays, judged against all rows with a smaller id."""
+        out = []
+        for i, text in rows:
+            s = split(text)
+            seen = {tuple(o[p : p + length]) for j, t in rows if i is not None and (j is None or j < i) for o in [split(t)] for p in range(len(o) - length + 1)}
+            gone = {p + k for p in range(len(s) - length + 1) if tuple(s[p : p + length]) in seen for k in range(length)}
+            out.append((str(i), len(s), len(gone), join(x for k, x in enumerate(s) if k not in gone)))
+        return sorted(out)
+
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == want(str.split, " ".join, 50)
+    whole = want(list, "".join, 50)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.digest(docs).collect()) == sorted((*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in whole)
+    assert sorted((str(r.doc_id), r.text) for r in suffix_dedup.remove_repeats(docs).collect()) == sorted((w[0], w[3]) for w in whole)
+
+
 def test_clashing_columns(spark):
     rows = [(k, "same text " * 20, "m", "a", 1, "r", "x") for k in range(3)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, marks string, doc string, start long, rep string, __marks string")
