@@ -85,6 +85,16 @@ def test_packing_round_trip(docs, corpus, tokenizer):
     assert tokenizer.decode(list(np.concatenate(whole)[:-1])) == next(r[1] for r in corpus if r[0] == 1300)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_very_long_blank_runs(spark, tokenizer, blank):
+    text = f"before{blank * 2_000_000}after <|endoftext|>"
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    _check_pieces(packing.pack(df).collect(), [(1, text), (2, "plain")], tokenizer)
+    counts = token_counts.count_sections(df).filter("doc_id = 1").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("all")).first()
+    assert counts.n == counts["all"] == len(ids)
+
+
 def test_short_windows_and_empty_table(docs, corpus, no_docs, tokenizer):
     _check_pieces(packing.pack(docs, length=16).collect(), [r[:2] for r in corpus], tokenizer, 16)
     assert packing.pack(no_docs).count() == 0 and token_counts.count_sections(no_docs).count() == 0
