@@ -6,7 +6,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before kep
 2. n-gram Jaccard join: of each group of near duplicates the smallest doc_id stays, by five-word shingles at 0.8;
 3. suffix-array dedup: bytes of 50-byte strings that an earlier document has are cut out of the texts, by whole characters;
 4. mixing: texts are repeated (up to three times), cut or left out so that the sources come near their targets;
-5. packing: the pieces of all texts in sequences of 1024 tokens.
+5. packing: the pieces of all texts in sequences of 1024 tokens, with their token ids.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -98,6 +98,19 @@ def test_packing_stage(stages):
     assert all(0 <= r.ids_crc32 < 2**32 for r in rows) and zlib.crc32(b"") == 0
 
 
+def test_packed_ids_are_returned(stages):
+    """The result holds every token of the mixed texts, piece by piece."""
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, got = Counter(), Counter()
+    for r in stages[4][1].collect():
+        want.update([*tokenizer.encode(r.text, add_special_tokens=False).ids, 0])
+    for r in stages[5][1].collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == r.length and zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+        got.update(ids.tolist())
+    assert got == want
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 100
     assert corpus_pipeline.ORACLE_SQL is None
