@@ -29,8 +29,8 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls and results of each conversation, linked, ordered, validated and as canonical JSON."""
-    return tool_calls.linked(*tool_calls.from_turns(_table(spark, sf_dir, "conversations")))
+    """All messages of each conversation, tool calls and results linked, ordered, validated and as canonical JSON."""
+    return tool_calls.formatted(_table(spark, sf_dir, "conversations"))
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ against the schemas of their tools, and written as canonical JSON: keys ascendin
 * Order: a call's depth is 0 if it needs no other call, else one more than the deepest call it needs; a result has its call's depth. Each
   level is one join. Calls on a cycle or behind a missing call get no depth and are ``unresolved``. Messages are sorted by (depth, turn, call
   before result), those without depth last, and ``place`` numbers them from 0 within the conversation.
+* Plain messages need nothing: kind ``message``, status ``plain``, depth 0, no call id and no errors.
 * Validation: arguments against the parameters of the tool. Errors, each kind ascending: ``unknown tool``; ``missing x`` for a required one;
   ``unexpected x``; ``type x``.
 
@@ -78,10 +79,11 @@ def _first_of_id(rows: DataFrame, extra: list[str]) -> DataFrame:
     return rows.filter("call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "key", *extra)).alias("first"))
 
 
-def linked(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, tools: DataFrame, messages: DataFrame | None = None) -> DataFrame:
     """One row per message: conv, place, kind, call_id, turn, depth, status, errors and json, its canonical form.
 
-    ``calls`` has (conv, turn, call_id, tool, arguments, needs), ``results`` (conv, turn, call_id, content).
+    ``calls`` has (conv, turn, call_id, tool, arguments, needs), ``results`` (conv, turn, call_id, content), ``messages``, which are neither,
+    (conv, turn, role, content).
     """
     keyed = lambda df: keep(df.withColumn("key", F.monotonically_increasing_id()), "calls-input")
     calls, results = keyed(errors_of(calls, tools)), keyed(results)
@@ -115,6 +117,11 @@ def linked(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     call_json = F.concat(F.lit('{"arguments":'), F.col("body.arguments"), F.lit(","), F.substring(F.to_json(F.struct(F.col("call_id").alias("id"), F.col("body.tool").alias("name"), F.lit("call").alias("type"))), F.lit(2), F.lit(2**31 - 1)))
     result_json = F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("result").alias("type")))
     rows = rows.withColumn("json", F.when(F.col("kind") == "call", call_json).otherwise(result_json)).drop("body", "content")
+    if messages is not None:
+        rows = rows.unionByName(messages.select(
+            "conv", "turn", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("kind"), F.lit("plain").alias("status"), F.lit(0).alias("depth"),
+            F.array().cast("array<string>").alias("errors"), F.to_json(F.struct("content", "role", F.lit("message").alias("type"))).alias("json"),
+        ))
     return placed(rows)
 
 
@@ -144,14 +151,14 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and tools read from plain conversations, which have no tool calls of their own.
 
     An assistant's turn t is a call with id ``c<t>``; the turn after it, if it is a user's, is its result. Tool and arguments depend on the
-    text only: of texts with 3 n characters the call needs the call two turns before; the tool is search, count or (one of seven) an unknown
+    text only, and the arguments hold the whole of it: of texts with 3 n characters the call needs the call two turns before; the tool is search, count or (one of seven) an unknown
     one; some arguments are missing, unexpected or of another type.
     """
     n = F.char_length(F.coalesce("text", F.lit("")))
-    words = F.substring_index(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), " ", 4)
+    words = F.coalesce("text", F.lit(""))
     limit = F.when(n % 5 == 0, F.to_json(F.struct(n.cast("string").alias("limit")))).otherwise(F.to_json(F.struct(n.alias("limit"))))
     search = F.concat(F.substring(F.to_json(F.struct(words.alias("query"), (n % 2 == 0).alias("exact"))), F.lit(1), F.char_length(F.to_json(F.struct(words.alias("query"), (n % 2 == 0).alias("exact")))) - 1), F.lit(","), F.substring(limit, F.lit(2), F.lit(2**31 - 1)))
-    count = F.when(n % 11 == 0, F.to_json(F.struct(F.lit("word").alias("unit")))).when(n % 13 == 0, F.to_json(F.struct(words.alias("text"), n.alias("size")))).otherwise(F.to_json(F.struct(words.alias("text"), F.lit("word").alias("unit"))))
+    count = F.when(n % 11 == 0, F.to_json(F.struct(words.alias("phrase"), F.lit("word").alias("unit")))).when(n % 13 == 0, F.to_json(F.struct(words.alias("text"), n.alias("size")))).otherwise(F.to_json(F.struct(words.alias("text"), F.lit("word").alias("unit"))))
     tool = F.when(n % 7 == 0, "translate").when(n % 2 == 0, "search").otherwise("count")
     own = turns.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
     calls = own.filter("role = 'assistant'").select(
@@ -162,3 +169,14 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     results = own.filter("role = 'user' AND turn > 0").select("conv", "turn", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     tools = turns.sparkSession.createDataFrame(TOOLS, "tool string, parameter string, type string, required boolean")
     return calls, results, tools
+
+
+def plain_turns(turns: DataFrame) -> DataFrame:
+    """The rows of conversations that ``from_turns`` makes neither calls nor results, such as system and opening turns, as messages."""
+    used = F.coalesce(F.expr("role = 'assistant' OR (role = 'user' AND turn > 0)"), F.lit(False))
+    return turns.filter(~used).select(F.col("conv_id").alias("conv"), "turn", "role", F.col("text").alias("content"))
+
+
+def formatted(turns: DataFrame) -> DataFrame:
+    """One row for every row of conversations."""
+    return linked(*from_turns(turns), plain_turns(turns))

@@ -197,6 +197,32 @@ def test_conversations_against_brute_force(spark, folder):
     assert tool_calls.linked(*tool_calls.from_turns(empty)).count() == 0
 
 
+def test_every_turn_is_formatted_whole(spark, folder):
+    """One row for each row of the table, with the whole text in its JSON."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    conv = turns.schema["conv_id"].dataType
+    odd = spark.range(1).select(F.lit(10**6).cast(conv).alias("conv_id"), F.explode(F.expr(
+        """array(named_struct('turn', 0, 'role', 'system', 'text', 'rules "a"'), named_struct('turn', 1, 'role', cast(null as string), 'text', 'x'),
+           named_struct('turn', 2, 'role', 'critic', 'text', 'five words are in here'), named_struct('turn', cast(null as int), 'role', 'user', 'text', 'lost'),
+           named_struct('turn', 4, 'role', 'assistant', 'text', 'one  two three four five six 12345'), named_struct('turn', 5, 'role', 'user', 'text', 'yes'))"""
+    )).alias("t")).select("conv_id", F.col("t.turn").cast(turns.schema["turn"].dataType).alias("turn"), "t.role", "t.text")
+    turns = turns.unionByName(odd)
+    rows, given = tool_calls.formatted(turns).collect(), turns.collect()
+    assert len(rows) == len(given) and len({(r.conv, r.place) for r in rows}) == len(rows)
+    want = Counter()
+    for t in given:
+        kind = "call" if t.role == "assistant" else "result" if t.role == "user" and (t.turn or 0) > 0 else "message"
+        want[t.conv_id, t.turn, kind, t.role if kind == "message" else None, t.text] += 1
+    got = Counter()
+    for r in rows:
+        own = json.loads(r.json)
+        assert list(own) == sorted(own)
+        text = own.get("content") if r.kind != "call" else next(own["arguments"][k] for k in ("query", "text", "phrase") if k in own["arguments"])
+        got[r.conv, r.turn, r.kind, own.get("role"), text] += 1
+        assert (r.kind == "message") == (r.status == "plain")
+    assert got == want and not any(x in _plan(tool_calls.formatted(turns)) for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_no_python_in_native_plans(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     from tableward.llm import fingerprints
