@@ -3,21 +3,17 @@
 A document's set holds the distinct ``WORDS``-word shingles of its text, A to Z in lower case; with fewer words the whole sequence is the one
 shingle. Two documents link when 100 x intersection >= ``PERCENT`` x union.
 
-1. Sets that are equal are one class, told by size and two 64-bit sums; from here on the smallest id stands for its class.
+1. Sets that are equal are one class, told by size and two 64-bit sums (``similar``).
 2. Signatures. Sizes fall into bands whose ends differ by the threshold, so linked sets lie in one band or in neighbouring ones, and for each
    band the sets that differ least can differ in at most k shingles. The shingle domain is hashed into parts of three subparts each. With
    more than k / 2 parts one part holds at most one difference, so two of its three subparts agree: every subset of two subparts
    of every part is a signature. A signature without shingles says nothing and is left out where a set has enough other
    parts to prove that none of its links needs it (``signatures``).
-3. Candidates. Documents that share a signature are compared with the smallest of them, on their texts. Links form components.
-4. Rest. Where a signature joins several components, pairs across them are compared as well, so no link between components is lost.
+3. Candidates. Classes that share a signature are compared on their texts (``similar.linked``): with the least of them first, and
+   across components where a signature joins several. Links form components. Links within a component that is already joined are not listed.
 
-Before texts are fetched, a pair must pass its odd sketches: ``BITS`` parities of shingle counts. Each shingle that only one of two sets has
-flips one bit, so sets whose sketches differ in more bits than linked sets may differ in shingles are not linked. This rules out nearly all pairs
-that share a passage or stem from one text but were edited too much, inside the join that makes the pairs.
-
-Defined cases: a missing text, or one without words, has an empty set and links with nothing; repeated rows get equal results; a missing id
-forms no links and is its own component (null).
+Defined cases: a missing text, or one without words, has an empty set and links with nothing; repeated rows get equal results; rows without an
+id link like others, and a component without any id has none.
 """
 
 from __future__ import annotations
@@ -29,43 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableward.llm import packed
+from tableward.llm import packed, similar
 from tableward.llm import sequences as sq
 from tableward.llm.batches import text_batches
-from tableward.llm.components import components
 from tableward.llm.ship import ship
 from tableward.session import keep
 
 WORDS = 4
 PERCENT = 85
-#: Parities in an odd sketch, 64 in each of its columns.
-BITS = 512
-_ODD = [f"odd{k}" for k in range(BITS // 64)]
+#: Sets that a task remembers, so as to send copies once; beyond it starts afresh, which costs bytes only.
+SEEN = 100_000
 _U = np.uint64
 _BLOBS = ["key", "doc", "paired", "more_key", "more_doc"]
 _PACKED = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in _BLOBS])
 _PACKED_DDL = "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS)
 
 
-def shingles(data: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Distinct shingle hashes of a text given as bytes, ascending."""
-    codes = sq.word_codes(sq.lower_ascii(data))
-    if not len(codes):
-        return codes
-    return np.unique(sq.Prefix(codes).grams(min(words, len(codes))) if len(codes) >= words else sq.mix(sq.Prefix(codes).grams(len(codes)) + _U(len(codes))))
-
-
-def set_sums(own: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that tell sets apart."""
-    return int(sq.mix(own).sum(dtype=_U).view(np.int64)), int(sq.mix(own * _U(0x9FB21C651E98DF25) + _U(7)).sum(dtype=_U).view(np.int64))
-
-
-def odd_sketch(own: np.ndarray) -> list[int]:
-    """Parity of the number of shingles in each of ``BITS`` classes of their hashes, as 64-bit numbers."""
-    place = (sq.mix(own ^ _U(0x2545F4914F6CDD1D)) >> _U(32)).astype(np.int64) * BITS >> 32
-    return np.packbits(np.bincount(place, minlength=BITS) & 1).view(np.int64).tolist()
-
-
 def band_of(size: int, percent: int) -> tuple[int, int, int]:
     """(number, least, largest) of the size band: linked sets are in one band or in neighbouring ones."""
     number, low = 0, 1
@@ -119,28 +94,8 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc, n, rep, odd sketch): the smallest document with an equal set is ``rep``. ``docs`` has (doc long, text)."""
-    names = ["doc", "n", "h1", "h2", *_ODD]
-    schema = pa.schema([(x, pa.int64()) for x in names])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = sq.texts(batch.column(1))
-            rows = []
-            for i in range(batch.num_rows):
-                own = shingles(data[at[i] : at[i + 1]], words)
-                rows.append((len(own), *set_sums(own), *odd_sketch(own)))
-            columns = list(zip(*rows)) or [[]] * (3 + len(_ODD))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], schema=schema)
-
-    sums = keep(docs.select("doc", "text").mapInArrow(summed, ", ".join(f"{x} long" for x in names)), "jaccard-sums")
-    reps = sums.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
-    return sums.join(reps, ["n", "h1", "h2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"), *_ODD)
-
-
 def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc): signatures that more than one document has; equal sets of one task are told once."""
+    """(key, row): signatures that more than one row has; most equal sets of one task are told once. ``docs`` has (row, text)."""
     buckets = 2 * packed.bucket_count(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +104,11 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
         def records(batch: pa.RecordBatch):
             data, at = sq.texts(batch.column(1))
             for i, doc in enumerate(batch.column(0).to_numpy(zero_copy_only=False)):
-                own = shingles(data[at[i] : at[i + 1]], words)
-                told = set_sums(own)
+                own = similar.shingles(data[at[i] : at[i + 1]], words)
+                told = similar.set_sums(own)
                 if len(own) and told not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(told)
                     key = signatures(own, percent)
                     yield key, np.full(len(key), doc)
@@ -197,82 +154,21 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             shared = (np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)) | (np.maximum.reduceat(paired, edge) > 0)
             chosen = shared[group] & np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
             key, doc = key[chosen], doc[chosen]
-        return pa.table([pa.array(np.concatenate([key, more_key]).view(np.int64)), pa.array(np.concatenate([doc, more_doc]))], names=["key", "doc"])
-
-    return docs.select("doc", "text").mapInArrow(emit, _PACKED_DDL).groupBy("bucket").applyInArrow(settle, "key long, doc long")
-
-
-def compared(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(a, b, both, either): sizes of intersection and union of each pair's sets. ``wanted`` has (doc, text)."""
-    left, right = (wanted.select(F.col("doc").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "both", "either")])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.zeros(0, _U)
-        for batch in batches:
-            b, (data_a, at_a), (data_b, at_b) = batch.column(1), sq.texts(batch.column(2)), sq.texts(batch.column(3))
-            both, either = [], []
-            for i in range(batch.num_rows):
-                own = shingles(data_a[at_a[i] : at_a[i + 1]], words)
-                if last != (other := b[i].as_py()):
-                    last, known = other, shingles(data_b[at_b[i] : at_b[i + 1]], words)
-                common = len(np.intersect1d(own, known, assume_unique=True))
-                both.append(common)
-                either.append(len(own) + len(known) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), b, pa.array(both, pa.int64()), pa.array(either, pa.int64())], schema=schema)
+        return pa.table([pa.array(np.concatenate([key, more_key]).view(np.int64)), pa.array(np.concatenate([doc, more_doc]))], names=["key", "row"])
 
-    # joined by b last, so that rows of one b follow each other
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(count, "a long, b long, both long, either long")
+    return docs.select("row", "text").mapInArrow(emit, _PACKED_DDL).groupBy("bucket").applyInArrow(settle, "key long, row long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc, n, rep, component): per document its set's size, class and component."""
+    """(row, doc, n, cls, root, component) per document: its set's size, class and component."""
     ship(docs.sparkSession)
+    own = similar.rows_of(docs, id_col, text_col)
     with text_batches(docs.sparkSession):
-        return _groups(docs, id_col, text_col, words, percent)
-
-
-def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    named = own.filter("doc IS NOT NULL")
-    of_class = keep(classes(own, words), "jaccard-classes")
-    reps = of_class.filter("doc IS NOT NULL").dropDuplicates(["doc"])
-    keys = shared_signatures(named, words, percent).join(reps.select("doc", "rep"), "doc").select("key", F.col("rep").alias("doc")).distinct()
-    heads = keys.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).filter("head < last").select("key", "head")
-    keys = keep(keys, "jaccard-signatures").join(heads, "key")
-    facts = reps.filter("doc = rep").select("doc", "n", *_ODD)
-    keys = keep(keys.join(facts, "doc"), "jaccard-candidates")
-
-    def possible(other: str):
-        """Column: sizes and odd sketches of a row and of columns with ``other`` allow a link."""
-        n, m = F.col("n"), F.col(f"n{other}")
-        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}{other}"))) for c in _ODD[1:]), F.bit_count(F.col(_ODD[0]).bitwiseXOR(F.col(f"{_ODD[0]}{other}"))))
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits * (100 + percent) <= (n + m) * (100 - percent))
-
-    to_head = keys.filter("doc <> head").select("doc", "head", "n", *_ODD).distinct()
-    of_head = facts.select(F.col("doc").alias("head"), *(F.col(c).alias(f"{c}_y") for c in ("n", *_ODD)))
-    pairs = keep(to_head.join(of_head, "head").filter(possible("_y")).select(F.col("doc").alias("a"), F.col("head").alias("b")), "jaccard-pairs")
-    linked = F.col("both") * 100 >= F.col("either") * percent
-    texts = lambda pairs: named.join(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc").dropDuplicates(["doc"])
-    links = keep(compared(pairs, keep(texts(pairs), "jaccard-texts"), words).filter(linked).select("a", "b"), "jaccard-links")
-    part = components(links)
-
-    # keys that join several components
-    tagged = keys.join(part.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_ = keep(tagged.filter("doc <> head").join(mixed, "key").select("key", "doc", "component", "n", *_ODD), "jaccard-open")
-    other = open_.select("key", *(F.col(c).alias(f"{c}_y") for c in ("doc", "component", "n", *_ODD)))
-    apart = (F.col("doc") > F.col("doc_y")) & (F.col("component") != F.col("component_y"))
-    rest = open_.join(other, "key").filter(apart & possible("_y")).select(F.col("doc").alias("a"), F.col("doc_y").alias("b")).distinct()
-    rest = keep(rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        more = compared(rest, keep(texts(rest), "jaccard-texts"), words).filter(linked).select("a", "b")
-        part = components(links.unionByName(keep(more, "jaccard-more")))
-    whole = part
-    return of_class.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "doc", "n", "rep", F.coalesce("component", "rep").alias("component")
-    )
+        known = similar.facts(own, words)
+        sent = keep(shared_signatures(own, words, percent), "jaccard-signatures")
+        of_row = known.select("row", "n", "h1", "h2").join(similar.classes(known), ["n", "h1", "h2"]).select("row", "cls").distinct()
+        keys = sent.join(of_row, "row").select("key", "cls").distinct()
+        return similar.linked(own, known, keys, words, percent)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +177,5 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that with the smallest id, with its own columns; rows of a missing id stay."""
-    found = groups(docs, id_col, text_col, words, percent)
-    gone = found.filter("doc <> component").select(F.col("doc").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """One row of each group, that with the smallest id, with its own columns."""
+    return similar.keep_first(docs, groups(docs, id_col, text_col, words, percent), id_col, text_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableward.llm import fingerprints, jaccard_join, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts, tool_calls
+from tableward.llm import fingerprints, hard_negatives, jaccard_join, merkle, minhash, mixing, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives just below the positives of every hundredth vector."""
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 5-word shingles at 85 %, and which documents stay."""
+    return minhash.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in a hash tree over all sources, and whether a changed text is found out."""
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_mixing,
         op10_sharding,
+        op11_hard_negatives,
+        op12_minhash_dedup,
+        op13_merkle_manifest,
     )
 }
