@@ -95,15 +95,15 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, row): signatures that more than one row has; most equal sets of one task are told once. ``docs`` has (row, text)."""
+    """(key, h1): signatures that more than one set has, and the sets' first sums. ``docs`` has (text)."""
     buckets = 2 * packed.bucket_count(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
 
         def records(batch: pa.RecordBatch):
-            data, at = sq.texts(batch.column(1))
-            for i, doc in enumerate(batch.column(0).to_numpy(zero_copy_only=False)):
+            data, at = sq.texts(batch.column(0))
+            for i in range(batch.num_rows):
                 own = similar.shingles(data[at[i] : at[i + 1]], words)
                 told = similar.set_sums(own)
                 if len(own) and told not in seen:
@@ -111,7 +111,7 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(told)
                     key = signatures(own, percent)
-                    yield key, np.full(len(key), doc)
+                    yield key, np.full(len(key), told[0]).view(_U)  # packing takes differences, which unsigned numbers always have
 
         yield from packed.gather(batches, records, flush)
 
@@ -154,9 +154,9 @@ def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             shared = (np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)) | (np.maximum.reduceat(paired, edge) > 0)
             chosen = shared[group] & np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
             key, doc = key[chosen], doc[chosen]
-        return pa.table([pa.array(np.concatenate([key, more_key]).view(np.int64)), pa.array(np.concatenate([doc, more_doc]))], names=["key", "row"])
+        return pa.table([pa.array(np.concatenate([key, more_key]).view(np.int64)), pa.array(np.concatenate([doc, more_doc]).view(np.int64))], names=["key", "h1"])
 
-    return docs.select("row", "text").mapInArrow(emit, _PACKED_DDL).groupBy("bucket").applyInArrow(settle, "key long, row long")
+    return docs.select("text").mapInArrow(emit, _PACKED_DDL).groupBy("bucket").applyInArrow(settle, "key long, h1 long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -165,10 +165,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     own = similar.rows_of(docs, id_col, text_col)
     with text_batches(docs.sparkSession):
         known = similar.facts(own, words)
+        reps = similar.classes(known)
         sent = keep(shared_signatures(own, words, percent), "jaccard-signatures")
-        of_row = known.select("row", "n", "h1", "h2").join(similar.classes(known), ["n", "h1", "h2"]).select("row", "cls").distinct()
-        keys = sent.join(of_row, "row").select("key", "cls").distinct()
-        return similar.linked(own, known, keys, words, percent)
+        keys = sent.join(reps.select("h1", "cls"), "h1").select("key", "cls").distinct()
+        return similar.linked(own, known, reps, keys, words, percent)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

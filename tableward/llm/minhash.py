@@ -83,10 +83,10 @@ def groups(
     names = [f"band{k}" for k in range(coordinates // rows)]
     with text_batches(docs.sparkSession):
         known = similar.facts(own, words, lambda s: bands(s, coordinates, rows), names)
-        chosen = similar.classes(known).select(F.col("cls").alias("row"))
-        of_class = known.select("row", *names).join(chosen, "row", "left_semi").dropDuplicates(["row"])
-        keys = of_class.select(F.explode(F.array(*names)).alias("key"), F.col("row").alias("cls"))
-        return similar.linked(own, known, keys, words, percent)
+        reps = similar.classes(known)
+        of_class = known.select("row", *names).join(reps.select("row", "cls"), "row").dropDuplicates(["row"])
+        keys = of_class.select(F.explode(F.array(*names)).alias("key"), "cls")
+        return similar.linked(own, known, reps, keys, words, percent)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

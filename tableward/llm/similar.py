@@ -3,8 +3,9 @@
 Used with keys of any making: ``linked`` takes (key, class) rows, compares what shares a key and forms components.
 
 * Row. A document row is known by a 64-bit hash of its id and text, which Spark computes alike wherever it is needed. So ids may be missing or repeat.
-* Class. Rows with equal sets, told by size and two 64-bit sums, are one class; its least row hash names it. Copies are not compared.
-* Pairs. Classes that share a key are compared with the least class of that key. Where a key then joins several components, pairs across
+* Class. Rows with equal sets, told by size and two 64-bit sums, are one class. Classes are numbered by their smallest ids. Copies are not compared.
+* Pairs. Classes that share a key are compared with the first class of that key: edited copies mostly come after what they were made from, so this
+  joins most groups. Where a key then joins several components, pairs across
   them are compared too, so every pair with a common key is either compared or already in one component.
 * Before texts are fetched, a pair must pass its odd sketches: ``BITS`` parities of shingle counts. Each shingle that only one of two sets has
   flips one bit, so sets whose sketches differ in more bits than linked sets may differ in shingles are not linked.
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableward.functions.skew import with_position
 from tableward.llm import sequences as sq
 from tableward.llm.components import components
 from tableward.llm.names import free
@@ -79,13 +81,15 @@ def facts(rows: DataFrame, words: int, more: Callable[[np.ndarray], list[int]] |
 
 
 def classes(known: DataFrame) -> DataFrame:
-    """(n, h1, h2, cls): each class of equal sets that are not empty."""
-    return known.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("cls"))
+    """(n, h1, h2, row, cls): each class of equal sets that are not empty, numbered by its smallest id, and one of its rows."""
+    found = known.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc").alias("low"), F.min("row").alias("row"))
+    numbered = with_position(found, [F.asc_nulls_last("low"), F.asc("row"), F.asc("h1")], "cls")
+    return keep(numbered.select("n", "h1", "h2", "row", "cls"), "similar-classes")
 
 
 def compared(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(a, b, both, either): sizes of intersection and union of each pair's sets. ``wanted`` has (row, text)."""
-    left, right = (wanted.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    """(a, b, both, either): sizes of intersection and union of each pair's sets. ``wanted`` has (cls, text)."""
+    left, right = (wanted.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "both", "either")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +111,14 @@ def compared(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return joined.mapInArrow(count, "a long, b long, both long, either long")
 
 
-def linked(rows: DataFrame, known: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
+def linked(rows: DataFrame, known: DataFrame, reps: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
     """(row, doc, n, cls, component) per row of ``known``: the smallest id that its links reach.
 
-    ``rows`` is ``rows_of``, ``known`` is ``facts``, ``keys`` has (key, cls) rows. A set without shingles has no class and links with nothing. Rows without an
+    ``rows`` is ``rows_of``, ``known`` is ``facts``, ``reps`` is ``classes``, ``keys`` has (key, cls) rows. A set without shingles has no class and links with nothing. Rows without an
     id link like others; a component without any id has none.
     """
-    reps = keep(classes(known), "similar-classes")
-    members = known.select("row", "doc", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select("row", "doc", "n", "cls")
-    heads = known.select("row", "n", *ODD).join(reps.select(F.col("cls").alias("row")), "row", "left_semi").dropDuplicates(["row"])
-    heads = keep(heads.withColumnRenamed("row", "cls"), "similar-heads")
+    members = known.select("row", "doc", "n", "h1", "h2").join(reps.drop("row"), ["n", "h1", "h2"], "left").select("row", "doc", "n", "cls")
+    heads = keep(known.select("row", "n", *ODD).join(reps.select("row", "cls"), "row").dropDuplicates(["row"]), "similar-heads")
 
     keys = keep(keys, "similar-keys")
     firsts = keys.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).filter("head < last").select("key", "head")
@@ -133,8 +135,8 @@ def linked(rows: DataFrame, known: DataFrame, keys: DataFrame, words: int, perce
     pairs = keep(near.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(possible()).select("a", "b"), "similar-pairs")
 
     def links_of(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        texts = keep(rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]), "similar-texts")
+        wanted = some.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(heads.select("cls", "row"), "cls")
+        texts = keep(rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("cls", "text"), "similar-texts")
         return keep(compared(some, texts, words).filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "similar-links")
 
     links = links_of(pairs)
@@ -142,7 +144,7 @@ def linked(rows: DataFrame, known: DataFrame, keys: DataFrame, words: int, perce
     # keys that join several components
     tagged = shared.join(part.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_ = tagged.filter("cls <> head").join(mixed, "key").select("key", "cls", "component").join(heads, "cls")
+    open_ = tagged.filter("cls <> head").join(mixed, "key").select("key", "cls", "component").join(heads.drop("row"), "cls")
     open_ = keep(open_, "similar-open")
     x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("cls", "component", "n", *ODD))) for end in "xy")
     apart = (F.col("cls_x") > F.col("cls_y")) & (F.col("component_x") != F.col("component_y"))
