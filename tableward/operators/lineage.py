@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableward.functions.common import in_window
 from tableward.functions.skew import with_rank_by_count
-from tableward.session import keep
+from tableward.session import keep, new_dir
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -31,31 +31,93 @@ def blast_radius(edges: DataFrame) -> DataFrame:
     return pairs.join(counts, "table_id").select("table_id", F.col("target").alias("downstream_table"), "downstream_count")
 
 
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.select("source", "target").filter("source <> target").distinct()
+
+
+class _Steps:
+    """Pairs found so far, one folder per step, read back as one table: the plan does not grow with the steps."""
+
+    def __init__(self, edges: DataFrame):
+        self.spark, self.path = edges.sparkSession, new_dir(edges.sparkSession, "closure")
+        self.schema = edges.select("source", "target", F.lit(1).alias("min_depth")).schema
+
+    def add(self, pairs: DataFrame, step: int) -> None:
+        pairs.select("source", "target", F.col("min_depth").cast("int").alias("min_depth")).write.parquet(f"{self.path}/step={step}")
+
+    def known(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+    def step(self, step: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/step={step}")
+
+
 def lineage_closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """All reachable (source, target) pairs with the least number of hops.
 
-    ``start`` (table_id) limits the sources. Only pairs found in the last step are extended, and pairs already known are
-    left out, so the walk ends with the longest shortest path, on cycles too. Each step is written to
-    the shared folder: the plan stays short and a lost executor costs one step.
+    Path doubling: when all pairs up to 2^k hops are known, a shortest path of up to twice as many hops is one of exactly 2^k
+    hops and a known one. So each round joins the pairs at that distance with all known pairs, and a chain of n edges takes
+    log2(n) rounds; cycles end them as well. Each round is a folder of its own in the shared folder: a lost executor costs one round.
+
+    ``start`` (table_id) limits the sources. Doubling would then compute pairs between all other tables, so the walk goes a hop at a time.
     """
-    links = keep(edges.select("source", "target").filter("source <> target").distinct(), "closure")
+    if start is not None:
+        return _walk(edges, start)
+    steps = _Steps(edges)
+    steps.add(_edges(edges).withColumn("min_depth", F.lit(1)), 0)
+    for k in count():
+        known = steps.known()
+        far = known.filter(F.col("min_depth") == 2**k).select("source", F.col("target").alias("_middle"))
+        if far.isEmpty():
+            return known
+        on = known.select(F.col("source").alias("_middle"), "target", (F.col("min_depth") + 2**k).alias("min_depth"))
+        found = far.join(on, "_middle").filter("source <> target").groupBy("source", "target").agg(F.min("min_depth").alias("min_depth"))
+        steps.add(found.join(known.select("source", "target"), ["source", "target"], "left_anti"), k + 1)
+
+
+def _walk(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Pairs from some sources, a hop at a time; only pairs of the last step are extended."""
+    links, steps = keep(_edges(edges), "links"), _Steps(edges)
     hop = links.select(F.col("source").alias("target"), F.col("target").alias("_next"))
-    first = links if start is None else keep(links.join(start.select(F.col("table_id").alias("source")), "source", "left_semi"), "closure")
-    known = first.withColumn("min_depth", F.lit(1))
-    frontier = first
+    steps.add(links.join(start.select(F.col("table_id").alias("source")), "source", "left_semi").withColumn("min_depth", F.lit(1)), 1)
     for depth in count(2):
-        frontier = keep(
-            frontier.join(hop, "target")
-            .select("source", F.col("_next").alias("target"))
-            .filter("source <> target")
-            .distinct()
-            .join(known, ["source", "target"], "left_anti"),
-            "closure",
-        )
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier.withColumn("min_depth", F.lit(depth)))
-    return known
+        found = steps.step(depth - 1).join(hop, "target").select("source", F.col("_next").alias("target")).filter("source <> target").distinct()
+        known = steps.known()
+        steps.add(found.join(known.select("source", "target"), ["source", "target"], "left_anti").withColumn("min_depth", F.lit(depth)), depth)
+        if steps.step(depth).isEmpty():
+            return steps.known()
+
+
+def _shortest(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("source <> target").groupBy("source", "target").agg(F.min("min_depth").alias("min_depth"))
+
+
+def closure_with(closure: DataFrame, added: DataFrame) -> DataFrame:
+    """The closure after edges are added, from the stored closure before; pairs may be new or nearer.
+
+    A path that uses added edges alternates between them and old paths. What one added edge reaches, with an old path or none on
+    either side, is composed with itself until nothing gets nearer: paths with m added edges take log2(m) rounds. Pairs without an added edge
+    are read once, at the end; tables that no added edge touches are in no join.
+    """
+    old = keep(closure.select("source", "target", F.col("min_depth").cast("int").alias("min_depth")), "closure")
+    new = _edges(added).withColumn("min_depth", F.lit(1))
+    before = old.select("source", F.col("target").alias("_from"), F.col("min_depth").alias("_d"))
+    after = old.select(F.col("source").alias("_to"), "target", F.col("min_depth").alias("_d"))
+    first = new.join(before.withColumnRenamed("source", "_first"), F.col("source") == F.col("_from"))
+    left = new.unionByName(first.select(F.col("_first").alias("source"), "target", (F.col("min_depth") + F.col("_d")).alias("min_depth")))
+    left = keep(_shortest(left.filter("source <> target")), "delta")
+    right = left.withColumnRenamed("target", "_to").join(after, "_to").select("source", "target", (F.col("min_depth") + F.col("_d")).alias("min_depth"))
+    now = keep(_shortest(left.unionByName(right)), "delta")
+    mark = None
+    while True:
+        # the sum of all hops falls, or the number of pairs grows, as long as anything changes
+        total = now.agg(F.count(F.lit(1)), F.sum("min_depth")).first()
+        if total == mark:
+            return _shortest(old.unionByName(now))
+        mark = total
+        on = now.select(F.col("source").alias("target"), F.col("target").alias("_end"), F.col("min_depth").alias("_d"))
+        longer = now.join(on, "target").select("source", F.col("_end").alias("target"), (F.col("min_depth") + F.col("_d")).alias("min_depth"))
+        now = keep(_shortest(now.unionByName(longer)), "delta")
 
 
 def pipeline_cost(runs: DataFrame, as_of, price_per_hour: float = 1.0, days: int = 90) -> DataFrame:

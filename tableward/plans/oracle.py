@@ -465,7 +465,7 @@ ORACLE: dict[str, str] = {
         SELECT s.pipeline_id, s.run_id, CAST(s.growth AS DOUBLE) AS growth,
                round(CAST(s.growth AS DOUBLE) / u.usual, 3) AS ratio
         FROM #stepped s JOIN (
-            SELECT pipeline_id, CAST(sum(growth) AS DOUBLE) / count(growth) AS usual FROM #stepped
+            SELECT pipeline_id, CAST(quantile_disc(growth, 0.5) AS DOUBLE) AS usual FROM #stepped
             WHERE prev_status = 'succeeded' AND growth > 0 GROUP BY pipeline_id) u ON u.pipeline_id = s.pipeline_id
         WHERE s.prev_status IN ('failed', 'cancelled')) x WHERE ratio > 1.5""",
     "write_path_mix": f"""SELECT table_name,
@@ -769,16 +769,21 @@ def _plain(body: str) -> str:
     return _REF.sub(lambda m: ("in_" if m[1] == "@" else "step_") + m[2] if m[1] == "@" or m[2] in STEPS else m[0], body)
 
 
+#: The closure, and the closure after edges were added to a part of them.
+WALKS = ("lineage_closure", "lineage_closure_delta")
+ORACLE["lineage_closure_delta"] = ORACLE["lineage_closure"]
+
+
 def statement(name: str) -> str:
     """One self-contained statement for a registered query."""
     body = ORACLE[name]
     parts: dict[str, str] = {}
-    if name == "lineage_closure":
+    if name in WALKS:
         body_refs = body + " @edges"
     else:
         body_refs = body
     _needed(body_refs, parts)
     ctes = [f"{k} AS ({v})" for k, v in parts.items()]
-    if name == "lineage_closure":
+    if name in WALKS:
         ctes.append(_WALK)
-    return f"WITH {'RECURSIVE ' if name == 'lineage_closure' else ''}{', '.join(ctes)} {_plain(body)}"
+    return f"WITH {'RECURSIVE ' if name in WALKS else ''}{', '.join(ctes)} {_plain(body)}"

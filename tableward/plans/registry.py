@@ -174,6 +174,13 @@ def lineage_closure(i):
     return L.lineage_closure(i.edges)
 
 
+@query
+def lineage_closure_delta(i):
+    """The closure of all edges but those of suppliers, kept up to date when these are added."""
+    late = F.col("source").startswith("supplier_")
+    return L.closure_with(L.lineage_closure(i.edges.filter(~late)), i.edges.filter(late))
+
+
 @query
 def rerun_cost(i):
     return L.rerun_cost(i.runs, i.reads, RUNS_AS_OF, PRICE)
