@@ -191,6 +191,60 @@ def run_findings(weekly: DataFrame, as_of, weeks: int = 3) -> DataFrame:
     )
 
 
+#: Our own estimates for detectors whose rows are findings as they are: (name of the detector, condition, rule, asset type, asset, severity, category,
+#: description, action, days, impact).
+DETECTORS: list[tuple] = [
+    ("legacy_catalog_usage", None, "legacy_catalog", "table", ("catalog_name",), "medium", "Data Quality",
+     "Catalog is a legacy one", "Move its tables to a governed catalog", 5, 400.0),
+    ("catalog_sprawl", "off_pattern", "catalog_name", "table", ("catalog_name",), "medium", "Data Quality",
+     "Catalog name follows no environment pattern", "Rename or merge the catalog", 2, 100.0),
+    ("lineage_coverage_gap", None, "lineage_gap", "table", ("table_id",), "medium", "Data Quality",
+     "Table is written to but hardly appears in lineage", "Write it through tracked pipelines", 2, 150.0),
+    ("offending_grants", None, "user_grant", "table", ("principal", "object", "privilege"), "high", "Ownership & Access",
+     "Grant is held by a named user", "Grant it to a group", 1, 200.0),
+    ("long_owned_by_creator", None, "creator_owned", "table", ("table_id",), "medium", "Ownership & Access",
+     "Table still belongs to whoever created it", "Hand it over to a group", 1, 100.0),
+    ("unused_models", None, "unused_model", "ml_model", ("model_id",), "medium", "ML/AI Governance",
+     "Model is served nowhere", "Serve the model or retire it", 1, 300.0),
+    ("full_rescan_signal", "slope > 0 AND row_slope > 0 AND row_r2 >= 0.5", "full_rescan", "pipeline", ("pipeline_id",), "high", "ETL Hygiene",
+     "Runs take longer with every row of the target", "Load only what is new", 5, 1200.0),
+    ("retry_after_failure", None, "retries", "pipeline", ("pipeline_id",), "medium", "ETL Hygiene",
+     "Pipeline was run again after failed or cancelled runs", "Make loads idempotent and watch retries", 2, 500.0),
+    ("duplicate_load_signal", None, "duplicate_load", "pipeline", ("pipeline_id",), "high", "ETL Hygiene",
+     "A retry grew the target by more than an ordinary run", "Check for rows loaded twice", 3, 1500.0),
+    ("external_db_ingest", None, "external_database", "pipeline", ("pipeline_id",), "medium", "ETL Hygiene",
+     "Pipeline reads straight from an external database", "Use a managed connector or change feed", 5, 600.0),
+    ("over_partitioned", None, "over_partitioned", "table", ("table_id",), "medium", "ETL Hygiene",
+     "Table has more partitions than its size warrants", "Cluster the table instead", 3, 250.0),
+    ("stale_stats", None, "stale_stats", "table", ("table_id",), "medium", "ETL Hygiene",
+     "Statistics are missing or out of date", "Analyze the table", 1, 100.0),
+    ("vacuum_policy", "flag = 'vacuum'", "vacuum", "table", ("table_id",), "medium", "ETL Hygiene",
+     "Table has not been vacuumed lately", "Vacuum the table on a schedule", 1, 80.0),
+    ("vacuum_policy", "flag = 'retention'", "retention", "table", ("table_id",), "high", "ETL Hygiene",
+     "Deleted files are kept for less than seven days", "Raise the retention to seven days or more", 1, 300.0),
+    ("purge_before_vacuum", None, "purge_order", "table", ("table_id",), "high", "Ownership & Access",
+     "Soft deletes were not purged before the last vacuum", "Purge, then vacuum", 1, 350.0),
+    ("maintenance_coverage", None, "unmaintained", "table", ("table_id",), "medium", "ETL Hygiene",
+     "Table is outside automatic upkeep", "Make it a managed table", 2, 120.0),
+    ("unprotected_tables", None, "unprotected", "table", ("object",), "critical", "Ownership & Access",
+     "Table with telling columns has no policy", "Mask its columns or filter its rows", 2, 2500.0),
+]
+
+
+def detector_findings(found: dict[str, DataFrame], as_of) -> list[DataFrame]:
+    """Findings of the detectors whose results are given, by name (``DETECTORS``); an asset is found once by each rule."""
+    if unknown := set(found) - {d[0] for d in DETECTORS}:
+        raise ValueError(f"no such detectors: {sorted(unknown)}")
+    out = []
+    for name, condition, rule, asset_type, asset, severity, category, text, action, days, impact in DETECTORS:
+        if name in found:
+            hits = found[name] if condition is None else found[name].filter(condition)
+            key = F.concat_ws("|", *(F.col(c).cast("string") for c in asset))
+            hits = hits.select(key.alias("_asset")).distinct()
+            out.append(finding(hits, rule, severity, category, asset_type, "_asset", text, action, days, day_literal(as_of), impact))
+    return out
+
+
 def job_findings(jobs: DataFrame, as_of, managed: str = "serverless", saving: float = 0.4, label: str | None = None) -> DataFrame:
     classic = jobs.filter(~F.col("cluster_type").eqNullSafe(managed))
     unowned = [(~has_value("owner_email"), "unowned", "high", "Ownership & Access", "Job has no owner", "Assign an owner", 2, 500)]

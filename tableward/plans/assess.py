@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from tableward.functions.common import breaks_naming, has_value, in_window, is_false, is_true
 from tableward.operators import backlog as B
 from tableward.operators import direct_writes as D
+from tableward.operators import governance as G
+from tableward.operators import layout as Y
 from tableward.operators import lineage as L
 from tableward.operators import ml, ownership, pipelines, scoring
+from tableward.operators import runs as R
+from tableward.operators.ledger import with_first_seen
 from tableward.session import keep
 
 # Names of the raw tables.
@@ -32,6 +36,8 @@ def assess(
     price_per_hour: float = 1.0,
     detectors: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
     wanted: set[str] | None = None,
+    detected: dict[str, DataFrame] | None = None,
+    ledger: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Gold tables by name, and ``gold_table_dependents`` with a row per edited table and gold table that depends on it.
 
@@ -40,7 +46,9 @@ def assess(
     ``reads`` (table_id, pipeline_id) or ready ``rerun_costs`` (table_id, rerun_cost_usd), ``ownership_history``
     (created_at, owned_at) and ``executive`` (table_id). Audit events without an ``entity_type`` count as direct writes; writes on
     tables of other layers than bronze don't count. Models name their features table by id or as catalog.schema.table.
-    Jobs may have ``annual_cost_usd``. ``detectors`` adds user findings: each takes the inputs and returns rows in the finding columns. Where ``wanted``
+    Jobs may have ``annual_cost_usd``. ``columns`` with ``column_tags`` and ``table_detail`` add findings on untagged columns and small files.
+    ``detected`` has results of further detectors by name (``backlog.DETECTORS``): governance, layout and run habits. With the ``ledger`` of earlier
+    runs (``operators.ledger``), findings are dated by the day they were first seen. ``detectors`` adds user findings: each takes the inputs and returns rows in the finding columns. Where ``wanted``
     names only tables that need neither edits nor findings, those are not computed.
     """
     missing = [name for name in RAW if name not in inputs]
@@ -97,6 +105,11 @@ def assess(
     ).join(names, "_ref", "left").drop("_ref")
     features = features.withColumnRenamed("table_id", "upstream_features_table")
     stale_models = ml.stale_feature_models(features, events, tables, as_of)
+    more = []
+    if "columns" in inputs and "column_tags" in inputs:
+        more.append(B.column_findings(G.sensitive_name_scan(inputs["columns"], inputs["column_tags"]), as_of))
+    if "table_detail" in inputs:
+        more.append(B.layout_findings(Y.small_files(inputs["table_detail"]), as_of))
     found = B.remediation_backlog(
         B.edit_findings(edits, D.detected_at(direct, "table_id"), "table_name"),
         B.pipeline_findings(health, as_of, label="pipeline_name"),
@@ -105,8 +118,13 @@ def assess(
         B.experiment_rule_findings(experiments, as_of, "experiment_name"),
         B.table_findings(tables, as_of, "table_name"),
         B.job_findings(jobs, as_of, label="job_name"),
+        B.run_findings(R.weekly_failures(runs, as_of), as_of),
+        *B.detector_findings(detected or {}, as_of),
+        *more,
         *[f(inputs) for f in (detectors or {}).values()],
     )
+    if ledger is not None:
+        found = with_first_seen(found, ledger)
     checks = scoring.all_checks(
         scoring.run_checks(runs, as_of),
         scoring.flag_checks(

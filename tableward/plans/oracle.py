@@ -55,8 +55,50 @@ def _rule(asset_type: str, asset: str, where: str, rule: str, sev: str, cat: str
         FROM {source} WHERE {where}"""
 
 
+def _habits(now: str) -> list[str]:
+    """Findings that a detector's rows make as they are; ``now`` dates them."""
+    found = [
+        ("table", "catalog_name", "true", "legacy_catalog", "medium", "Data Quality", "Catalog is a legacy one", "Move its tables to a governed catalog", 5, "400",
+         "(SELECT DISTINCT catalog_name FROM @tables WHERE catalog_name IN ('Brand#1', 'Brand#2', 'Brand#3')) x"),
+        ("table", "catalog_name", "true", "catalog_name", "medium", "Data Quality", "Catalog name follows no environment pattern", "Rename or merge the catalog", 2, "100",
+         "(SELECT DISTINCT catalog_name FROM @tables WHERE NOT regexp_matches(catalog_name, '^(dev|test|staging|prod)(_[a-z0-9]+)*$')) x"),
+        ("table", "table_id", "true", "lineage_gap", "medium", "Data Quality", "Table is written to but hardly appears in lineage", "Write it through tracked pipelines", 2,
+         "150", "#query_lineage_coverage_gap"),
+        ("table", "concat(principal, '|', object, '|', privilege)", "true", "user_grant", "high", "Ownership & Access", "Grant is held by a named user",
+         "Grant it to a group", 1, "200", "#query_offending_grants"),
+        ("table", "table_id", "true", "creator_owned", "medium", "Ownership & Access", "Table still belongs to whoever created it", "Hand it over to a group", 1, "100",
+         "#query_long_owned_by_creator"),
+        ("ml_model", "model_id", "serving_endpoint_name IS NULL", "unused_model", "medium", "ML/AI Governance", "Model is served nowhere", "Serve the model or retire it",
+         1, "300", "@models"),
+        ("pipeline", "pipeline_id", "slope > 0 AND row_slope > 0 AND row_r2 >= 0.5", "full_rescan", "high", "ETL Hygiene",
+         "Runs take longer with every row of the target", "Load only what is new", 5, "1200", "#query_full_rescan_signal"),
+        ("pipeline", "pipeline_id", "true", "retries", "medium", "ETL Hygiene", "Pipeline was run again after failed or cancelled runs",
+         "Make loads idempotent and watch retries", 2, "500", "(SELECT DISTINCT pipeline_id FROM #query_retry_after_failure) x"),
+        ("pipeline", "pipeline_id", "true", "duplicate_load", "high", "ETL Hygiene", "A retry grew the target by more than an ordinary run",
+         "Check for rows loaded twice", 3, "1500", "(SELECT DISTINCT pipeline_id FROM #query_duplicate_load_signal) x"),
+        ("pipeline", "pipeline_id", "true", "external_database", "medium", "ETL Hygiene", "Pipeline reads straight from an external database",
+         "Use a managed connector or change feed", 5, "600", "(SELECT DISTINCT pipeline_id FROM #query_external_db_ingest) x"),
+        ("table", "table_id", "true", "over_partitioned", "medium", "ETL Hygiene", "Table has more partitions than its size warrants", "Cluster the table instead", 3, "250",
+         "#query_over_partitioned"),
+        ("table", "table_id", "true", "stale_stats", "medium", "ETL Hygiene", "Statistics are missing or out of date", "Analyze the table", 1, "100", "#query_stale_stats"),
+        ("table", "table_id", "flag = 'vacuum'", "vacuum", "medium", "ETL Hygiene", "Table has not been vacuumed lately", "Vacuum the table on a schedule", 1, "80",
+         "#query_vacuum_policy"),
+        ("table", "table_id", "flag = 'retention'", "retention", "high", "ETL Hygiene", "Deleted files are kept for less than seven days",
+         "Raise the retention to seven days or more", 1, "300", "#query_vacuum_policy"),
+        ("table", "table_id", "true", "purge_order", "high", "Ownership & Access", "Soft deletes were not purged before the last vacuum", "Purge, then vacuum", 1, "350",
+         "#query_purge_before_vacuum"),
+        ("table", "table_id", "NOT is_managed", "unmaintained", "medium", "ETL Hygiene", "Table is outside automatic upkeep", "Make it a managed table", 2, "120",
+         "@table_detail"),
+        ("table", "object", "true", "unprotected", "critical", "Ownership & Access", "Table with telling columns has no policy", "Mask its columns or filter its rows", 2,
+         "2500", "#query_unprotected_tables"),
+    ]
+    return [_rule(kind, asset, where, rule, f"'{sev}'", cat, f"'{text}'", action, days, impact, source, "NULL", now)
+            for kind, asset, where, rule, sev, cat, text, action, days, impact, source in found]
+
+
 _BACKLOG = " UNION ALL ".join(
     [
+        *_habits("DATE '2001-11-05'"),
         _rule("table", "e.table_id", "true", "direct_writes", "severity", "ETL Hygiene",
               "concat(CAST(edit_count_90d AS VARCHAR), ' direct writes in the window')",
               "Take away direct write rights and route changes through a pipeline", 3, "estimated_rerun_cost_usd",
@@ -249,6 +291,13 @@ def _named(sql: str, name: str) -> str:
 
 _GOLD_BACKLOG = " UNION ALL ".join(
     [
+        *_habits(_NOW),
+        _rule("pipeline", "pipeline_id", "weeks_with_failure >= 3", "weekly", "'high'", "ETL Hygiene",
+              "'Pipeline fails week after week'", "Find the recurring cause", 3, "1500", "#weekly", "NULL", _NOW),
+        _rule("table", "concat(object, '.', column_name)", "true", "untagged", "'high'", "Ownership & Access",
+              "'Column with a telling name has no class tag'", "Tag the column and protect it", 1, "750", "#untagged", "NULL", _NOW),
+        _rule("table", "table_id", "CAST(size_bytes AS DOUBLE) / num_files / 1048576.0e0 < 100", "small_files", "'medium'",
+              "ETL Hygiene", "'Files are small on average'", "Compact the table", 1, "150", "@table_detail", "NULL", _NOW),
         _named(_rule("table", "e.table_id", "true", "direct_writes", "severity", "ETL Hygiene",
               "concat(CAST(edit_count_90d AS VARCHAR), ' direct writes in the window')",
               "Take away direct write rights and route changes through a pipeline", 3, "estimated_rerun_cost_usd",
@@ -769,6 +818,18 @@ def _plain(body: str) -> str:
     return _REF.sub(lambda m: ("in_" if m[1] == "@" else "step_") + m[2] if m[1] == "@" or m[2] in STEPS else m[0], body)
 
 
+STEPS |= {f"query_{name}": body for name, body in ORACLE.items()}
+
+STEPS["ledger_days"] = "SELECT * FROM (VALUES (1, DATE '2001-05-01'), (2, DATE '2001-06-15'), (3, DATE '2001-08-01')) v(k, day)"
+STEPS["ledger_hits"] = f"""SELECT DISTINCT table_id, k, day FROM @part_writes, #ledger_days
+    WHERE {DIRECT} AND event_time >= day - 20 AND event_time < day + 1"""
+STEPS["ledger_spans"] = """SELECT table_id, min(day) AS first_seen, max(day) AS last_seen, max(k) AS last, min(k) AS first, count(*) AS n
+    FROM #ledger_hits GROUP BY table_id"""
+ORACLE["findings_ledger"] = """
+    SELECT concat('FND-', md5(concat('ETL Hygiene|table|direct_writes|', table_id))) AS finding_id, table_id AS asset_name, first_seen, last_seen,
+           (SELECT day FROM #ledger_days WHERE k = f.last + 1) AS resolved_at, CAST(f.last - f.first + 1 - n AS INTEGER) AS reopened,
+           CASE WHEN last < 3 THEN 'resolved' WHEN last - first + 1 > n THEN 'reopened' ELSE 'open' END AS status FROM #ledger_spans f"""
+
 #: The closure, and the closure after edges were added to a part of them.
 WALKS = ("lineage_closure", "lineage_closure_delta")
 ORACLE["lineage_closure_delta"] = ORACLE["lineage_closure"]

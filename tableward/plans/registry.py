@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableward.functions.common import is_false, is_true
+from tableward.functions.common import day_literal, is_false, is_true
 from tableward.model import schema
 from tableward.operators import backlog as B
 from tableward.operators import catalog as C
@@ -16,6 +16,7 @@ from tableward.operators import changes as H
 from tableward.operators import direct_writes as D
 from tableward.operators import governance as G
 from tableward.operators import layout as Y
+from tableward.operators import ledger as N
 from tableward.operators import lineage as L
 from tableward.operators import ml as M
 from tableward.operators import ownership as O
@@ -33,6 +34,7 @@ from tableward.streaming import ingest as X
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 EDIT_LIMIT = 15
+LEDGER_RUNS = ("2001-05-01", "2001-06-15", "2001-08-01")
 PRICE = 0.5
 JOB_SAVING = 0.4
 MANAGED = "HOUSEHOLD"
@@ -422,8 +424,31 @@ def lineage_coverage_gap(i):
 # backlog and scores
 
 
+def _detected(i):
+    """Results of the detectors whose rows are findings as they are."""
+    return {
+        "legacy_catalog_usage": C.legacy_usage(i.tables, i.part_writes, ASSETS_AS_OF, LEGACY),
+        "catalog_sprawl": C.sprawl(i.tables),
+        "lineage_coverage_gap": C.lineage_gap(i.tables, i.edges, i.part_writes, ASSETS_AS_OF, 25),
+        "offending_grants": O.offending_grants(i.grants),
+        "long_owned_by_creator": O.long_owned_by_creator(i.tables, ASSETS_AS_OF),
+        "unused_models": M.unused(i.models),
+        "full_rescan_signal": R.full_rescan_signal(i.runs),
+        "retry_after_failure": R.retry_after_failure(i.runs),
+        "duplicate_load_signal": R.duplicate_load_signal(i.runs.withColumn("target_rows", F.col("duration_sec"))),
+        "external_db_ingest": R.external_db_ingest(i.ingest_lineage, i.pipelines),
+        "over_partitioned": Y.over_partitioned(i.table_detail),
+        "stale_stats": Y.stale_stats(i.table_history, i.table_detail),
+        "vacuum_policy": Y.vacuum_policy(i.table_history, i.table_properties, ASSETS_AS_OF),
+        "purge_before_vacuum": Y.purge_before_vacuum(i.table_history),
+        "maintenance_coverage": Y.maintenance_coverage(i.table_detail),
+        "unprotected_tables": G.unprotected_tables(i.columns, i.policies),
+    }
+
+
 def _backlog(i):
     return B.remediation_backlog(
+        *B.detector_findings(_detected(i), ASSETS_AS_OF),
         B.edit_findings(_edits(i), D.detected_at(i.part_writes, "table_id")),
         B.pipeline_findings(P.health(i.pipelines, i.runs, RUNS_AS_OF), ASSETS_AS_OF),
         B.model_findings(i.models, _stale_models(i), ASSETS_AS_OF),
@@ -475,6 +500,17 @@ def severity_counts(i):
     return B.severity_counts(_backlog(i))
 
 
+@query
+def findings_ledger(i):
+    """Tables edited by hand within twenty days, over three runs: findings come, go and come back."""
+    path = new_dir(i.spark, "ledger")
+    for day in LEDGER_RUNS:
+        edited = D.edit_counts(i.part_writes, day, 20, key="table_id")
+        hits = B.finding(edited, "direct_writes", "high", "ETL Hygiene", "table", "table_id", "Edited by hand", "Route changes through a pipeline", 3, day_literal(day))
+        ledger = N.record_run(hits, path, day)
+    return ledger.select("finding_id", "asset_name", "first_seen", "last_seen", "resolved_at", "reopened", "status")
+
+
 @query
 def export_backlog(i):
     return files.export_csv(_backlog(i), new_dir(i.spark, "export"))
@@ -557,8 +593,12 @@ def _gold(i, name):
         "reads": i.reads,
         "executive": i.exec_tables,
         "ownership_history": i.production_history,
+        "columns": i.columns,
+        "column_tags": i.column_tags,
+        "table_detail": i.table_detail,
     }
-    return assess(raw, RUNS_AS_OF, PRICE, wanted={name})[name]
+    needed = name in ("gold_remediation_backlog", "gold_health_scores")
+    return assess(raw, RUNS_AS_OF, PRICE, wanted={name}, detected=_detected(i) if needed else None)[name]
 
 
 @query
@@ -859,17 +899,19 @@ def maintenance_coverage(i):
 
 @query
 def compact(i):
-    """The rows as they are read back from the compacted files."""
-    path = new_dir(i.spark, "compact")
-    files.compact(i.given("events"), path)
-    return i.spark.read.schema(i.events.schema).parquet(path)
+    """The rows as they are read back from a table of small and large files after its small ones were packed."""
+    scattered, path = new_dir(i.spark, "scattered"), new_dir(i.spark, "compact")
+    i.given("events").repartitionByRange(16, "event_id").write.parquet(scattered)
+    schema = i.given("events").schema
+    files.compact(i.spark.read.schema(schema).parquet(scattered), path, target_mb=0.25)
+    return files.read_version(i.spark, path, schema)
 
 
 @query
 def cluster_layout(i):
     """The rows as they are read back from the clustered files."""
     path = new_dir(i.spark, "cluster")
-    files.cluster_layout(i.given("events"), path, ["user_id", "ts"])
+    files.cluster_layout(i.given("events"), path, ["user_id", "ts", "value"])
     return i.spark.read.schema(i.events.schema).parquet(path)
 
 

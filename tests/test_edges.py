@@ -322,12 +322,6 @@ def test_export_keeps_quotes_and_nulls(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
-def test_compact_reduces_files(spark, tmp_path):
-    spark.range(1000).repartition(9).write.parquet(str(tmp_path / "in"))
-    got = files.compact(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out")).first()
-    assert (got.files_before, got.files_after, got.rows) == (9, 1, 1000)
-
-
 def test_work_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     from tableward import session
 
