@@ -5,11 +5,10 @@ import math
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 
-from tableward.llm import hard_negatives, jaccard_join, merkle, minhash, oracle, similar
+from tableward.llm import hard_negatives, jaccard_join, merkle, minhash, similar
 from tests.llm import brute
 from tests.llm.conftest import TEXT_SCHEMA
 
@@ -52,13 +51,6 @@ def test_hard_negatives_equal_brute_force(spark, block, every):
     assert got == negatives(rows, every) and len(got) > 20
 
 
-def test_hard_negatives_equal_their_sql(spark, folder):
-    got = hard_negatives.mined(spark.read.parquet(f"{folder}/embeddings.parquet")).collect()
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
-    assert sorted(map(tuple, got)) == sorted(con.execute(oracle.ORACLE["op11_hard_negatives"]).fetchall())
-
-
 def test_large_components_are_exact(spark):
     """Scores beyond 2^53, with ties that doubles would not tell apart."""
     rows = [(100, [2.0**20, 1.0], 1), (1, [2.0**20, 1.0], 1), (2, [2.0**20, 1 - 2**-8], 2), (3, [2.0**20, 1 - 2**-7], 2), (4, [2.0**30, 0.0], 2), (5, [-1.0, 0.0], 2)]
