@@ -12,6 +12,8 @@ the order of ids; missing ids come first; a single document is its own next one.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,29 +58,36 @@ def merged(hashes: str | Column, scale: int = SCALE) -> Column:
 def with_next(docs: DataFrame, values: list[str], derived: dict[str, Column], id_col: str = "doc") -> DataFrame:
     """Each row with columns ``derived`` of its values, and ``next_<name>`` of every value and derived column of the row after it in ascending order of ``id_col``; after the last comes the first.
 
-    Rows are dealt to ranges of ids, as many as shuffle partitions, cut at approximate percentiles; a guard row at the end of each range holds what
-    the next range begins with. One window per range then sees every neighbour. Only the cut points (numbers) reach the driver.
+    Rows are dealt to ranges of ids, about as many as shuffle partitions, cut at approximate percentiles; an id at which several cuts fall, or a
+    missing one, is cut further by the hash of its values, so it has as many ranges as its share of the rows asks for. A guard row at the end of each
+    range holds what the next range begins with. One window per range then sees every neighbour. Only the cut points (numbers) reach the driver.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = [k / parts for k in range(1, parts)] or [0.5]
-    cuts = docs.agg(F.percentile_approx(id_col, at, 100 * parts).alias("c")).first()["c"] or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    cut = docs.select(id_col, *values).withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(id_col))), F.lit(0)))
-
-    # one row per range: the id with which the next one begins; a missing id is the smallest
+    found = docs.agg(F.percentile_approx(id_col, at, 100 * parts).alias("c"), F.count_if(F.col(id_col).isNull()).alias("missing"), F.count(F.lit(1)).alias("n")).first()
+    times = Counter(found["c"] or [])
+    cuts = F.array(*(F.lit(c) for c in sorted(times))) if times else F.array().cast("array<bigint>")
+    base = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(id_col))), F.lit(0))
+    # hashes, as 31-bit numbers in their own order, cut a common id into as many ranges as cuts fall on it; higher ids follow these
+    place = F.shiftrightunsigned(F.col("_order").bitwiseXOR(F.lit(-(2**63))), 33)
+    of = lambda n: F.shiftright(place * n, 31)
+    many = [F.lit(x) for c, n in times.items() if n > 1 for x in (c, n)]
+    share = F.when(F.col(id_col).isNull(), F.lit(-(-parts * found["missing"] // max(found["n"], 1))))
+    share = share.otherwise(F.try_element_at(F.create_map(*many), F.col(id_col))) if many else share
+    cut = docs.select(id_col, *values, F.xxhash64(*values).alias("_order")).withColumn("_range", base * F.lit(parts + 2) + F.coalesce(of(share), F.lit(parts + 1)))
+
+    # one row per range: the id and hash with which the next one begins; a missing id is the smallest
     whole = Window.orderBy("_range")
-    missing = F.max(F.col(id_col).isNull())
-    heads = cut.groupBy("_range").agg(F.when(~missing, F.min(id_col)).alias("_head"))
+    heads = cut.groupBy("_range").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), "_order")).alias("_head"))
     first = F.first("_head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("_range", F.when(F.lead("_range").over(whole).isNull(), first).otherwise(F.lead("_head").over(whole)).alias("_head"))
-    least = docs.select(id_col, *values, F.xxhash64(*values).alias("_order"))
-    # one row of two numbers per range, of which there are as many as shuffle partitions
-    guards = least.join(F.broadcast(heads.withColumnRenamed("_range", "_of")), F.col(id_col).eqNullSafe(F.col("_head")))
-    tie = Window.partitionBy("_of").orderBy("_order")
-    guards = guards.withColumn("_n", F.row_number().over(tie)).filter("_n = 1").select(id_col, *values, F.col("_of").alias("_range"), F.lit(1).alias("_guard"))
+    heads = heads.select(F.col("_range").alias("_of"), F.when(F.lead("_range").over(whole).isNull(), first).otherwise(F.lead("_head").over(whole)).alias("_head"))
+    # one row of numbers per range, of which there are at most about twice as many as shuffle partitions
+    begins = F.col(id_col).eqNullSafe(F.col("_head.id")) & (F.col("_order") == F.col("_head._order"))
+    guards = cut.drop("_range").join(F.broadcast(heads), begins).groupBy("_of").agg(F.first(F.struct(id_col, *values, "_order")).alias("_row"))
+    guards = guards.select("_row.*", F.col("_of").alias("_range"), F.lit(1).alias("_guard"))
     rows = cut.withColumn("_guard", F.lit(0)).unionByName(guards).withColumns(derived)
-    order = Window.partitionBy("_range").orderBy("_guard", F.col(id_col).asc_nulls_first(), F.xxhash64(*values))
+    order = Window.partitionBy("_range").orderBy("_guard", F.col(id_col).asc_nulls_first(), "_order")
     every = [*values, *derived]
     return rows.select(id_col, *every, "_guard", *(F.lead(v).over(order).alias(f"next_{v}") for v in every)).filter("_guard = 0").drop("_guard")
 

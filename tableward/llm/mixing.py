@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableward.llm.names import free
 from tableward.session import keep
 
 #: The weights of the sources in turn and the most a text may be repeated.
@@ -167,12 +168,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Both sides meet by this key, so that the texts, dealt by it once, stay where they are for the join
     key = F.unhex(F.sha2(F.concat(F.sha2(F.coalesce(text_col, F.lit("")), 256), F.to_json(F.struct(*(c for c in docs.columns if c != text_col)))), 256))
     _, pieces = mix(docs, id_col, text_col, source_col, shards, key=key)
-    own = docs.withColumn("_key", key).dropDuplicates(["_key"]).withColumn("_size", words(text_col))
-    joined = own.join(pieces.select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("length").alias("_length"), F.col("shard").alias("_shard"), F.col("rank").alias("_rank")), "_key")
+    _key, _size, _start, _length, _shard, _rank, _group = free(docs, "key", "size", "start", "length", "shard", "rank", "group")
+    own = docs.withColumn(_key, key).dropDuplicates([_key]).withColumn(_size, words(text_col))
+    joined = own.join(pieces.select(F.col("key").alias(_key), F.col("start").alias(_start), F.col("length").alias(_length), F.col("shard").alias(_shard), F.col("rank").alias(_rank)), _key)
     listed = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    part = F.array_join(F.slice(listed, (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " ")
-    cut = joined.withColumn(text_col, F.when(F.col("_length") == F.col("_size"), F.col(text_col)).otherwise(part))
+    part = F.array_join(F.slice(listed, (F.col(_start) + 1).cast("int"), F.col(_length).cast("int")), " ")
+    cut = joined.withColumn(text_col, F.when(F.col(_length) == F.col(_size), F.col(text_col)).otherwise(part))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    group = F.col("_shard") * PARTS + F.pmod(F.shiftright("_rank", 32), F.lit(PARTS))
-    return cut.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group", "_rank").select(*docs.columns)
+    group = F.col(_shard) * PARTS + F.pmod(F.shiftright(_rank, 32), F.lit(PARTS))
+    return cut.withColumn(_group, group).repartition(_group).sortWithinPartitions(_group, _rank).select(*docs.columns)

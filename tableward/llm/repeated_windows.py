@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tableward.llm import packed
 from tableward.llm import sequences as sq
+from tableward.llm.names import free
 from tableward.session import keep
 
 _U = np.uint64
@@ -35,12 +36,13 @@ def with_rows(docs: DataFrame, doc: str = "doc", text: str = "text", row: str =
     if row in docs.columns:
         return docs
     hashed = F.shiftrightunsigned(F.xxhash64(text), 1)
-    several = docs.select(F.col(doc).alias("__several"), hashed.alias("h")).groupBy("__several").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    several = keep(several.filter("a <> b").select("__several"), "ids-of-several-texts")
+    name = free(docs, "several")[0]
+    several = docs.select(F.col(doc).alias(name), hashed.alias("hash")).groupBy(name).agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    several = keep(several.filter("least <> most").select(name), "ids-of-several-texts")
     if several.isEmpty():
         return docs.withColumn(row, F.lit(0).cast("long"))
-    joined = docs.join(several, F.col(doc) == F.col("__several"), "left")
-    return joined.withColumn(row, F.when(F.col("__several").isNotNull(), hashed).otherwise(F.lit(0).cast("long"))).drop("__several")
+    joined = docs.join(several, F.col(doc) == F.col(name), "left")
+    return joined.withColumn(row, F.when(F.col(name).isNotNull(), hashed).otherwise(F.lit(0).cast("long"))).drop(name)
 
 
 def new_keys(*columns: np.ndarray) -> np.ndarray:
@@ -137,5 +139,5 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
 
 
 def marks_of(found: DataFrame) -> DataFrame:
-    """One row per document: the runs that repeat, as arrays bounded by the document's own length."""
-    return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    """One row per document: the distinct runs that repeat, as arrays bounded by the document's own length, however often the row itself is repeated."""
+    return found.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "count")).alias("marks"))

@@ -76,7 +76,7 @@ def edges_of(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def single_windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """The runs in ``asked`` (doc, row, anchor, start, count) as edges of one window each."""
-    lists = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("asked"))
+    lists = asked.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "count", "anchor")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tableward.llm import packed
 from tableward.llm import repeated_windows as rw
 from tableward.llm import sequences as sq
+from tableward.llm.names import free
 from tableward.llm.ship import ship
 from tableward.session import keep
 
@@ -97,6 +98,8 @@ def _compared(table: pa.Table, length: int) -> pa.Table:
     d, w, s = doc[row[hit]], own[row[hit]], start[row[hit]] + offset[hit]
     order = np.lexsort((s, w, d))
     d, w, s = d[order], w[order], s[order]
+    once = rw.new_keys(d, w, s)  # rows that are repeated have the same windows
+    d, w, s = d[once], w[once], s[once]
     new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
     return pa.table([pa.array(x, pa.int64()) for x in (d[new], w[new], s[new], np.diff(np.append(new, len(d))))], schema=_RUN)
 
@@ -113,7 +116,7 @@ def repeated_runs(docs: DataFrame, length: int = 50, q: int = 16, common: int =
     asked = (
         found.filter("state > 0")
         .groupBy("doc", "row")
-        .agg(F.collect_list(F.struct("start", "count", "state", "anchor")).alias("asked"))
+        .agg(F.collect_set(F.struct("start", "count", "state", "anchor")).alias("asked"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +190,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A span that begins or ends inside a character is narrowed to whole characters, so texts stay valid.
     """
-    named = rw.with_rows(docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))), "__doc", text_col, "__row")
-    keyed = named.select(F.col("__doc").alias("doc"), F.col(text_col).alias("text"), F.col("__row").alias("row"))
-    marks = rw.marks_of(repeated_runs(keyed, length)).withColumnsRenamed({"doc": "__of", "row": "__of_row", "marks": "__marks"})
+    doc, row, of_doc, of_row, marks_name = free(docs, "doc", "row", "of_doc", "of_row", "marks")
+    named = rw.with_rows(docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))), doc, text_col, row)
+    keyed = named.select(F.col(doc).alias("doc"), F.col(text_col).alias("text"), F.col(row).alias("row"))
+    marks = rw.marks_of(repeated_runs(keyed, length)).withColumnsRenamed({"doc": of_doc, "row": of_row, "marks": marks_name})
     schema = docs.schema
     place = docs.columns.index(text_col)
-    joined = named.join(marks, (F.col("__doc") == F.col("__of")) & (F.col("__row") == F.col("__of_row")), "left").drop("__doc", "__row", "__of", "__of_row")
+    joined = named.join(marks, (F.col(doc) == F.col(of_doc)) & (F.col(row) == F.col(of_row)), "left").drop(doc, row, of_doc, of_row)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

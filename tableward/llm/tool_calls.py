@@ -1,7 +1,8 @@
 """Chat formatting with tool-call linking. DataFrame and SQL functions only.
 
 Calls and results are linked by a hash join on (conversation, call id), ordered so that every message follows what it depends on, validated
-against the schemas of their tools, and written as canonical JSON: keys ascending, no spaces, numbers in shortest form.
+against the schemas of their tools, and written as canonical JSON: keys ascending, no spaces; numbers without an exponent exactly and without
+final zeros (to 38 digits), all others as doubles (1e2 is 100.0).
 
 * Linking: a result belongs to the call with its id. A call is ``linked`` or ``pending``, a result ``linked`` or ``orphan``; of several calls
   (or results) with one id the first turn counts, the others are ``duplicate``.
@@ -23,8 +24,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tableward.session import keep
+from tableward.session import keep, new_dir
 
 #: Turns per range in which messages are numbered.
 TURNS_PER_RANGE = 1024
@@ -33,22 +35,26 @@ TYPES = {"integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "B
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv, call_id, depth) of the calls whose needs can be met. ``calls`` has (conv, call_id, needs), one row per id."""
+    """(conv, call_id, depth) of the calls whose needs can be met. ``calls`` has (conv, call_id, needs), one row per id, and no missing conv.
+
+    Each level is written as a part of one folder, so the plan is as short after a thousand levels as after one.
+    """
+    spark, path = calls.sparkSession, new_dir(calls.sparkSession, "calls-levels")
     needs = calls.select("conv", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
     needs = keep(needs.filter("need IS NOT NULL"), "calls-needs")
     waiting = needs.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("left"))
-    ready = calls.join(waiting, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("depth"))
-    ready, waiting, level = keep(ready, "calls-ready"), keep(waiting, "calls-waiting"), 0
-    done = ready
-    while not ready.isEmpty():
+    ready = calls.join(waiting, ["conv", "call_id"], "left_anti").select("conv", "call_id")
+    kind, waiting, level = ready.schema, keep(waiting, "calls-waiting"), 0
+    while True:
+        ready.write.parquet(f"{path}/depth={level}")
+        ready = spark.read.schema(kind).parquet(f"{path}/depth={level}")
+        if ready.isEmpty():
+            return spark.read.schema(StructType([*kind, StructField("depth", IntegerType())])).parquet(path)
         level += 1
         met = needs.join(ready.select("conv", F.col("call_id").alias("need")), ["conv", "need"])
         met = met.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("met"))
         now = keep(waiting.join(met, ["conv", "call_id"], "left").select("conv", "call_id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")), "calls-waiting")
-        ready = now.filter("left = 0").select("conv", "call_id", F.lit(level).alias("depth"))
-        waiting = now.filter("left > 0")
-        done = done.unionByName(ready)
-    return done
+        ready, waiting = now.filter("left = 0").select("conv", "call_id"), now.filter("left > 0")
 
 
 def errors_of(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -85,7 +91,9 @@ def linked(calls: DataFrame, results: DataFrame, tools: DataFrame, messages: Dat
     ``calls`` has (conv, turn, call_id, tool, arguments, needs), ``results`` (conv, turn, call_id, content), ``messages``, which are neither,
     (conv, turn, role, content).
     """
-    keyed = lambda df: keep(df.withColumn("key", F.monotonically_increasing_id()), "calls-input")
+    # a struct is never null, so rows without a conversation meet each other in every join
+    grouped = lambda df: df.withColumn("conv", F.struct(F.col("conv").alias("id")))
+    keyed = lambda df: keep(grouped(df).withColumn("key", F.monotonically_increasing_id()), "calls-input")
     calls, results = keyed(errors_of(calls, tools)), keyed(results)
     first_calls = _first_of_id(calls, ["needs"])
     first_results = _first_of_id(results, [])
@@ -118,11 +126,11 @@ def linked(calls: DataFrame, results: DataFrame, tools: DataFrame, messages: Dat
     result_json = F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("result").alias("type")))
     rows = rows.withColumn("json", F.when(F.col("kind") == "call", call_json).otherwise(result_json)).drop("body", "content")
     if messages is not None:
-        rows = rows.unionByName(messages.select(
+        rows = rows.unionByName(grouped(messages).select(
             "conv", "turn", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("kind"), F.lit("plain").alias("status"), F.lit(0).alias("depth"),
             F.array().cast("array<string>").alias("errors"), F.to_json(F.struct("content", "role", F.lit("message").alias("type"))).alias("json"),
         ))
-    return placed(rows)
+    return placed(rows).withColumn("conv", F.col("conv.id"))
 
 
 def placed(rows: DataFrame) -> DataFrame:

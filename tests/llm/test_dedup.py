@@ -5,7 +5,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from tableward.llm import components, jaccard_join, packed, sequences, substring_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from tableward.llm import components, jaccard_join, minhash, mixing, packed, repeated_windows, sequences, substring_dedup, suffix_dedup
 from tests.llm import brute
 from tests.llm.conftest import TEXT_SCHEMA, rows_of
 
@@ -148,6 +150,41 @@ def test_clashing_columns(spark):
     assert substring_dedup.remove_repeats(odd, length=10).count() == 3
 
 
+def test_lists_do_not_grow_with_repeated_rows(spark):
+    """Of 600 equal rows each gets the runs of one; the next text shares half of theirs and so has its bytes and words compared."""
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    a, b = prose(80), prose(80)
+    rows = [(1, f"{a} {b}")] + [(5, f"{a} {prose(70)} {b}")] * 600 + [(8, f"{prose(70)} {a}")]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    once = docs.distinct()
+    many, few = (repeated_windows.marks_of(suffix_dedup.repeated_runs(x)).filter("doc = 5").first().marks for x in (docs, once))
+    assert len(many) <= 2 * len(few) + 2
+    longest = lambda x: max(len(r.marks) for r in substring_dedup.spans(x).collect())
+    assert longest(docs) == longest(once)
+    named = docs.withColumnRenamed("doc", "doc_id")
+    got = {tuple(r) for r in suffix_dedup.digest(named).collect()}
+    assert got == {(i, *v) for i, v in brute.suffix(sorted({r for r in rows})).items()}
+    words = {tuple(r) for r in substring_dedup.remove_repeats(named, with_text=False).collect()}
+    assert words == {(i, *v) for i, v in brute.substring(sorted({r for r in rows})).items()}
+
+
+HELPERS = "doc row of_doc of_row marks several hash least most key row_key cls component root chosen first size start length shard rank group place block target epoch begin end at".split()
+
+
+def test_columns_named_like_helpers(spark):
+    """Whatever a caller's columns are called, they come back as they were."""
+    names = [prefix + x for prefix in ("", "_", "__") for x in HELPERS]
+    extra = [f"'{x}' AS `{x}`" for x in names]
+    docs = spark.range(4).selectExpr("id AS doc_id", "concat(repeat('same text ', 20), if(id = 3, 'x', '')) AS text", "'a' AS source", *extra)
+    docs = docs.unionByName(docs.filter("doc_id = 1").withColumn("text", F.lit("another text of the same id")))
+    for f in (suffix_dedup.remove_repeats, jaccard_join.keep_one, mixing.mixed_documents, minhash.keep_one):
+        out = f(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[x] == x for r in rows for x in names)
+
+
 def test_packing_of_numbers():
     rng = np.random.default_rng(0)
     for values in (np.zeros(0, np.int64), rng.integers(-5, 5, 99), np.sort(rng.integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2))):

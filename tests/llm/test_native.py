@@ -158,6 +158,28 @@ def test_linking_and_order(spark):
     assert [(r.status, r.place) for r in rows if r.conv is None] == [("pending", 0)]
 
 
+def test_rows_without_a_conversation_form_one(spark):
+    calls = [(None, 1, "a", "search", '{"query":"x"}', []), (None, 3, "b", "search", '{"query":"y"}', ["a"]), (None, 5, "a", "search", "{}", []), (1, 1, "a", "search", "{}", ["b"])]
+    rows = _linked(spark, calls, [(None, 2, "a", "ra"), (None, 4, "b", "rb")])
+    own = [(r.kind, r.call_id, r.status, r.depth) for r in rows if r.conv is None]
+    assert own == [("call", "a", "linked", 0), ("result", "a", "linked", 0), ("call", "a", "duplicate", 0), ("call", "b", "linked", 1), ("result", "b", "linked", 1)]
+    assert [(r.conv, r.status) for r in rows if r.conv is not None] == [(1, "unresolved")]
+
+
+def test_numbers_in_one_form(spark):
+    arguments = ["100", "100.0", "100.50", "1e2", "-0.0", "12345678901234567890123456789012345678"]
+    calls = [(1, k, f"c{k}", "t", f'{{"n":{a}}}', []) for k, a in enumerate(arguments)]
+    rows = {r.call_id: json.loads(r.json, parse_float=str, parse_int=str)["arguments"]["n"] for r in _linked(spark, calls, [])}
+    assert [rows[f"c{k}"] for k in range(6)] == ["100", "100", "100.5", "100.0", rows["c4"], arguments[5]] and float(rows["c4"]) == 0
+
+
+def test_long_chains_have_short_plans(spark):
+    calls = spark.range(30).selectExpr("named_struct('id', 1) AS conv", "concat('c', id) AS call_id", "IF(id > 0, array(concat('c', id - 1)), array()) AS needs")
+    out = tool_calls.depths(calls)
+    assert {r.call_id: r.depth for r in out.collect()} == {f"c{k}": k for k in range(30)}
+    assert len(_plan(out).splitlines()) < 6
+
+
 def test_validation_and_canonical_json(spark):
     arguments = ['{"limit":3,"query":"é\\u0001"}', '{"query":5,"limit":"3","more":null}', "{}", "[1]", "not json", None, '{"query":"a","deep":{"z":1.50,"b":[true,null]}}', '{"query":"a","query":"b"}']
     calls = [(1, k, f"c{k}", "search", a, []) for k, a in enumerate(arguments)] + [(1, 90, "u", "nothing", "{}", [])]

@@ -2,11 +2,13 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from tableward.llm import fingerprints, packing, quality, token_counts
@@ -160,6 +162,51 @@ def test_fingerprints(docs, corpus):
     assert got[1203][0].near_next == 1.0 and got[1300][0].near_next > 0.9
 
 
+def _sketch(text):
+    """Hashes kept of a text, from a hash library of its own: that of a list hashes each word with the hash before as its seed."""
+    w = (text or "").lower().translate({ord(c): " " for c in brute.SPACE}).split(" ")
+    w = [x for x in w if x]
+    found = set()
+    for k in range(max(1, len(w) - 4)) if w else ():
+        h = 42
+        for x in w[k : k + 5]:
+            h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+        found.add(h - 2**64 if h >= 2**63 else h)
+    return sorted(x for x in found if x < -(2**63) + 2**61 or x == min(found))
+
+
+def test_fingerprints_equal_brute_force(docs, corpus):
+    """Fingerprints and likenesses of every document, and of its edited text, against plain Python."""
+    def told(sketch):
+        return "".join(f"{x % 2**64:016x}" for x in sketch)
+
+    def like(a, b):
+        return len(set(a) & set(b)) / len({*a, *b}) if a or b else 1.0
+
+    order = sorted(corpus, key=lambda r: r[0])
+    want = Counter()
+    for (i, text, *_), after in zip(order, order[1:] + order[:1]):
+        text, other = text or "", after[1] or ""
+        half = len(text) // 2
+        a, b, c = _sketch(text), _sketch(text[: len(text) - half] + other[:half]), _sketch(other)
+        want[i, told(a), told(b), like(a, b), like(a, c)] += 1
+    got = fingerprints.digest(docs).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_common_ids_lie_in_several_ranges(spark):
+    """A missing id with half of the rows and one id with a quarter are cut by hash; every row still sees the next one."""
+    rows = [(None, f"n{k}") for k in range(400)] + [(50, f"m{k}") for k in range(200)] + [(k, f"x{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(6)
+    out = fingerprints.with_next(df, ["text"], {"h": F.xxhash64("text")}).withColumn("task", F.spark_partition_id())
+    got = out.collect()
+    assert len(got) == len(rows) and Counter(r.text for r in got) == Counter(t for _, t in rows) == Counter(r.next_text for r in got)
+    order = sorted(got, key=lambda r: (r.doc is not None, r.doc, r.h))
+    assert all(a.next_text == b.text and a.next_h == b.h for a, b in zip(order, order[1:] + order[:1]))
+    ranges = fingerprints.with_next(df, ["text"], {})._jdf.queryExecution().analyzed().toString()
+    assert "shiftrightunsigned" in ranges
+
+
 def test_sketches_estimate(spark):
     """Likeness and containment are near the true values, and merged sketches are those of the texts together."""
     rng = np.random.default_rng(2)
