@@ -425,6 +425,30 @@ def _masked(source: str, key: str, column: str) -> str:
     return out
 
 
+def _checked_hits(obj: str, column: str, rule: str) -> str:
+    """Texts with a value of a class that can exist; candidates as rows, one class at a time."""
+    text = f"(SELECT row_number() OVER () AS k, {column} AS t FROM @{obj})"
+    piece = "SELECT k, unnest(string_split_regex(t, '{}')) AS p FROM " + text
+    if rule == "card_number":
+        groups = f"SELECT k, [x FOR x IN string_split_regex(p, '[ -]+') IF x <> ''] AS g FROM ({piece.format('[^0-9 -]+')}) WHERE length(p) >= 16"
+        windows = f"SELECT k, g, unnest(range(1, len(g) + 1)) AS i FROM ({groups})"
+        cards = f"""SELECT k, CASE WHEN length(g[i]) = 16 THEN g[i] WHEN length(g[i]) = 4 AND length(g[i + 1]) = 4 AND length(g[i + 2]) = 4
+            AND length(g[i + 3]) = 4 THEN g[i] || g[i + 1] || g[i + 2] || g[i + 3] END AS c FROM ({windows})"""
+        digit = f"SELECT k, c, unnest(range(1, 17)) AS n FROM (SELECT DISTINCT k, c FROM ({cards}) WHERE c IS NOT NULL)"
+        found = f"""SELECT k FROM (SELECT k, c, CAST(substr(c, n, 1) AS INT) * (1 + n % 2) AS d FROM ({digit}))
+            GROUP BY k, c HAVING sum(CASE WHEN d > 9 THEN d - 9 ELSE d END) % 10 = 0"""
+    elif rule == "ip_address":
+        found = f"""SELECT k FROM (SELECT k, trim(p, '.') AS p FROM ({piece.format("[^0-9.]+")}))
+            WHERE regexp_full_match(p, '((25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])[.]){{3}}(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])')"""
+    elif rule == "us_ssn":
+        found = f"""SELECT k FROM (SELECT k, trim(p, '-') AS p FROM ({piece.format("[^0-9-]+")})) WHERE regexp_full_match(p, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')
+            AND substr(p, 1, 3) NOT IN ('000', '666') AND substr(p, 1, 3) < '900' AND substr(p, 5, 2) <> '00' AND substr(p, 8) <> '0000'"""
+    else:
+        found = f"SELECT k FROM {text} WHERE regexp_matches(t, '{_CLASSES[rule]}')"
+    hits = f"(SELECT count(DISTINCT k) FROM ({found}))"
+    return f"SELECT '{obj}' AS object, '{column}' AS column_name, '{rule}' AS rule, {hits} AS hits, {_frac(hits, f'count({column})', 6)} AS hit_rate FROM @{obj}"
+
+
 def _stats(column: str) -> str:
     return f"""SELECT '{column}' AS "column", count(*) AS n, count(*) - count({column}) AS nulls,
                       count(DISTINCT {column}) AS ndv, CAST(min({column}) AS VARCHAR) AS "min",
@@ -712,7 +736,7 @@ ORACLE: dict[str, str] = {
     "sensitive_name_scan": f"""SELECT object, column_name FROM @columns c
         WHERE regexp_matches(column_name, '{SENSITIVE_NAME}') AND NOT EXISTS (
             SELECT 1 FROM @column_tags t WHERE t.object = c.object AND t.column_name = c.column_name)""",
-    "content_classify": "SELECT * FROM #classified",
+    "content_classify": " UNION ALL ".join(_checked_hits(o, c, r) for o, c in (("documents", "text"), ("pages", "html"), ("conversations", "text")) for r in _CLASSES),
     "custom_classifiers": " UNION ALL ".join(
         f"""SELECT '{n}' AS rule, {_n(f"regexp_matches(text, '{p}')")} AS hits,
             {_frac(f"count(*) FILTER (WHERE regexp_matches(text, '{p}'))", "count(text)", 6)} AS hit_rate FROM @documents"""

@@ -795,7 +795,8 @@ def sensitive_name_scan(i):
 
 @query
 def content_classify(i):
-    return G.classify_columns(_texts(i))
+    """Only values that can exist count; tags and masks go by the shape alone (``auto_tag``), so a mistyped number is masked too."""
+    return G.classify_columns(_texts(i), checked=True)
 
 
 @query

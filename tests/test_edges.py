@@ -285,6 +285,21 @@ def test_guarded_rules_equal_plain_rules(spark, folder):
     assert {r.rule: r.hits for r in governance.classify(docs, "text").collect()} == plain
 
 
+@pytest.mark.parametrize(
+    "rule, good, bad",
+    [
+        ("card_number", ["pay 4111111111111111.", "2024 4111 1111 1111 1111", "x4111-1111-1111-1111 and 5", "4111 1111 1111 1112 4111 1111 1111 1111"],
+         ["4111111111111112", "44111111111111111", "4111 1111 1111 11", "4111.1111.1111.1111", "4111  "]),
+        ("ip_address", ["at 10.0.0.255.", "(1.2.3.4)", "256.1.1.1 or 255.1.1.1"], ["10.0.0.256", "1.2.3.4.5", "1.2.3", "1234.1.1.1", "99999999999.1.1.1"]),
+        ("us_ssn", ["123-45-6789", "no: 899-01-0001-"], ["000-45-6789", "666-45-6789", "900-45-6789", "123-00-6789", "123-45-0000", "1123-45-6789", "123-45-6789-1"]),
+    ],
+)
+def test_only_values_that_can_exist_count(spark, rule, good, bad):
+    for texts, want in ((good, len(good)), (bad, 0), ([None, "", "9" * 200_000, "1." * 100_000, "(" * 100_000 + "1234"], 0)):
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        assert {r.rule: r.hits for r in governance.classify(df, "text", checked=True).collect()}[rule] == want, (rule, texts[0])
+
+
 def test_tags_of_a_table(spark):
     rows = [("t", "a", "class", "email_address"), ("t", "a", "class", "ip_address"), ("t", "z", "class", "x"), ("u", "a", "class", "y"), ("t", "a", "domain", "d")]
     tags = spark.createDataFrame(rows, "object string, column_name string, tag_key string, tag_value string")
