@@ -664,6 +664,7 @@ ORACLE: dict[str, str] = {
     "watermark_extract": """SELECT * FROM @events e WHERE ts >= (SELECT max(ts) FROM @events WHERE ts < DATE '2024-01-20')
         AND ts >= DATE '2024-01-20'""",
     "idempotent_append": "SELECT * FROM @events",
+    "idempotent_append_indexed": "SELECT * FROM @events",
     "upsert_scd1": """SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (
         PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM @feed) x WHERE rn = 1 AND op <> 'DELETE'""",
     "scd2_history": """SELECT user_id, value, ts AS valid_from, valid_to, valid_to IS NULL AS is_current FROM (

@@ -28,7 +28,7 @@ from tableward.operators import scoring as K
 from tableward.plans.assess import assess
 from tableward.plans.bindings import ASSETS_AS_OF, EVENTS_AS_OF, RUNS_AS_OF, TREND_AS_OF, Inputs
 from tableward.session import new_dir
-from tableward.sources import files
+from tableward.sources import files, key_index
 from tableward.streaming import ingest as X
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -647,6 +647,16 @@ def idempotent_append(i):
     return H.idempotent_append(loaded, batch.unionByName(batch), ["event_id"])
 
 
+@query
+def idempotent_append_indexed(i):
+    """Three loads that overlap, the last one sent twice in one batch and again as a batch of its own."""
+    path = new_dir(i.spark, "indexed")
+    last = i.events.filter("ts >= DATE '2024-01-15'")
+    for batch in (i.events.filter("ts < DATE '2024-01-12'"), i.events.filter("ts < DATE '2024-01-20'"), last.unionByName(last), last):
+        key_index.append_indexed(batch, path, ["event_id"])
+    return key_index.read_indexed(i.spark, path, i.events.schema, ["event_id"])
+
+
 @query
 def upsert_scd1(i):
     return H.upsert_scd1(i.feed, ["user_id"], ["ts", "event_id"])

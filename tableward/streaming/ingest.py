@@ -198,19 +198,17 @@ def current_rows(
 def split_late(stream: DataFrame, path: str, checkpoint: str, time: str, delay_days: int) -> None:
     """Rows behind the high-water mark of earlier batches go to ``status=late``, others to ``status=on_time``.
 
-    Nothing is lost: both sides are kept. Each batch stores its greatest time, observed while the rows are
-    written; the mark of a batch is taken only from batches before it, so a repeated batch decides the same way.
+    Nothing is lost: both sides are kept. Each batch stores the running mark, the greatest time up to and with it, observed while the rows
+    are written. A batch reads the mark of the one before it alone, so its work does not grow with the number of batches, and a repeated
+    batch decides the same way.
     """
     spark = stream.sparkSession
-    mark_schema = T.StructType(
-        [T.StructField("mark", T.TimestampType()), T.StructField("batch_id", T.LongType())]
-    )
+    mark_schema = T.StructType([T.StructField("mark", T.TimestampType())])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         mark = None
         if batch_id > 0:
-            marks = spark.read.schema(mark_schema).parquet(f"{path}/marks")
-            mark = marks.filter(F.col("batch_id") < batch_id).agg(F.max("mark")).first()[0]
+            mark = spark.read.schema(mark_schema).parquet(f"{path}/marks/batch_id={batch_id - 1}").first()[0]
         when = F.col(time).cast("timestamp")
         late = F.lit(False)
         if mark is not None:
@@ -219,8 +217,9 @@ def split_late(stream: DataFrame, path: str, checkpoint: str, time: str, delay_d
         status = F.when(late, "late").otherwise("on_time")
         rows = batch.observe(seen, F.max(when).alias("mark")).withColumn("status", status)
         rows.write.mode("overwrite").partitionBy("status").parquet(f"{path}/rows/batch_id={batch_id}")
-        found = spark.createDataFrame([(seen.get["mark"],)], "mark timestamp")
-        found.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+        marks = [m for m in (mark, seen.get["mark"]) if m is not None]
+        found = spark.createDataFrame([(max(marks, default=None),)], mark_schema)
+        found.coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
 
     run_batches(stream, each, checkpoint)
 
