@@ -679,9 +679,17 @@ ORACLE: dict[str, str] = {
         o.c_acctbal AS old_value, n.c_acctbal AS new_value
         FROM @snap_old o FULL JOIN @snap_new n ON o.c_custkey = n.c_custkey
         WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal IS DISTINCT FROM n.c_acctbal""",
+    "snapshot_diff_stored": """SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey,
+        CASE WHEN o.c_custkey IS NULL THEN 'INSERT' WHEN n.c_custkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op,
+        o.c_acctbal AS old_value, n.c_acctbal AS new_value
+        FROM @snap_old o FULL JOIN @snap_new n ON o.c_custkey = n.c_custkey
+        WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal IS DISTINCT FROM n.c_acctbal""",
     "full_reconcile": """SELECT CASE WHEN n.c_custkey IS NULL THEN 'only_a' WHEN o.c_custkey IS NULL THEN 'only_b'
         WHEN o.c_acctbal IS NOT DISTINCT FROM n.c_acctbal THEN 'same' ELSE 'changed' END AS side, count(*) AS n
         FROM @snap_old o FULL JOIN @snap_new n ON o.c_custkey = n.c_custkey GROUP BY 1""",
+    "full_reconcile_stored": """SELECT CASE WHEN n.c_custkey IS NULL THEN 'only_a' WHEN o.c_custkey IS NULL THEN 'only_b'
+        WHEN o.c_acctbal IS NOT DISTINCT FROM n.c_acctbal THEN 'same' ELSE 'changed' END AS side, count(*) AS n
+        FROM @snap_old o FULL JOIN @snap_new n ON o.c_custkey = n.c_custkey GROUP BY 1""",
     "multiset_reconcile": """SELECT 'only_a' AS side, count(*) AS n FROM (
             SELECT * FROM @snap_old EXCEPT ALL SELECT * FROM @snap_new) a
         UNION ALL SELECT 'only_b', count(*) FROM (SELECT * FROM @snap_new EXCEPT ALL SELECT * FROM @snap_old) b""",

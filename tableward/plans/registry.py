@@ -28,7 +28,7 @@ from tableward.operators import scoring as K
 from tableward.plans.assess import assess
 from tableward.plans.bindings import ASSETS_AS_OF, EVENTS_AS_OF, RUNS_AS_OF, TREND_AS_OF, Inputs
 from tableward.session import new_dir
-from tableward.sources import files, key_index
+from tableward.sources import files, key_index, snapshots
 from tableward.streaming import ingest as X
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -677,6 +677,24 @@ def full_reconcile(i):
     return H.full_reconcile(i.snap_old, i.snap_new, ["c_custkey"])
 
 
+def _stored_snapshots(i):
+    old, new = new_dir(i.spark, "snapshot"), new_dir(i.spark, "snapshot")
+    for df, path in ((i.snap_old, old), (i.snap_new, new)):
+        snapshots.write_snapshot(df, path, ["c_custkey"])
+    return old, new, i.snap_old.schema
+
+
+@query
+def snapshot_diff_stored(i):
+    """Both snapshots stored with their trees; only buckets that differ are read again."""
+    return snapshots.stored_diff(i.spark, *_stored_snapshots(i), ["c_custkey"], ["c_acctbal"])
+
+
+@query
+def full_reconcile_stored(i):
+    return snapshots.stored_reconcile(i.spark, *_stored_snapshots(i), ["c_custkey"])
+
+
 @query
 def multiset_reconcile(i):
     return H.multiset_reconcile(i.snap_old, i.snap_new)
