@@ -197,3 +197,28 @@ def test_layout_of_other_types(spark, tmp_path):
     ranks = df.select("s", files._rank(df, "s", files._cuts(df, ["s"], 4)["s"]).alias("r")).distinct().orderBy("s").collect()
     assert [r.r for r in ranks] == sorted(r.r for r in ranks) and ranks[0].r < ranks[-1].r
     assert files.cluster_layout(df.filter("n < 0"), str(tmp_path / "none"), ["t", "s"]).first().rows in (None, 0)
+
+
+def kept_rows(monkeypatch):
+    """{label: rows of each result that the lineage operators write}."""
+    rows, keep = {}, L.keep
+    monkeypatch.setattr(L, "keep", lambda df, label="kept": (kept := keep(df, label), rows.setdefault(label, []).append(kept.count()))[0])
+    return rows
+
+
+def test_update_of_a_closure_writes_only_paths_from_added_edges(spark, monkeypatch):
+    before = [(f"p{k}", f"s{k % 20}") for k in range(500)] + [("n", "r")]
+    added = [(f"s{k}", "n") for k in range(20)]
+    old = L.lineage_closure(edges_of(spark, before))
+    rows = kept_rows(monkeypatch)
+    got = as_pairs(L.closure_with(old, edges_of(spark, added)))
+    assert got == hops(before + added)
+    assert max(n for counts in rows.values() for n in counts) == 40
+
+
+def test_closure_does_not_extend_dead_ends(spark, monkeypatch):
+    rounds, add = [], L._Steps.add
+    monkeypatch.setattr(L._Steps, "add", lambda self, pairs, step: (rounds.append(step), add(self, pairs, step))[1])
+    pairs = [(f"p{k}", f"s{k % 7}") for k in range(50)]
+    assert as_pairs(L.lineage_closure(edges_of(spark, pairs))) == {p: 1 for p in pairs}
+    assert rounds == [0]
