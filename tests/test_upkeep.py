@@ -222,3 +222,11 @@ def test_closure_does_not_extend_dead_ends(spark, monkeypatch):
     pairs = [(f"p{k}", f"s{k % 7}") for k in range(50)]
     assert as_pairs(L.lineage_closure(edges_of(spark, pairs))) == {p: 1 for p in pairs}
     assert rounds == [0]
+
+
+def test_walk_joins_its_hops_with_inner_edges_only(spark, monkeypatch):
+    pairs = [(f"p{k}", f"s{k % 20}") for k in range(500)] + [(f"s{k}", "n") for k in range(20)] + [("n", "r"), ("n", "r")]
+    rows = kept_rows(monkeypatch)
+    got = as_pairs(L.lineage_closure(edges_of(spark, pairs), spark.createDataFrame([("p3",), ("p3",), ("r",), (None,)], "table_id string")))
+    assert got == {("p3", "s3"): 1, ("p3", "n"): 2, ("p3", "r"): 3}
+    assert rows["hops"] == [21] and rows["inner"] == [21]
