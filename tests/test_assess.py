@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableward import model
+from tableward.operators import lineage
 from tableward.operators.backlog import finding
 from tableward.plans.assess import assess
 from tableward.sources.files import described, publish_views
@@ -114,3 +115,13 @@ def test_described_results_answer_sql(spark, gold):
     assert edits.schema["severity"].metadata["synonyms"] == ["risk"]
     got = spark.sql("SELECT table_name FROM edits_view WHERE severity = :s ORDER BY edit_count_90d DESC", {"s": "critical"})
     assert got.first().table_name == "bronze_sales_orders"
+
+
+def test_costs_are_made_for_edited_tables_only(spark, raw, monkeypatch):
+    read, cost = [], lineage.rerun_cost
+    monkeypatch.setattr(lineage, "rerun_cost", lambda runs, reads, *more: (read.extend(r.table_id for r in reads.collect()), cost(runs, reads, *more))[1])
+    given = {name: df for name, df in raw.items() if name != "rerun_costs"}
+    given["reads"] = spark.createDataFrame([("b1", "p1"), ("b1", "p1"), ("b1", "p3"), ("b3", "p1"), (None, "p1")], "table_id string, pipeline_id string")
+    (row,) = assess(given, AS_OF)["gold_bronze_table_edits"].collect()
+    assert read == ["b1", "b1", "b1"]
+    assert float(row.estimated_rerun_cost_usd) == 20.28
