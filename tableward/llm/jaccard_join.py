@@ -11,6 +11,8 @@ shingle. Two documents link when 100 x intersection >= ``PERCENT`` x union.
    parts to prove that none of its links needs it (``signatures``).
 3. Candidates. Classes that share a signature are compared on their texts (``similar.linked``): with the least of them first, and
    across components where a signature joins several. Links form components. Links within a component that is already joined are not listed.
+4. Chains. Across components a pair must also pass at the signature it meets in: parts form a ring, and of linked sets one shared signature begins
+   ``SPAN`` parts that differ no more than parts do on average (``chain_allows``). Their odd sketch has a fixed size, whatever the text's length.
 
 Defined cases: a missing text, or one without words, has an empty set and links with nothing; repeated rows get equal results; rows without an
 id link like others, and a component without any id has none.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward.llm import packed, similar
@@ -35,6 +37,9 @@ WORDS = 4
 PERCENT = 85
 #: Sets that a task remembers, so as to send copies once; beyond it starts afresh, which costs bytes only.
 SEEN = 100_000
+#: Parts in a chain, about nine shingles each, and the columns of its odd sketch, 64 parities each.
+SPAN = 64
+CHAIN = [f"chain{k}" for k in range(32)]
 _U = np.uint64
 _BLOBS = ["key", "doc", "paired", "more_key", "more_doc"]
 _PACKED = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in _BLOBS])
@@ -51,31 +56,25 @@ def band_of(size: int, percent: int) -> tuple[int, int, int]:
         number, low = number + 1, high + 1
 
 
-def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """PartEnum signatures of a set of shingle hashes.
-
-    A set of n shingles emits for its own band and, if a partner may be there, for the next. In a band with largest size h, linked sets
-    differ in at most k = floor(2 h (100 - p) / (100 + p)) shingles. There are k // 2 + 2 parts.
-    At most d // 2 parts have two differences or more, where d bounds what this set may differ in. So with more than d // 2
-    parts whose three subsets all hold shingles, one shared signature is not empty, whatever the partner. Only sets
-    without that many send their empty signatures, and of two such sets both do.
-    """
-    n = len(own)
-    if not n:
-        return own
+def _bands(n: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(band, k, differ): the bands a set of n shingles emits for, what linked sets there may differ in, and what this set may."""
     number, low, high = band_of(n, percent)
     reach = n * 100 // percent
-    out = []
-    mixed = sq.mix(own + _U(0x1234567))
-    place = sq.mix(own ^ _U(0x5851F42D4C957F2D))
     for band in (number, number + 1):
         top = high
         if band > number:
             if reach <= high:
                 break
             top = (high + 1) * 100 // percent
-        k = 2 * top * (100 - percent) // (100 + percent)
-        differ = (n + min(top, reach)) * (100 - percent) // (100 + percent)
+        yield band, 2 * top * (100 - percent) // (100 + percent), (n + min(top, reach)) * (100 - percent) // (100 + percent)
+
+
+def _signed(own: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """Per band: signatures, the part of each, the part of each shingle, parts, and the parts that one shared signature is sure to come from."""
+    n = len(own)
+    mixed = sq.mix(own + _U(0x1234567))
+    place = sq.mix(own ^ _U(0x5851F42D4C957F2D))
+    for band, k, differ in _bands(n, percent):
         parts = k // 2 + 2 if k else 1
         cell = ((place >> _U(32)) * _U(3 * parts) >> _U(32)).astype(np.int64)
         sums = np.zeros(3 * parts, _U)
@@ -84,14 +83,88 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         sums = sums.reshape(parts, 3)
         tag = _U(band + 1) << _U(40)
         if not k:  # linked sets of this band are equal; so one signature, of the whole set
-            out.append(sq.mix(sums.sum(dtype=_U, keepdims=True).reshape(1) + tag))
+            yield sq.mix(sums.sum(dtype=_U, keepdims=True).reshape(1) + tag), np.zeros(1, np.int64), cell // 3, 1, 1
             continue
         x, y = np.array([0, 0, 1]), np.array([1, 2, 2])
         where = tag + np.arange(3 * parts, dtype=_U).reshape(parts, 3)
         found = sq.mix(sq.mix(sums[:, x] + where) * _U(3) + sums[:, y])
         filled = full[:, x] | full[:, y]
-        out.append(found[filled] if filled.all(1).sum() > differ // 2 else found.ravel())
-    return np.concatenate(out)
+        part = np.repeat(np.arange(parts), 3).reshape(parts, 3)
+        good = int(filled.all(1).sum())
+        if good > differ // 2:
+            yield found[filled], part[filled], cell // 3, parts, good
+        else:
+            yield found.ravel(), part.ravel(), cell // 3, parts, parts
+
+
+def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """PartEnum signatures of a set of shingle hashes.
+
+    A set of n shingles emits for its own band and, if a partner may be there, for the next. In a band with largest size h, linked sets
+    differ in at most k = floor(2 h (100 - p) / (100 + p)) shingles. There are k // 2 + 2 parts.
+    At most d // 2 parts have two differences or more, where d bounds what this set may differ in. So with more than d // 2
+    parts whose three subsets all hold shingles, one shared signature is not empty, whatever the partner. Only sets
+    without that many send their empty signatures, and of two such sets both do.
+    """
+    return np.concatenate([x[0] for x in _signed(own, percent)]) if len(own) else own
+
+
+def chains(own: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """Odd sketches of ``SPAN`` parts in a ring, or of all if there are no more, by the part they begin with: rows of 64-bit numbers."""
+    bit = ((sq.mix(own ^ _U(0x2545F4914F6CDD1D)) >> _U(32)) * _U(64 * len(CHAIN)) >> _U(32)).astype(np.int64)
+    odd = np.zeros(parts * len(CHAIN), _U)
+    np.bitwise_xor.at(odd, part * len(CHAIN) + (bit >> 6), _U(1) << (bit & 63).astype(_U))
+    odd = odd.reshape(parts, len(CHAIN))
+    span = min(SPAN, parts)
+    upto = np.bitwise_xor.accumulate(np.concatenate([np.zeros((1, len(CHAIN)), _U), odd, odd[: span - 1]]), axis=0)
+    return upto[span : span + parts] ^ upto[:parts]
+
+
+def with_chains(asked: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, cls, component, n, span, good, ``CHAIN``) for the signatures in ``keys`` of ``asked``, which has (cls, component, keys, text)."""
+    names = ["key", "cls", "component", "n", "span", "good", *CHAIN]
+    schema = pa.schema([(x, pa.int64()) for x in names])
+
+    def of_set(own: np.ndarray, cls: int, component: int, keys: np.ndarray) -> Iterator[np.ndarray]:
+        for key, start, part, parts, good in _signed(own, percent):
+            at = np.flatnonzero(np.isin(key, keys))
+            span = min(SPAN, parts)
+            told = np.empty((len(at), len(names)), np.int64)
+            told[:, 0] = key[at].view(np.int64)
+            told[:, 1:6] = cls, component, len(own), span, max(good, span)
+            told[:, 6:] = chains(own, part, parts)[start[at]].view(np.int64)
+            yield told
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = np.concatenate(ready).T
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], schema=schema)
+
+        for batch in batches:
+            data, at = sq.texts(batch.column(3))
+            for i in range(batch.num_rows):
+                keys = batch.column(2)[i].values.to_numpy().view(_U)
+                ready += of_set(similar.shingles(data[at[i] : at[i + 1]], words), batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), keys)
+                if sum(map(len, ready)) >= 20_000:
+                    yield flush()
+        if ready:
+            yield flush()
+
+    return asked.select("cls", "component", "keys", "text").mapInArrow(emit, ", ".join(f"{x} long" for x in names))
+
+
+def chain_allows(percent: int) -> Column:
+    """Column: the chains of two sets that share a signature (columns with ``_x`` and ``_y``) allow a link that shows at this signature.
+
+    Let linked sets differ in D shingles, and take the good parts as one each and the others as nothing. Going round the ring from where the running sum of
+    (differences - D / good parts) is largest, no chain has more differences than D / good times its length. Its first good part
+    has less than two, so a signature of it is shared: one shared signature passes, and the others need not.
+    """
+    bits = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in CHAIN[1:]), F.bit_count(F.col("chain0_x").bitwiseXOR(F.col("chain0_y"))))
+    return bits * F.least("good_x", "good_y") * (100 + percent) <= F.col("span_x") * (F.col("n_x") + F.col("n_y")) * (100 - percent)
 
 
 def shared_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -168,7 +241,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         reps = similar.classes(known)
         sent = keep(shared_signatures(own, words, percent), "jaccard-signatures")
         keys = sent.join(reps.select("h1", "cls"), "h1").select("key", "cls").distinct()
-        return similar.linked(own, known, reps, keys, words, percent)
+        finer = similar.Finer(lambda asked: with_chains(asked, words, percent), ["span", "good", *CHAIN], chain_allows(percent))
+        return similar.linked(own, known, reps, keys, words, percent, finer)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

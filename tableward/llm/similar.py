@@ -9,11 +9,14 @@ Used with keys of any making: ``linked`` takes (key, class) rows, compares what
   them are compared too, so every pair with a common key is either compared or already in one component.
 * Before texts are fetched, a pair must pass its odd sketches: ``BITS`` parities of shingle counts. Each shingle that only one of two sets has
   flips one bit, so sets whose sketches differ in more bits than linked sets may differ in shingles are not linked.
+* Long sets fill these parities. So pairs across components may take a finer test (``Finer``) before they are made; only classes that have
+  a partner by their odd sketches, found by a semi join, are read for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +114,18 @@ def compared(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return joined.mapInArrow(count, "a long, b long, both long, either long")
 
 
-def linked(rows: DataFrame, known: DataFrame, reps: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
+class Finer(NamedTuple):
+    """A finer test of pairs at a key: ``rows`` takes (cls, component, keys, text) and gives (key, cls, component, n, ``names``);
+    ``allowed`` tells whether two such rows of one key, with ``_x`` and ``_y``, may link. Each linked pair must pass at one key or more."""
+
+    rows: Callable[[DataFrame], DataFrame]
+    names: list[str]
+    allowed: Column
+
+
+def linked(
+    rows: DataFrame, known: DataFrame, reps: DataFrame, keys: DataFrame, words: int, percent: int, finer: Finer | None = None
+) -> DataFrame:
     """(row, doc, n, cls, component) per row of ``known``: the smallest id that its links reach.
 
     ``rows`` is ``rows_of``, ``known`` is ``facts``, ``reps`` is ``classes``, ``keys`` has (key, cls) rows. A set without shingles has no class and links with nothing. Rows without an
@@ -134,9 +148,12 @@ def linked(rows: DataFrame, known: DataFrame, reps: DataFrame, keys: DataFrame,
     near = shared.filter("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     pairs = keep(near.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(possible()).select("a", "b"), "similar-pairs")
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.join(heads.select("cls", "row"), "cls")
+        return keep(rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("cls", "text"), "similar-texts")
+
     def links_of(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(heads.select("cls", "row"), "cls")
-        texts = keep(rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("cls", "text"), "similar-texts")
+        texts = texts_of(some.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         return keep(compared(some, texts, words).filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "similar-links")
 
     links = links_of(pairs)
@@ -146,9 +163,17 @@ def linked(rows: DataFrame, known: DataFrame, reps: DataFrame, keys: DataFrame,
     mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     open_ = tagged.filter("cls <> head").join(mixed, "key").select("key", "cls", "component").join(heads.drop("row"), "cls")
     open_ = keep(open_, "similar-open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("cls", "component", "n", *ODD))) for end in "xy")
-    apart = (F.col("cls_x") > F.col("cls_y")) & (F.col("component_x") != F.col("component_y"))
-    rest = x.join(y, "key").filter(apart & possible()).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+    ends = lambda some, names: (some.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("cls", "component", "n", *names))) for end in "xy")
+    apart, allowed = F.col("component_x") != F.col("component_y"), possible()
+    x, y = ends(open_, ODD)
+    if finer is not None:
+        y = y.withColumnRenamed("key", "key_y")
+        some = keep(x.join(y, (F.col("key") == F.col("key_y")) & apart & allowed, "left_semi").select("key", F.col("cls_x").alias("cls"), F.col("component_x").alias("component")), "similar-some")
+        asked = some.groupBy("cls", "component").agg(F.collect_list("key").alias("keys"))
+        open_ = keep(finer.rows(asked.join(texts_of(some.select("cls").distinct()), "cls")), "similar-finer")
+        allowed = finer.allowed
+        x, y = ends(open_, finer.names)
+    rest = x.join(y, "key").filter((F.col("cls_x") > F.col("cls_y")) & apart & allowed).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
     rest = keep(rest.join(pairs, ["a", "b"], "left_anti"), "similar-rest")
     if not rest.isEmpty():
         part = components(links.unionByName(links_of(rest)))

@@ -7,7 +7,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tableward.llm import components, jaccard_join, minhash, mixing, packed, repeated_windows, sequences, substring_dedup, suffix_dedup
+from tableward.llm import components, jaccard_join, minhash, mixing, packed, repeated_windows, sequences, similar, substring_dedup, suffix_dedup
+from tableward.session import keep
 from tests.llm import brute
 from tests.llm.conftest import TEXT_SCHEMA, rows_of
 
@@ -89,6 +90,55 @@ def test_signatures_meet_at_the_threshold():
                 assert len(np.intersect1d(jaccard_join.signatures(base), jaccard_join.signatures(other)))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_chains_let_linked_sets_pass(percent):
+    """Linked sets share a signature that their chains allow, also where differences lie close together; long sets far from linked share none."""
+    rng = np.random.default_rng(3)
+
+    def allowed(own, other):
+        found = []
+        for p, q in zip(*(list(jaccard_join._signed(x, percent)) for x in (own, other))):
+            for key, i, j in zip(*np.intersect1d(p[0], q[0], return_indices=True)):
+                span, good = min(jaccard_join.SPAN, p[3]), max(min(p[4], q[4]), min(jaccard_join.SPAN, p[3]))
+                sketch = [jaccard_join.chains(x, y[2], y[3])[y[1][k]] for x, y, k in ((own, p, i), (other, q, j))]
+                bits = int(np.bitwise_count(sketch[0] ^ sketch[1]).sum())
+                found.append(bits * good * (100 + percent) <= span * (len(own) + len(other)) * (100 - percent))
+        return found
+
+    for size in [1, 2, 7, 30, 100, 400, 1000, 3000]:
+        for close in (False, True):
+            base = rng.integers(0, 2**63, size, dtype=np.uint64)
+            gone = size * (100 - percent) // (100 + percent)  # as many come in again
+            at = np.lexsort((list(jaccard_join._signed(base, percent))[0][2],))[:gone] if close else rng.permutation(size)[:gone]
+            other = np.concatenate([np.delete(base, at), rng.integers(0, 2**63, gone, dtype=np.uint64)])
+            assert 100 * (size - gone) >= percent * (size + gone) and any(allowed(base, other))
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    found = allowed(base, np.concatenate([base[:2250], rng.integers(0, 2**63, 750, dtype=np.uint64)]))  # 60 percent
+    assert found and not any(found)
+
+
+def test_long_documents_that_share_passages_make_no_pairs(spark, monkeypatch):
+    """Sets of over 1200 shingles fill 512 parities: all pairs across components came to their texts."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    common = prose(1600)
+    rows = [(k, f"{prose(800)} {common}") for k in range(10)]
+    rows += [(20 + k, f"{text} {prose(60)}") for k, text in rows[:4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = {}
+
+    def counted(df, label="kept"):
+        kept = keep(df, label)
+        if label in ("similar-open", "similar-rest"):
+            made[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(similar, "keep", counted)
+    got = {r.doc: (r.n, r.component) for r in jaccard_join.groups(docs, words=5, percent=80).collect()}
+    assert got == brute.jaccard(rows, 5, 80)
+    assert made["similar-open"] > 0 and made["similar-rest"] == 0
+
+
 def test_one_document_of_each_group_stays(docs, corpus):
     kept = [r.doc_id for r in jaccard_join.keep_one(docs).select("doc_id").collect()]
     want = brute.jaccard(corpus)
