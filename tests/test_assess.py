@@ -64,6 +64,18 @@ def test_edits(gold):
     assert {r.downstream_table for r in gold["gold_table_dependents"].collect()} == {"g1", "g2"}
 
 
+def test_edits_name_the_gold_tables_that_depend_on_them(spark, raw, gold):
+    assert [r.downstream_gold_tables for r in gold["gold_bronze_table_edits"].collect()] == ["gold_sales_daily,gold_sales_weekly"]
+    old = at(300)
+    more = [("g3", "gold_sales_daily", "lab", "sales", "gold", "a@x.org", True, "g", False, 1, old, old), ("g4", None, "lab", "sales", "gold", None, True, "g", False, 1, old, old)]
+    more = spark.createDataFrame(more * 2, model.RAW_SCHEMAS["raw_ws_tables"])
+    given = raw | {"raw_ws_tables": raw["raw_ws_tables"].unionByName(more)}
+    given["lineage"] = spark.createDataFrame([("b1", "g4"), ("s1", "g1"), ("b1", "s1"), ("s1", "g3"), ("s1", "g3"), (None, "g1")], "source string, target string")
+    given["raw_ws_audit_events"] = raw["raw_ws_audit_events"].unionByName(raw["raw_ws_audit_events"].filter("table_id = 'b1'").withColumn("table_id", F.lit("b3")))
+    got = {r.table_id: (r.downstream_gold_table_count, r.downstream_gold_tables) for r in assess(given, AS_OF)["gold_bronze_table_edits"].collect()}
+    assert got == {"b1": (3, "g4,gold_sales_daily,gold_sales_daily"), "b3": (0, None)}
+
+
 def test_health_and_trend(gold):
     health = {r.pipeline_id: r for r in gold["gold_pipeline_health"].collect()}
     assert {k: r.health_status for k, r in health.items()} == {"p1": "critical", "p2": "critical", "p3": "healthy"}
