@@ -18,19 +18,21 @@ FLUSH = 800_000
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Type, least value and differences from it in as few bytes as they need, compressed."""
+    """Type, least value and differences from it in as few bytes as they need, first bytes of all before second ones, compressed."""
     low = values.min() if len(values) else values.dtype.type(0)
     rest = values - low
     rest = rest.astype(np.min_scalar_type(rest.max() if len(rest) else 0))
     head = np.array([low]).astype(values.dtype).tobytes()
-    body = zstandard.ZstdCompressor(level=1).compress(rest.tobytes())
+    planes = np.ascontiguousarray(rest).view(np.uint8).reshape(len(rest), rest.itemsize).T
+    body = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
     return values.dtype.char.encode() + rest.dtype.char.encode() + head + body
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
     kind, small = np.dtype(blob[:1].decode()), np.dtype(blob[1:2].decode())
     low = np.frombuffer(blob[2 : 2 + kind.itemsize], kind)[0]
-    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2 + kind.itemsize :]), small)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2 + kind.itemsize :]), np.uint8)
+    rest = np.ascontiguousarray(planes.reshape(small.itemsize, -1).T).view(small)[:, 0]
     return rest.astype(kind) + low
 
 

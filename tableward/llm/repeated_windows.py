@@ -2,7 +2,11 @@
 
 Every window belongs to the bucket of its smallest q-gram (its anchor). A run of consecutive windows with one anchor is one record:
 (anchor, hash of the run's bytes, document, first window, windows). Documents whose runs are the same bytes are settled
-by that alone; only anchors with differing runs need their bytes compared.
+by that alone; of anchors with differing runs some need their bytes compared.
+
+A q-gram is short: in a large table most of them stand in several documents by chance. A window has either half of its other bytes before its
+anchor or half of them after it. So a run also carries hashes of these two longer strings (``sequences.flanks``), and its bytes are
+compared only where another document has one of them at this anchor.
 
 A document is (doc, row): ``doc``, its id, says which is smaller; ``row`` tells different texts of one id apart (``with_rows``).
 """
@@ -22,7 +26,11 @@ from tableward.llm.names import free
 from tableward.session import keep
 
 _U = np.uint64
-_BLOBS = ["key", "rest", "doc", "row", "start", "count", "done_doc", "done_row", "done_start", "done_count"]
+_OPEN = ["key", "rest", "doc", "row", "start", "count", "before", "after"]
+_DONE = ["doc", "row", "start", "count"]
+_BLOBS = _OPEN + [f"done_{x}" for x in _DONE]
+#: Bits of the hashes of flanks that are sent.
+FLANK_BITS = 24
 _PACKED = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in _BLOBS])
 _PACKED_DDL = "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS)
 #: state 0: these windows repeat; 1: compare bytes with the other runs of ``anchor``; 2: so, and the anchor is common.
@@ -62,7 +70,7 @@ def first_of(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _packer(buckets: int):
     def flush(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((arrays[5], arrays[3], arrays[2], arrays[1], arrays[0]))
-        bucket, key, rest, doc, row, start, count = (x[order] for x in arrays)
+        bucket, key, rest, doc, row, start, count, before, after = (x[order] for x in arrays)
         done = doc > first_of(new_keys(bucket, key, rest), doc)
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
         out: dict[str, list] = {x: [] for x in _PACKED.names}
@@ -77,6 +85,8 @@ def _packer(buckets: int):
             for name, values in (("doc", doc), ("row", row), ("start", start), ("count", count)):
                 out[name].append(packed.squeeze(values[part][open_]))
                 out[f"done_{name}"].append(packed.squeeze(values[part][shut]))
+            out["before"].append(packed.squeeze(before[part][open_]))
+            out["after"].append(packed.squeeze(after[part][open_]))
         yield from packed.rows_of(out, _PACKED, 64)
 
     return flush
@@ -89,10 +99,24 @@ def _unpack(table: pa.Table, names: list[str]) -> list[np.ndarray]:
     ]
 
 
+def meeting(anchor: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which runs share a flank with a run of another document at their anchor; runs without flanks meet all of their anchor."""
+    found = np.zeros(len(anchor), bool)
+    for flank in (before, after):
+        there = np.flatnonzero(flank)
+        both = anchor[there] << np.int64(FLANK_BITS) | flank[there]
+        order = np.argsort(both)
+        own, edge = doc[there][order], np.flatnonzero(new_keys(both[order]))
+        if len(edge):
+            several = np.minimum.reduceat(own, edge) < np.maximum.reduceat(own, edge)
+            found[there[order]] |= np.repeat(several, np.diff(np.append(edge, len(own))))
+    return found | np.isin(anchor, anchor[(before == 0) & (after == 0)])
+
+
 def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFrame:
     """Rows (doc, row, start, count, state, anchor) for the runs of windows that repeat or may repeat.
 
-    ``docs`` has (doc long, text, row long). Anchors with more than ``common`` differing runs get state 2.
+    ``docs`` has (doc long, text, row long). Anchors with more than ``common`` differing runs to compare get state 2.
     """
     buckets = 2 * packed.bucket_count(docs)
 
@@ -101,19 +125,20 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
         ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         for i, (doc, row) in enumerate(zip(ids, rows)):
             prefix = sq.Prefix(sq.BYTE_CODES[data[at[i] : at[i + 1]]])
-            anchor, start, count = sq.segments(prefix, length, q)
+            anchor, start, count, place = sq.placed_segments(prefix, length, q)
             if len(start):
+                before, after = sq.flanks(prefix, length, q, start, count, place, FLANK_BITS)
                 content = prefix.of(start, start + count - 1 + length)
                 # half of the anchor (its other half chose the bucket) and the content, 96 bits in two columns
                 key = (anchor & _U(0xFFFFFFFF00000000)) | (content >> _U(32))
-                yield packed.bucket_of(anchor, buckets), key, content.astype(np.uint32), np.full(len(start), doc), np.full(len(start), row), start, count
+                yield packed.bucket_of(anchor, buckets), key, content.astype(np.uint32), np.full(len(start), doc), np.full(len(start), row), start, count, before, after
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        own = _unpack(table, _BLOBS[:6])
-        done = _unpack(table, _BLOBS[6:])
+        own = _unpack(table, _OPEN)
+        done = _unpack(table, [f"done_{x}" for x in _DONE])
         order = np.lexsort((own[3], own[2], own[1], own[0]))
-        key, rest, doc, row, start, count = (x[order] for x in own)
+        key, rest, doc, row, start, count, before, after = (x[order] for x in own)
         fresh = new_keys(key, rest)
         repeat = doc > first_of(fresh, doc)
         high = (key >> _U(32)).astype(np.int64)
@@ -123,6 +148,9 @@ def runs_of_windows(docs: DataFrame, length: int, q: int, common: int) -> DataFr
         contents = np.add.reduceat(fresh.astype(np.int64), edge)
         apart = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)
         compare = ((contents > 1) & apart)[group] & ~repeat
+        at = np.flatnonzero(compare)
+        compare[at] = meeting(high[at], doc[at], before[at], after[at])
+        contents = np.add.reduceat((fresh & compare).astype(np.int64), edge)
         state = np.where(compare, np.where(contents[group] > common, 2, 1), 0)
         anchor = (np.int64(bucket) << np.int64(32)) | high
         keep = repeat | compare

@@ -1,6 +1,7 @@
 """Suffix-array dedup, substring dedup and the Jaccard join against brute force."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -42,6 +43,59 @@ def test_refinement_compares_whole_strings(length):
     assert len(set(ids[ids >= 0])) == sum(len(p) > 1 for p in seen.values())
 
 
+def test_runs_are_cut_at_the_place_of_their_anchor():
+    """All windows are there once, the place is that of the first smallest gram, and equal windows have the same flank."""
+    rng = np.random.default_rng(2)
+    for t in range(60):
+        data = rng.integers(97, 98 + t % 3, int(rng.integers(0, 300)), dtype=np.uint8)
+        data = np.concatenate([data, np.resize(data[: t % 20 + 1], 90), data[: len(data) // 2]]) if len(data) else data
+        for length, q in ((50, 16), (51, 16), (20, 5), (9, 9)):
+            prefix = sequences.Prefix(sequences.BYTE_CODES[data])
+            anchor, start, count, place = sequences.placed_segments(prefix, length, q)
+            before, after = sequences.flanks(prefix, length, q, start, count, place, 24)
+            grams, told = prefix.grams(q), {}
+            assert [w for s, n in zip(start, count) for w in range(s, s + n)] == list(range(len(data) - length + 1))
+            for a, s, n, p, x, y in zip(anchor, start, count, place, before, after):
+                for w in range(s, s + n):
+                    assert a == grams[w : w + length - q + 1].min() and (p < 0 or p == w + int(np.argmin(grams[w : w + length - q + 1])))
+                    flank = None if p < 0 else ("before", x) if p - w >= (length - q) // 2 else ("after", y)
+                    assert flank is None or flank[1] > 0
+                    told.setdefault(data[w : w + length].tobytes(), set()).add(flank)
+            assert all(len(x) == 1 or None in x for x in told.values())
+
+
+def test_anchors_shared_by_chance_are_not_compared(spark):
+    """Forty documents share 26 bytes, too few for a window; two of them share 90."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    phrase, passage = prose(26), prose(90)
+    rows = [(k, prose(60).join([phrase] * 4) + prose(70)) for k in range(40)] + [(50, prose(80) + passage + prose(80)), (51, prose(81) + passage + prose(79))]
+    rows += [(60, "=" * 400), (61, "=" * 90 + prose(60))]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    found = repeated_windows.runs_of_windows(repeated_windows.with_rows(docs), 50, 16, 50_000)
+    assert {r.doc for r in found.filter("state > 0").collect()} <= {50, 51, 60, 61}
+    got = {tuple(r) for r in suffix_dedup.digest(docs.withColumnRenamed("doc", "doc_id")).collect()}
+    assert got == {(i, *v) for i, v in brute.suffix(rows).items()} and {r[2] for r in got} == {0, 90}
+
+
+def test_kept_results_leave_no_shuffle_files(spark):
+    """Work folders go on from their files; what was shuffled for them took disk until the driver collected its garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {x for x in (files.apply(k).getName() for k in range(files.size())) if x.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, set_to = shuffled(), spark.conf.get(name, None)
+    kept = keep(spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count().orderBy("count", "k"))
+    for _ in range(50):  # files go in the background
+        if not shuffled() - was:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - was and kept.count() == 700 and spark.conf.get(name, None) == set_to
+
+
 def test_cut_texts_are_valid_and_keep_other_columns(docs, corpus):
     cut = suffix_dedup.remove_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
